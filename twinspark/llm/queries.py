@@ -22,3 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinspark.llm.packing import pack, public_tokenizer
 
     return pack(read(spark, sf_dir, "documents"), public_tokenizer())
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinspark.llm.decontaminate import decontaminate
+
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
