@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from twinspark.llm.common import read
 
@@ -29,3 +30,22 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from twinspark.llm.decontaminate import decontaminate
 
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinspark.llm.classify import fit_toxicity, fold, toxicity
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(True))
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"), held)
+    return toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinspark.llm.classify import fit_language, fold, language
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(True))
+    return language(docs, fit_language(docs, held)).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
