@@ -62,7 +62,7 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         self.m, self.find = model, re.compile(model.pattern).findall
-        self.known = np.zeros((1024, len(model.classes)), dtype=np.float64)
+        self.known = np.zeros((1024, model.parts.shape[1]))
 
     def __missing__(self, word: str) -> int:
         i = self[word] = len(self)
