@@ -1,0 +1,38 @@
+"""Connected components of an edge table by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from twinspark.llm.common import materialize
+
+
+def _linked_to_least(pairs: DataFrame) -> DataFrame:
+    """`pairs` (u, v) with m, the least of u and its v's; the least is gathered before the join, so a node with many
+    links is summed up where its rows are."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return pairs.join(least, "u")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of `edges` (a, b long): root is the least node of its component.
+
+    Self-links and null ends take no part; repeated links and an empty table are fine. Each round is written to the
+    shared folder, so its lineage is one table; rounds are about the logarithm of the longest path.
+    """
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = materialize(e, "edges")
+    seen = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        e = _linked_to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        linked = _linked_to_least(e)
+        e = linked.select("u", F.col("m").alias("v")).unionByName(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        e = materialize(e, "edges")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
+        if now == seen:
+            break
+        seen = now
+    roots = e.select(F.col("v").alias("node")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

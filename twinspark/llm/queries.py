@@ -49,3 +49,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(True))
     return language(docs, fit_language(docs, held)).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinspark.llm.simhash import near_duplicates
+
+    found = near_duplicates(read(spark, sf_dir, "documents"), shingle=4, max_bits=4, n_words=1)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
