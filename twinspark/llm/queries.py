@@ -57,3 +57,23 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(read(spark, sf_dir, "documents"), shingle=4, max_bits=4, n_words=1)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinspark.llm.substring import repeated_units
+
+    return repeated_units(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_substring_dedup"] = r"""
+WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+u AS (SELECT doc_id, t.i AS pos, parts[t.i] AS unit FROM p, unnest(range(1, len(parts) + 1)) AS t(i)),
+s AS (SELECT doc_id, unit, length(unit) AS n, sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(unit) - 1 AS start FROM u),
+w AS (SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS stop, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM s),
+k AS (SELECT doc_id, start, stop, md5(norm) AS digest, count(*) OVER g AS occurrences, first_value(doc_id) OVER o AS kept_doc_id,
+  first_value(start) OVER o AS kept_start, row_number() OVER o AS rn
+  FROM w WHERE len(string_split(norm, ' ')) >= 5
+  WINDOW g AS (PARTITION BY norm), o AS (PARTITION BY norm ORDER BY doc_id, start))
+SELECT doc_id, start, stop, digest, occurrences, kept_doc_id, kept_start FROM k WHERE rn > 1
+"""
