@@ -77,3 +77,10 @@ k AS (SELECT doc_id, start, stop, md5(norm) AS digest, count(*) OVER g AS occurr
   WINDOW g AS (PARTITION BY norm), o AS (PARTITION BY norm ORDER BY doc_id, start))
 SELECT doc_id, start, stop, digest, occurrences, kept_doc_id, kept_start FROM k WHERE rn > 1
 """
+
+
+@query
+def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinspark.llm.sharding import shard
+
+    return shard(read(spark, sf_dir, "documents"))
