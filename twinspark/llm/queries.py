@@ -84,3 +84,19 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinspark.llm.sharding import shard
 
     return shard(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinspark.llm.topk import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op10_exact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.x AS DOUBLE[]), CAST(b.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
