@@ -100,3 +100,25 @@ p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.x AS D
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinspark.llm.linededup import removed_runs
+
+    return removed_runs(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_line_dedup"] = r"""
+WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+u AS (SELECT doc_id, t.i AS pos, parts[t.i] AS unit FROM p, unnest(range(1, len(parts) + 1)) AS t(i)),
+s AS (SELECT doc_id, pos, unit, length(unit) AS n, sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(unit) - 1 AS start FROM u),
+w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS line, start, start + n AS stop,
+  trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM s WHERE trim(regexp_replace(unit, '\s+', ' ', 'g')) <> ''),
+g AS (SELECT doc_id, line, norm || chr(10) || lead(norm, 1) OVER o || chr(10) || lead(norm, 2) OVER o AS run FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY line)),
+k AS (SELECT doc_id, line, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS rn FROM g WHERE run IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, line + j AS line FROM k, unnest([0, 1, 2]) AS t(j) WHERE rn > 1),
+i AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS island FROM d)
+SELECT i.doc_id, CAST(min(i.line) AS BIGINT) AS line, count(*) AS lines, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop
+FROM i JOIN w ON i.doc_id = w.doc_id AND i.line = w.line GROUP BY i.doc_id, island
+"""
