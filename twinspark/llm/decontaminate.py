@@ -112,7 +112,7 @@ def _pass(df: DataFrame, phrases: Phrases, slop: int | None) -> DataFrame:
     """Extend `hits` (pairs start, end of words), `near` and `items` of each row by a block of phrases."""
     spec = df.sparkSession.sparkContext.broadcast(phrases)
     schema = df.schema
-    arrow = pa.schema([("key", pa.string()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("near", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    state = pa.schema([("key", pa.string()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("near", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = spec.value
@@ -144,20 +144,20 @@ def _pass(df: DataFrame, phrases: Phrases, slop: int | None) -> DataFrame:
                 for s in index.near(terms, slop):
                     d = np.searchsorted(ends, s, side="right")
                     near[d].append(int(s - starts[d]))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends - starts - gap, pa.int64()), pa.array(hits, arrow.field(3).type), pa.array(near, arrow.field(4).type), pa.array([sorted(x) for x in items], arrow.field(5).type)], schema=arrow)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends - starts - gap, pa.int64()), pa.array(hits, state.field(3).type), pa.array(near, state.field(4).type), pa.array([sorted(x) for x in items], state.field(5).type), *batch.columns[6:]], schema=pa.schema([*state, *list(batch.schema)[6:]]))
 
     return df.mapInArrow(run, schema)
 
 
-def matches(df: DataFrame, benchmark: DataFrame, key: str, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row for each row of `df`: key (as string), text, n_words, hits, near and items.
+def matches(df: DataFrame, benchmark: DataFrame, key: str, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of `df`: key (as string), text, n_words, hits, near, items, and columns `keep` as keep_0, ...
 
     `hits` has word positions (start, end), flat, of each exact match of a window of `window` consecutive item words (the
     whole item where it is shorter); `near`, given `slop`, the starts of proximity matches; `items` the item ids with exact
     matches. Null or empty texts have no words; items without id or words take no part; repeated item ids count once;
     repeated rows are each answered; an empty benchmark matches nothing.
     """
-    out = df.select(F.col(key).cast("string").alias("key"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<bigint>").alias("near"), F.array().cast("array<string>").alias("items"))
+    out = df.select(F.col(key).cast("string").alias("key"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<bigint>").alias("near"), F.array().cast("array<string>").alias("items"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     for block in _blocks(benchmark, item_id, item_text, block_words):
         out = _pass(out, Phrases(block, window), slop)
     return out
@@ -190,3 +190,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", *
 
     out = found.select("key", "n_words", "hits", "items").mapInArrow(digest, "key string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<bigint>")
     return out.select(F.col("key").cast(df.schema[id_col].dataType).alias(id_col), *out.columns[1:])
+
+
+def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of `df` without an exact match, as they are."""
+    found = matches(df, benchmark, id_col, keep=tuple(df.columns), **options).where(F.size("hits") == 0)
+    return found.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(df.columns)])
