@@ -122,3 +122,10 @@ i AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER B
 SELECT i.doc_id, CAST(min(i.line) AS BIGINT) AS line, count(*) AS lines, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop
 FROM i JOIN w ON i.doc_id = w.doc_id AND i.line = w.line GROUP BY i.doc_id, island
 """
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinspark.llm.suffix import suffix_dedup
+
+    return suffix_dedup(read(spark, sf_dir, "documents")).drop("spans")
