@@ -20,3 +20,6 @@ def register(name: str, oracle: str | None = None):
         return f
 
     return wrap
+
+
+from twinspark.plans import metrics, search, sequences, tables  # noqa: E402, F401  they register their queries
