@@ -52,7 +52,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, gram: int, window: i
         for b in batches:
             out = []
             for doc_id, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                lines = [u for _, _, u in units(text.as_py(), pattern, 1)]
+                lines = [u for _, _, u in units(text.as_py(), pattern, 1, 0)]
                 if len(lines) < length:
                     continue
                 grams = [_digest(lines[i : i + gram]) for i in range(len(lines) - gram + 1)]
@@ -83,7 +83,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def removed_lines(text: str | None, first: list[int], length: int) -> list[tuple[int, int, int, int]]:
     """(line, lines, start, stop) of the maximal runs that go; start and stop in characters, line ends excluded."""
-    found, out = [(a, b) for a, b, _ in units(text, re.compile(LINES), 1)], []
+    found, out = [(a, b) for a, b, _ in units(text, re.compile(LINES), 1, 0)], []
     for line in first:
         if out and line <= out[-1][0] + out[-1][1]:
             out[-1] = (out[-1][0], line + length - out[-1][0])

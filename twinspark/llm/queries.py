@@ -67,15 +67,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_substring_dedup"] = r"""
-WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t\f\r]', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
 u AS (SELECT doc_id, t.i AS pos, parts[t.i] AS unit FROM p, unnest(range(1, len(parts) + 1)) AS t(i)),
-s AS (SELECT doc_id, unit, length(unit) AS n, sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(unit) - 1 AS start FROM u),
-w AS (SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS stop, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM s),
+s AS (SELECT doc_id, pos, unit, length(unit) AS n, CAST(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(unit) - 1 AS BIGINT) AS start FROM u),
+w AS (SELECT *, start + n AS stop, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM s),
+l AS (SELECT doc_id, pos, start, stop, norm, len(string_split(norm, ' ')) AS words, string_split(regexp_replace(lower(unit), '\s', ' ', 'g'), ' ') AS parts FROM w WHERE norm <> ''),
+x AS (SELECT doc_id, pos, start, stop, t.i AS i, parts[t.i] AS word, start + sum(length(parts[t.i]) + 1) OVER (PARTITION BY doc_id, pos ORDER BY t.i) - length(parts[t.i]) - 1 AS place FROM l, unnest(range(1, len(parts) + 1)) AS t(i) WHERE words > 40),
+y AS (SELECT *, row_number() OVER o - 1 AS k, md5(word || ' ' || lead(word) OVER o)[1:8] AS h FROM x WHERE word <> '' WINDOW o AS (PARTITION BY doc_id, pos ORDER BY i)),
+z AS (SELECT *, h < min(h) OVER (o ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AND h < min(h) OVER (o ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)
+  AND count(h) OVER (o ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) = 15 AS cut FROM y WINDOW o AS (PARTITION BY doc_id, pos ORDER BY k)),
+q AS (SELECT *, sum(CAST(coalesce(cut, FALSE) AS INT)) OVER (PARTITION BY doc_id, pos ORDER BY k) AS piece FROM z),
+r AS (SELECT doc_id, pos, piece, CASE WHEN piece = 0 THEN min(start) ELSE min(place) END AS start, max(stop) AS unit_stop, string_agg(word, ' ' ORDER BY k) AS norm FROM q GROUP BY doc_id, pos, piece),
+a AS (SELECT doc_id, start, stop, norm FROM l WHERE words <= 40 UNION ALL
+  SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id, pos ORDER BY piece), unit_stop), norm FROM r),
 k AS (SELECT doc_id, start, stop, md5(norm) AS digest, count(*) OVER g AS occurrences, first_value(doc_id) OVER o AS kept_doc_id,
   first_value(start) OVER o AS kept_start, row_number() OVER o AS rn
-  FROM w WHERE len(string_split(norm, ' ')) >= 5
+  FROM a WHERE len(string_split(norm, ' ')) >= 8
   WINDOW g AS (PARTITION BY norm), o AS (PARTITION BY norm ORDER BY doc_id, start))
-SELECT doc_id, start, stop, digest, occurrences, kept_doc_id, kept_start FROM k WHERE rn > 1
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, digest, occurrences, kept_doc_id, CAST(kept_start AS BIGINT) AS kept_start FROM k WHERE rn > 1
 """
 
 

@@ -1,9 +1,12 @@
-"""Substring dedup by line or paragraph hashing.
+"""Substring dedup by hashing of lines, paragraphs or sentences.
 
-Texts are cut into units (lines, or paragraphs between blank lines); a unit is normalised (lower-cased, runs of ASCII
-white space made one blank, ends trimmed) and digested; the occurrence with the least (doc_id, start) of each digest stays
-and the others go, with their offsets in the original text. Units of fewer than `min_words` words stay: they repeat by
-chance.
+Texts are cut into units; a unit is normalised (lower-cased, runs of ASCII white space made one blank, ends trimmed)
+and digested; the occurrence with the least (doc_id, start) of each digest stays and the others go, with their offsets
+in the original text. Units of fewer than `min_words` words stay: they repeat by chance.
+
+Passages that repeat often begin and end within a line, so the default unit is a sentence of a line, and a sentence of
+more than `LONG` words is cut at words that its words alone decide (`cuts`): a passage inside it is cut alike wherever
+it stands.
 
 Digests are counted and ranked by an aggregate that sums up before it shuffles; only digests that occur twice or more
 meet their occurrences, in a join of two exchanges whose skewed side Spark splits. So a line that most documents have
@@ -24,23 +27,40 @@ from pyspark.sql import functions as F
 
 from twinspark.llm.common import materialize
 
-MIN_WORDS = 5
-LINES, PARAGRAPHS = r"\n", r"\n[^\S\n]*\n\s*"
+MIN_WORDS = 8
+LINES, PARAGRAPHS, SENTENCES = r"\n", r"\n[^\S\n]*\n\s*", r"\n|(?<=[.!?])[ \t\f\r]"
+#: Units of more words are cut further; so many words on both sides take part in the choice of a cut.
+LONG, NEAR = 40, 7
 _UNITS = "doc_id long, row long, start long, stop long, d0 long, d1 long"
 
 
-def units(text: str | None, separator: re.Pattern, min_words: int) -> Iterator[tuple[int, int, bytes]]:
+_WORD = re.compile(r"[^ \t\n\r\f\v]+")
+
+
+def cuts(words: list[str]) -> list[int]:
+    """Words before which to cut: those whose hash (of the word and the next) is the only least among NEAR on both sides."""
+    h = [md5(f"{a} {b}".encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:4] for a, b in zip(words, words[1:])]
+    return [i for i in range(NEAR, len(h) - NEAR) if all(h[i] < h[j] for j in range(i - NEAR, i + NEAR + 1) if j != i)]
+
+
+def units(text: str | None, separator: re.Pattern, min_words: int, long: int = LONG) -> Iterator[tuple[int, int, bytes]]:
     """(start, stop, normalised unit) of the units that have `min_words` words."""
     at, text = 0, text or ""
     for m in [*separator.finditer(text), None]:
         stop = m.start() if m else len(text)
         words = text[at:stop].lower().encode("utf-8", "surrogatepass").split()
-        if len(words) >= max(1, min_words):
+        if len(words) > long > 0:
+            place = [w.start() for w in _WORD.finditer(text, at, stop)]
+            edge = [0, *cuts([w.decode("utf-8", "surrogatepass") for w in words]), len(words)]
+            for a, b in zip(edge, edge[1:]):
+                if b - a >= max(1, min_words):
+                    yield (place[a] if a else at), (place[b] if b < len(words) else stop), b" ".join(words[a:b])
+        elif len(words) >= max(1, min_words):
             yield at, stop, b" ".join(words)
         at = m.end() if m else stop
 
 
-def unit_table(df: DataFrame, id_col: str, text_col: str, separator: str, min_words: int) -> DataFrame:
+def unit_table(df: DataFrame, id_col: str, text_col: str, separator: str, min_words: int, long: int) -> DataFrame:
     """A row for each unit: doc_id, start and stop in characters, 128-bit digest (d0, d1); `row` is a number of its own for
     each unit, steady only once the table is written."""
 
@@ -57,7 +77,7 @@ def unit_table(df: DataFrame, id_col: str, text_col: str, separator: str, min_wo
         out, digests, row = [], [], TaskContext.get().partitionId() << 40
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for start, stop, unit in units(text.as_py(), pattern, min_words):
+                for start, stop, unit in units(text.as_py(), pattern, min_words, long):
                     row += 1
                     out.append((doc_id, row, start, stop))
                     digests.append(md5(unit, usedforsecurity=False).digest())
@@ -69,15 +89,15 @@ def unit_table(df: DataFrame, id_col: str, text_col: str, separator: str, min_wo
     return inner.mapInArrow(run, _UNITS)
 
 
-def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = SENTENCES, min_words: int = MIN_WORDS, long: int = LONG) -> DataFrame:
     """A row for each unit to remove: doc_id, start, stop (characters), digest, occurrences, and the kept occurrence's
     kept_doc_id and kept_start.
 
-    Null and empty texts have no units. A null id ranks after all others. Where (doc_id, start) ties (rows that share an
+    `long` 0 leaves long units whole. Null and empty texts have no units. A null id ranks after all others. Where (doc_id, start) ties (rows that share an
     id), all but one go, so the result always holds one row less than occurrences for each digest. An empty table gives no
     rows.
     """
-    table = materialize(unit_table(df, id_col, text_col, separator, min_words), "units")
+    table = materialize(unit_table(df, id_col, text_col, separator, min_words, long), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "row")
     found = table.groupBy("d0", "d1").agg(F.count("*").alias("occurrences"), F.min(rank).alias("kept")).where("occurrences > 1")
     # written, so that the join below is of two exchanges, of which Spark splits skewed ones
