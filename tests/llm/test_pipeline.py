@@ -29,9 +29,9 @@ def test_stages_and_run(spark, tmp_path):
     kept = sorted(seen[2].doc_id)
     stack = np.array([f[d] for d in kept])
     for i, d in enumerate(kept):
-        assert (np.bitwise_count(stack ^ f[d]).sum(axis=1) <= 17).sum() == 1
+        assert (np.bitwise_count(stack ^ f[d]).sum(axis=1) <= 21).sum() == 1
     for d in set(f) - set(kept):
-        assert any(np.bitwise_count(f[x] ^ f[d]).sum() <= 17 for x in f if x != d)
+        assert any(np.bitwise_count(f[x] ^ f[d]).sum() <= 21 for x in f if x != d)
     assert set(seen[3].doc_id) < set(kept)
     encode, spans = Encoder(**public_tokenizer()), defaultdict(int)
     ids = {d: np.append(encode(t), np.uint32(0)).astype("<u4") for d, t in zip(seen[3].doc_id, seen[3].text)}

@@ -47,18 +47,19 @@ def test_equals_brute_force(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("t", [0, 1, 4, 8])
-def test_every_close_pair_meets_in_a_bucket(t):
+@pytest.mark.parametrize("chain", [2, 3])
+@pytest.mark.parametrize("t", [0, 1, 2, 4, 8, 10])
+def test_every_close_pair_meets_in_a_bucket(t, chain):
     rng = random.Random(t)
-    a = [rng.getrandbits(64) for _ in range(500)]
+    a = [rng.getrandbits(64) for _ in range(200)]
     b = []
     for x in a:
         for bit in rng.sample(range(64), rng.randint(0, t)):
             x ^= 1 << bit
         b.append(x)
-    ka, ra = bucket_keys(np.array(a, dtype=np.uint64), 0, t)
-    kb, rb = bucket_keys(np.array(b, dtype=np.uint64), 0, t)
-    assert {(int(k), int(r)) for k, r in zip(ka, ra)} and all({int(k) for k in ka[ra == i]} & {int(k) for k in kb[rb == i]} for i in range(500))
+    ka, ra = bucket_keys(np.array(a, dtype=np.uint64), 0, t, chain)
+    kb, rb = bucket_keys(np.array(b, dtype=np.uint64), 0, t, chain)
+    assert {(int(k), int(r)) for k, r in zip(ka, ra)} and all({int(k) for k in ka[ra == i]} & {int(k) for k in kb[rb == i]} for i in range(200))
 
 
 def test_links_of_large_buckets_connect_the_same():
