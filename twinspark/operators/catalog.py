@@ -89,7 +89,7 @@ class VideoTable:
     def write(self, df: DataFrame) -> None:
         """A new version; readers see it once it is whole."""
         names = [f.name for f in self.spark.createDataFrame([], self.schema).schema.fields]
-        df.select(*names).write.partitionBy(*self.partitions).parquet(f"{self.path}/v{time.time_ns():020d}")
+        (df.select(*names).write.partitionBy(*self.partitions) if self.partitions else df.select(*names).write).parquet(f"{self.path}/v{time.time_ns():020d}")
 
     def upsert(self, new: DataFrame, key: str = "video_id") -> None:
         self.write(upsert(self.current(), new, key))

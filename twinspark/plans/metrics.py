@@ -268,3 +268,53 @@ def agg25b(spark, sf):
 @register("agg25_regularization", f"{_L} SELECT round(sum(greatest(-0.1 - s, 0) + greatest(s - 0.1, 0)), 5) AS loss FROM l_")
 def agg25c(spark, sf):
     return rounded(linalg.regularization_loss(_loss_cells(spark, sf), -0.1, 0.1), "loss", digits=5)
+
+
+@register("prj09_channel_normalize", "SELECT event_id, round((CAST(event_id % 256 AS DOUBLE) / 255 - [0.485, 0.456, 0.406][user_id % 3 + 1]::DOUBLE) / [0.229, 0.224, 0.225][user_id % 3 + 1]::DOUBLE, 6) AS x FROM events")
+def prj09(spark, sf):
+    from twinspark.operators.models import channel_normalized
+
+    e = T.read(spark, sf, "events")
+    return rounded(e.select("event_id", channel_normalized((F.col("event_id") % 256).cast("double"), F.col("user_id") % 3).alias("x")), "x")
+
+
+@register("prj06_perceptual_hash")
+def prj06(spark, sf):
+    from twinspark.sources.files import hashed_pictures
+
+    grey = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.transform(doubles(F.col("embedding")), lambda x: x * k + F.sin(x * 50))))
+    return hashed_pictures(T.read(spark, sf, "embeddings").select("vec_id", grey.alias("grey"))).select("vec_id", "h")
+
+
+@register("mdl04_compared")
+def mdl04(spark, sf):
+    import numpy as np
+
+    from twinspark.operators.models import compared
+
+    rng = np.random.default_rng(0)
+    shapes = [(4, 1, 3, 3), (8, 4, 3, 3), (8, 8, 3, 3), (1, 8, 1, 1)]
+    weights = [(rng.normal(size=s) / np.sqrt(9 * s[1]), np.zeros(s[0])) for s in shapes]
+    return rounded(compared(cells(spark, sf, 1, 10), weights), "score")
+
+
+@register("mdl08_mean_descriptor", f"{_LONG}, m AS (SELECT video_id, region_idx, d, avg(x) AS x FROM x GROUP BY ALL) SELECT video_id, region_idx, d, round(x / sqrt(sum(x * x) OVER (PARTITION BY video_id, region_idx)), 6) AS x FROM m")
+def mdl08(spark, sf):
+    from twinspark.functions.vector import normalized
+
+    p = pooling.pool(T.frames(spark, sf), ["video_id", "region_idx"])
+    return rounded(_pooled(p.withColumn("f", normalized(F.col("f")))).withColumn("region_idx", F.col("region_idx").cast("long")), "x")
+
+
+@register("plb11_symmetric_rerank", f"WITH {T.SQL_FRAMES1}, c_ AS (SELECT a.video_id AS query_id, b.video_id, a.frame_idx AS i, b.frame_idx AS j, greatest(-1, least(1, list_dot_product(a.f, b.f))) / 2 + 0.5 AS s FROM frame_ a JOIN frame_ b ON a.video_id < b.video_id AND b.video_id < 20), x AS (SELECT query_id, video_id, avg(m) AS a FROM (SELECT query_id, video_id, i, max(s) AS m FROM c_ GROUP BY ALL) GROUP BY ALL), y AS (SELECT query_id, video_id, avg(m) AS b FROM (SELECT query_id, video_id, j, max(s) AS m FROM c_ GROUP BY ALL) GROUP BY ALL) SELECT query_id, video_id, round((a + b) / 2, 6) AS score FROM x JOIN y USING (query_id, video_id)")
+def plb11(spark, sf):
+    return rounded(chamfer.rerank(pairs(spark, sf), T.frames(spark, sf, 1).drop("region_idx"), symmetric=True), "score")
+
+
+@register("plb12_masked_weights", f"WITH {T.SQL_FRAMES} SELECT video_id, frame_idx, region_idx, round(list_sum(list_transform(f, lambda x: x * ((list_sum(f) / 4) / sqrt(list_dot_product(f, f)) / 2 + 0.5))), 6) AS total FROM frame_ WHERE frame_idx <> 4")
+def plb12(spark, sf):
+    from twinspark.functions.vector import norm
+
+    w = dot(F.col("f"), F.array(*[F.lit(0.25)] * 16)) / norm(F.col("f")) / 2 + 0.5
+    f = T.frames(spark, sf).where("frame_idx <> 4").withColumn("f", F.zip_with("f", F.array_repeat(w, 16), lambda x, k: x * k))
+    return rounded(f.select("video_id", "frame_idx", "region_idx", F.aggregate("f", F.lit(0.0), lambda s, x: s + x).alias("total")), "total")

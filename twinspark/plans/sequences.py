@@ -159,3 +159,48 @@ def str05(spark, sf):
 
     h = T.hashes(spark, sf)
     return matched(h.where("video_id % 3 = 0").withColumnRenamed("video_id", "query_id"), h).select("query_id", "video_id")
+
+
+@register("src09_random_window", f"WITH {FRAMES}, s AS (SELECT video_id, n, CAST(floor(CAST(('0x' || left(md5('9|' || video_id), 8)) AS BIGINT) / 4294967296.0::DOUBLE * (greatest(n - 4, 0) + 1)) AS BIGINT) AS start FROM n_) SELECT f_.video_id, frame_idx - start AS frame_idx, f FROM f_ JOIN s USING (video_id) WHERE frame_idx >= start AND frame_idx < start + 4")
+def src09(spark, sf):
+    f = frames(spark, sf)
+    n = f.groupBy("video_id").agg(F.count("*").alias("n"))
+    start = F.floor(O.hashed_uniform("video_id", seed=9) * (F.greatest(F.col("n") - 4, F.lit(0)) + 1))
+    return O.cropped(f.join(n, "video_id").withColumn("start", start), F.col("start"), 4).select("video_id", "frame_idx", "f")
+
+
+@register("snk10_thumbnail_frame", f"WITH {FRAMES} SELECT f_.video_id, frame_idx, f FROM f_ JOIN n_ USING (video_id) WHERE frame_idx = CAST(floor(0.1 * n) AS BIGINT)")
+def snk10(spark, sf):
+    f = frames(spark, sf)
+    n = f.groupBy("video_id").agg(F.floor(0.1 * F.count("*")).alias("frame_idx"))
+    return f.join(n, ["video_id", "frame_idx"]).select("video_id", "frame_idx", "f")
+
+
+@register("plb22_shuffled_order", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('1|' || doc_id), doc_id) AS place FROM documents")
+def plb22(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("lang").orderBy(F.md5(F.concat_ws("|", F.lit("1"), "doc_id")), "doc_id")
+    return T.read(spark, sf, "documents").select("doc_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@register("tmp09_strong_pipeline", f"WITH {FRAMES}, c AS (SELECT video_id, frame_idx - video_id % 2 AS frame_idx, f FROM f_ WHERE frame_idx >= video_id % 2 AND frame_idx < video_id % 2 + 8), s AS (SELECT video_id, frame_idx // 2 AS frame_idx, f FROM c WHERE frame_idx % 2 = 0), m AS (SELECT video_id, max(frame_idx) AS last FROM s GROUP BY video_id) SELECT video_id, last - frame_idx AS frame_idx, f FROM s JOIN m USING (video_id)")
+def tmp09(spark, sf):
+    return O.reversed_frames(O.fast_forward(O.cropped(frames(spark, sf), F.col("video_id") % 2, 8), 2))
+
+
+@register("str02_first_within", "WITH k AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id, user_id FROM k WHERE before IS NULL OR ts - before > INTERVAL 12 HOUR")
+def str02(spark, sf):
+    """The batch form of dropping keys seen within a time to live, where each sighting renews it."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = T.read(spark, sf, "events").withColumn("before", F.lag("ts").over(w))
+    return e.where(F.col("before").isNull() | (F.col("ts") - F.col("before") > F.expr("interval 12 hours"))).select("event_id", "user_id")
+
+
+@register("str04_newest_of_key", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) WHERE n <= 5")
+def str04(spark, sf):
+    from twinspark.streaming.ingest import newest
+
+    return newest(T.read(spark, sf, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts", 5).select("event_id", "user_id")

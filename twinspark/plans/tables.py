@@ -171,3 +171,48 @@ def plb25(spark, sf):
 @register("prj15_projection", "SELECT doc_id, lang FROM documents WHERE source = 'src3'")
 def prj15(spark, sf):
     return T.read(spark, sf, "documents").where("source = 'src3'").select("doc_id", "lang")
+
+
+@register("mut05_delete_all", "SELECT count(*) AS removed, 0 AS n FROM orders")
+def mut05(spark, sf):
+    r = rows(spark, sf)
+    return r.agg(F.count("*").alias("removed")).withColumn("n", F.lit(0))
+
+
+@register("mut09_hash_changes", f"WITH {T.SQL_HASHES} SELECT video_id, CAST(bit_count(h) AS INTEGER) AS ones FROM hash_ WHERE video_id % 4 <> 0 UNION ALL SELECT video_id + 100000, CAST(bit_count(h) AS INTEGER) FROM hash_ WHERE video_id % 4 = 0")
+def mut09(spark, sf):
+    h = T.hashes(spark, sf)
+    gone = h.where("video_id % 4 = 0")
+    moved = gone.select((F.col("video_id") + 100000).alias("video_id"), "h")
+    return catalog.append(catalog.delete(h, gone), moved).select("video_id", F.bit_count("h").alias("ones"))
+
+
+@register("plb01_evaluation_ids", "SELECT DISTINCT label AS query_id FROM embeddings WHERE vec_id % 3 = 0")
+def plb01(spark, sf):
+    return T.read(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.col("label").alias("query_id")).distinct()
+
+
+@register("plb03_list_ids", "SELECT o_orderkey AS video_id FROM orders WHERE o_orderstatus = 'O'")
+def plb03(spark, sf):
+    return rows(spark, sf, "o_orderstatus = 'O'").select("video_id")
+
+
+@register("plb06_first_match", "SELECT min(event_id) AS event_id FROM events WHERE user_id = 7")
+def plb06(spark, sf):
+    return T.read(spark, sf, "events").where("user_id = 7").agg(F.min("event_id").alias("event_id"))
+
+
+@register("snk09_similarity_rows", "SELECT user_id AS query_id, event_type AS target_id, round(max(value), 4) AS score FROM events GROUP BY ALL")
+def snk09(spark, sf):
+    return T.read(spark, sf, "events").groupBy(F.col("user_id").alias("query_id"), F.col("event_type").alias("target_id")).agg(F.round(F.max("value"), 4).alias("score"))
+
+
+@register("srt01_stable_order", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY round(value) DESC, event_id) AS place FROM events")
+def srt01(spark, sf):
+    w = Window.partitionBy("event_type").orderBy(F.desc(F.round("value")), "event_id")
+    return T.read(spark, sf, "events").select("event_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@register("srt06_limited", "SELECT path FROM (SELECT 'p' || page_id AS path, page_id FROM pages) ORDER BY page_id LIMIT 20")
+def srt06(spark, sf):
+    return T.read(spark, sf, "pages").orderBy("page_id").limit(20).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"))

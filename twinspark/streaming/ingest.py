@@ -14,10 +14,13 @@ def arrivals(spark: SparkSession, path: str, schema: str, files_per_trigger: int
 
 
 def ingest(stream: DataFrame, table: VideoTable, checkpoint: str, key: str = "video_id", order: str = "added_at"):
-    """Upsert each micro-batch into `table`, the last row of a key winning; runs until what is there is taken in."""
+    """Upsert each micro-batch into `table`, the newest row of a key winning; runs until what is there is taken in.
+
+    A batch that is run again, or files that come out of order, give the same table.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
-        table.upsert(latest(df, key, [F.desc(order)]), key)
+        table.write(latest(table.current().unionByName(df), key, [F.desc(order)]))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
