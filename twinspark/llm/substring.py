@@ -81,7 +81,7 @@ def unit_table(df: DataFrame, id_col: str, text_col: str, separator: str, min_wo
                     row += 1
                     out.append((doc_id, row, start, stop))
                     digests.append(md5(unit, usedforsecurity=False).digest())
-                if len(out) >= 50_000:
+                if len(out) >= 20_000:
                     yield flush()
         yield flush()
 
@@ -98,11 +98,13 @@ def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows.
     """
     table = materialize(unit_table(df, id_col, text_col, separator, min_words, long), "units")
+    # counts alone are hashed, not sorted; most digests occur once and go no further
+    twice = materialize(table.groupBy("d0", "d1").agg(F.count("*").alias("occurrences")).where("occurrences > 1"), "twice")
+    hits = materialize(table.join(twice, ["d0", "d1"]), "hits")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "row")
-    found = table.groupBy("d0", "d1").agg(F.count("*").alias("occurrences"), F.min(rank).alias("kept")).where("occurrences > 1")
     # written, so that the join below is of two exchanges, of which Spark splits skewed ones
-    found = materialize(found, "repeated")
-    out = table.join(found, ["d0", "d1"]).where("row <> kept.row")
+    kept = materialize(hits.groupBy("d0", "d1").agg(F.min(rank).alias("kept")), "kept")
+    out = hits.join(kept, ["d0", "d1"]).where("row <> kept.row")
     digest = F.lower(F.concat(F.lpad(F.hex("d0"), 16, "0"), F.lpad(F.hex("d1"), 16, "0")))
     return out.select("doc_id", "start", "stop", digest.alias("digest"), "occurrences", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
 
