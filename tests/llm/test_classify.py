@@ -38,10 +38,10 @@ def test_odd_rows(spark, classes):
     texts = ["the cat and the dog sat"] * 60 + ["der hund und die katze"] * 60
     labels = (["en"] * 60 + ["de"] * 60)[: 60 * classes]
     model = train(texts[: len(labels)], labels, LETTERS)
-    rows = [(1, "the dog", "x"), (2, None, "x"), (3, "", None), (None, "die katze", "x"), (5, "12 34 !", "x"), (5, "12 34 !", "x"), (6, "der und " * 50_000, "x")]
+    rows = [(1, "the dog", "x"), (2, None, "x"), (3, "", None), (None, "die katze", "x"), (5, "12 34 !", "x"), (5, "12 34 !", "x"), (7, "½ ² ٣", "x"), (6, "der und " * 50_000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string")
     got = {r.doc_id: r for r in language(df, model).collect()}
-    assert [got[i].lang_pred for i in (2, 3, 5)] == ["und"] * 3 and got[5].score == 0
+    assert [got[i].lang_pred for i in (2, 3, 5, 7)] == ["und"] * 4 and got[5].score == 0
     assert [got[i].lang_pred for i in (1, None, 6)] == [["und"] * 3, ["en"] * 3, ["en", "de", "de"]][classes]
     assert language(df.limit(0), model).count() == 0
     toxic = train(["you idiot " * 10, "nice day " * 10] * (40 * (classes > 0)), ([1, 0] if classes == 2 else [1, 1]) * (40 * (classes > 0)), LETTERS, window=4)

@@ -40,3 +40,17 @@ def test_stages_and_run(spark, tmp_path):
         spans[r.doc_id] += r.length
     assert spans == {d: len(x) for d, x in ids.items()}
     assert cp.run(spark, SF).groupBy().sum("length").first()[0] == sum(spans.values())
+
+
+def test_stages_with_odd_rows(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, "en", "s", 0, 1.0), (2, text, None, None, None, 2.0), (None, text, "en", "s", 5, 3.0), (4, None, "en", "s", None, None), (5, "", "en", "s", 0, 0.0), (5, "", "en", "s", 0, 0.0), (6, "w " * 30_000, "en", "s", 1, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double")
+    for part in (docs, docs.limit(0)):
+        now = part
+        for name, stage in cp.STAGES[:-1]:
+            now = stage(spark, now, SF)
+            assert now.columns == docs.columns, name
+        ids = sorted((r.doc_id for r in now.collect()), key=str)
+        assert ids == ([] if part is not docs else [1, 4, 6, None])
+        assert {r.doc_id for r in cp.STAGES[-1][1](spark, now, SF).collect()} == set(ids)

@@ -98,7 +98,8 @@ def language(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
             for t in b.column(b.num_columns - 1):
                 p, n = score(t.as_py())
                 i = int(p.argmax())
-                known = n > 0 and len(m.classes) > 0
+                # a digit form like a half is a word character, but no letter
+                known = n > 0 and len(m.classes) > 0 and any(map(str.isalpha, t.as_py()))
                 lang.append(m.classes[i] if known else "und")
                 conf.append(float(p[i]) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(conf, pa.float64()), pa.array([x == 0 or x < m.reject_below for x in conf], pa.bool_())], [*b.schema.names[:-1], "lang_pred", "score", "rejected"])
