@@ -13,7 +13,7 @@ from twinspark.llm.subword import Model, train
 #: Words of letters, digits and what misspellings put inside words.
 TOXIC_WORDS = r"[^\W_]+(?:[@$*!_'][^\W_]+)*"
 #: Words of a bag; a text is as toxic as its most toxic bag.
-WINDOW = 12
+WINDOW = 6
 LETTERS = r"[^\W\d_]+"
 #: At most about so many labelled rows train a model (half of them for each label, or a share for each language).
 TOXIC_SAMPLE = 6_000
@@ -50,7 +50,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, holds_out: Column, sam
         return train([], [], TOXIC_WORDS)
     rows = rows.sort_values(["doc_id", "toxic", "text"], na_position="first")
     total = sum(counts.values())
-    return train(rows.text.tolist(), rows.toxic.tolist(), TOXIC_WORDS, prior={c: n / total for c, n in counts.items()}, window=WINDOW, steps=900)
+    return train(rows.text.tolist(), rows.toxic.tolist(), TOXIC_WORDS, prior={c: n / total for c, n in counts.items()}, window=WINDOW, steps=2_500, batch=64)
 
 
 def toxicity(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

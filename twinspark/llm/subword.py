@@ -216,7 +216,7 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray, weight: np.ndarray
         q -= q.max(axis=1, keepdims=True)
         return q - np.log(np.exp(q).sum(axis=1, keepdims=True))
 
-    shifts = np.linspace(-8, 8, 33) if model.window else [0.0]
+    shifts = np.linspace(-24, 24, 97) if model.window else [0.0]
     model.slope, model.shift = min(((a, c) for a in np.geomspace(0.1, 4, 23) for c in shifts), key=lambda x: -float((w * spread(*x)[np.arange(len(y)), y]).sum()))
     p = np.exp(spread(model.slope, model.shift))
     right, conf = p.argmax(axis=1) == y, p.max(axis=1)
