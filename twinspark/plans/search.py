@@ -309,3 +309,37 @@ def cos(spark, sf):
     return rounded(j.select("video_id", cosine(F.col("v"), F.col("w")).alias("score")), "score")
 
 
+
+
+@register("win03_topk_partners", _top(COS, k=20, ids="TRUE").replace("SELECT query_id, video_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank", "SELECT query_id, video_id, round(s, 6) AS score").replace("rank <= 20", "rank <= 20 AND s >= 0.3 AND query_id <> video_id"))
+def win03(spark, sf):
+    return rounded(similarity.similar_pairs(T.descriptors(spark, sf), 0.3, "cosine", k=20).drop("rank"), "score")
+
+
+@register("snk01_written_and_read", f"WITH {V} SELECT video_id, duration, {T.SQL_BUCKET} AS bucket FROM video_ WHERE {T.SQL_BUCKET} = '10-30s'")
+def snk01(spark, sf):
+    """What a table partitioned by bucket gives back of one partition."""
+    import tempfile
+
+    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinspark-")
+    path = f"{path.rstrip('/')}/videos-{spark.sparkContext.applicationId}"
+    v = T.videos(spark, sf).select("video_id", "duration", S.duration_bucket(F.col("duration")).alias("bucket"))
+    v.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return spark.read.schema("video_id long, duration double, bucket string").parquet(path).where("bucket = '10-30s'")
+
+
+@register("str01_arrivals", f"WITH {V} SELECT video_id, max(duration) AS duration FROM video_ GROUP BY video_id")
+def str01(spark, sf):
+    """The batch form of ingest: the newest row of each id."""
+    from twinspark.operators.catalog import latest
+
+    return latest(T.videos(spark, sf).select("video_id", "duration", "ts"), "video_id", [F.desc("ts")]).drop("ts")
+
+
+@register("mut10_listing", f"WITH {V}, m AS (SELECT video_id, name, {T.SQL_BUCKET} AS duration_bucket, {T.SQL_ASPECT} AS aspect_ratio, printf('%x', (SELECT 15)) AS phash FROM video_) SELECT * FROM m ORDER BY video_id LIMIT 100")
+def mut10(spark, sf):
+    v = T.videos(spark, sf)
+    m = v.select("video_id", "name", S.duration_bucket(F.col("duration")).alias("duration_bucket"), S.aspect_class(F.col("width"), F.col("height")).alias("aspect_ratio"), S.hash_text(F.lit(15).cast("long")).alias("phash"))
+    from twinspark.operators.catalog import page_after
+
+    return page_after(m, None, 100)
