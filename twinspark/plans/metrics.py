@@ -135,7 +135,7 @@ def prj10(spark, sf):
     return rounded(T.descriptors(spark, sf).select("video_id", F.posexplode(matvec(MATRIX, F.transform("v", lambda x: x - 0.01))).alias("i", "x")), "x")
 
 
-@register("prj11_attention", f"WITH {T.SQL_FRAMES}, w AS (SELECT video_id, frame_idx, region_idx, f, (list_sum(f) / 4) / sqrt(list_dot_product(f, f)) / 2 + 0.5 AS w FROM frame_) SELECT video_id, frame_idx, region_idx, round(w, 6) AS w, round(w * f[1], 6) AS first FROM w")
+@register("prj11_attention", f"WITH {T.SQL_FRAMES}, w AS (SELECT video_id, frame_idx, region_idx, f, (list_sum(f) / 4) / sqrt(list_dot_product(f, f)) / 2 + 0.5 AS w FROM frame_) SELECT video_id, frame_idx, CAST(region_idx AS INTEGER) AS region_idx, round(w, 6) AS w, round(w * f[1], 6) AS first FROM w")
 def prj11(spark, sf):
     from twinspark.functions.vector import norm
 
@@ -260,9 +260,9 @@ def agg25a(spark, sf):
     return rounded(linalg.info_nce(_loss_cells(spark, sf)), "loss")
 
 
-@register("agg25_hard_negative", f"{_L}, b AS (SELECT i, max(CASE WHEN y = 0 THEN s ELSE -100 END) AS w, max(CASE WHEN i = j THEN s END) AS o FROM l_ GROUP BY i) SELECT round(avg(-ln(greatest(1 - w, 1e-3))), 6) AS hardneg, round(avg(-ln(greatest(o, 1e-3))), 5) AS self FROM b")
+@register("agg25_hard_negative", f"{_L}, b AS (SELECT i, max(CASE WHEN y = 0 THEN s ELSE -100 END) AS w, max(CASE WHEN i = j THEN s END) AS o FROM l_ GROUP BY i) SELECT round(avg(-ln(greatest(1 - w, 1e-3))), 6) AS hardneg, round(avg(-ln(greatest(o, 1e-3))), 5) + 0 AS self FROM b")
 def agg25b(spark, sf):
-    return rounded(rounded(linalg.hard_negative_loss(_loss_cells(spark, sf)), "hardneg"), "self", digits=5)
+    return rounded(rounded(linalg.hard_negative_loss(_loss_cells(spark, sf)), "hardneg"), "self", digits=5).withColumn("self", F.col("self") + 0.0)
 
 
 @register("agg25_regularization", f"{_L} SELECT round(sum(greatest(-0.1 - s, 0) + greatest(s - 0.1, 0)), 5) AS loss FROM l_")
@@ -311,7 +311,7 @@ def plb11(spark, sf):
     return rounded(chamfer.rerank(pairs(spark, sf), T.frames(spark, sf, 1).drop("region_idx"), symmetric=True), "score")
 
 
-@register("plb12_masked_weights", f"WITH {T.SQL_FRAMES} SELECT video_id, frame_idx, region_idx, round(list_sum(list_transform(f, lambda x: x * ((list_sum(f) / 4) / sqrt(list_dot_product(f, f)) / 2 + 0.5))), 6) AS total FROM frame_ WHERE frame_idx <> 4")
+@register("plb12_masked_weights", f"WITH {T.SQL_FRAMES} SELECT video_id, frame_idx, CAST(region_idx AS INTEGER) AS region_idx, round(list_sum(list_transform(f, lambda x: x * ((list_sum(f) / 4) / sqrt(list_dot_product(f, f)) / 2 + 0.5))), 6) AS total FROM frame_ WHERE frame_idx <> 4")
 def plb12(spark, sf):
     from twinspark.functions.vector import norm
 
