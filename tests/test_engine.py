@@ -213,6 +213,8 @@ def test_engine(spark, tmp_path):
     e.add(df.limit(3))
     assert e.status().first().videos == 30
     q = df.where("video_id = 'v00'")
+    plan = e._pruned(e.videos.current(), q.withColumn("duration_bucket", F.lit("10-30s")).withColumn("aspect_ratio", F.lit("landscape")))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(duration_bucket" in plan and "aspect_ratio" in plan.split("PartitionFilters")[1][:300]
     got = e.search(q, rerank=False).orderBy("rank").collect()
     assert [r.video_id for r in got] == ["v00", "v01", "v02"] and got[0].path == "/v/0.mp4" and got[0].score == 1.0
     assert {r.video_id for r in e.duplicates().collect()} == {"v00", "v01", "v02"}

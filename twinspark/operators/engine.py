@@ -87,9 +87,17 @@ class Engine:
         q = payload(queries).withColumnRenamed("video_id", "query_id")
         with_hash = lambda df, key: df.select(F.col(key).alias("video_id"), hash_number(F.col("phash")).alias("h")).where("h is not null")
         frames = self.frames.current() if rerank else None
-        found = search(q.where("v is not null"), index.where("v is not null"), with_hash(index, "video_id"), with_hash(q, "query_id"), frames, o, ["duration_bucket", "aspect_ratio"])
+        found = search(q.where("v is not null"), self._pruned(index, q).where("v is not null"), with_hash(index, "video_id"), with_hash(q, "query_id"), frames, o, ["duration_bucket", "aspect_ratio"])
         return found.join(index.drop("v"), "video_id", "left")
 
+    def _pruned(self, index: DataFrame, queries: DataFrame) -> DataFrame:
+        """`index` without the partitions that no query's buckets allow; a query of unknown bucket allows all."""
+        for c in ("duration_bucket", "aspect_ratio"):
+            wanted = [r[0] for r in queries.select(c).distinct().collect()]  # a handful of names
+            if wanted and "unknown" not in wanted:
+                index = index.where(F.col(c).isin(*wanted))
+        return index
+
     def duplicates(self, threshold: float | None = None, top_k: int | None = None) -> DataFrame:
         """Greedy groups: group_id, video_id, place."""
         v = self.videos.current().where("v is not null").select("video_id", "v")
