@@ -50,7 +50,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, holds_out: Column, sam
         return train([], [], TOXIC_WORDS)
     rows = rows.sort_values(["doc_id", "toxic", "text"], na_position="first")
     total = sum(counts.values())
-    return train(rows.text.tolist(), rows.toxic.tolist(), TOXIC_WORDS, prior={c: n / total for c, n in counts.items()}, window=WINDOW, steps=2_500, batch=64)
+    return train(rows.text.tolist(), rows.toxic.tolist(), TOXIC_WORDS, prior={c: n / total for c, n in counts.items()}, window=WINDOW, steps=1_500, batch=64)
 
 
 def toxicity(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -24,10 +24,12 @@ CACHE_WORDS = 300_000
 def grams(word: str, rows: int, low: int = 3, high: int = 5) -> list[int]:
     """Rows of the whole word and of its n-grams, with marks at both ends."""
     s, crc = f"<{word}>", zlib.crc32
+    if s.isascii():
+        s = s.encode()
+        return [crc(s) % rows, *[crc(s[i : i + n], n) % rows for n in range(low, min(high + 1, len(s))) for i in range(len(s) - n + 1)]]
     out = [crc(s.encode("utf-8", "surrogatepass")) % rows]
-    for n in range(low, high + 1):
-        if n < len(s):
-            out += [crc(s[i : i + n].encode("utf-8", "surrogatepass"), n) % rows for i in range(len(s) - n + 1)]
+    for n in range(low, min(high + 1, len(s))):
+        out += [crc(s[i : i + n].encode("utf-8", "surrogatepass"), n) % rows for i in range(len(s) - n + 1)]
     return out
 
 
@@ -54,7 +56,13 @@ class Model:
     reject_below: float = 0.0
 
     def scorer(self) -> Scorer:
-        return Scorer(self)
+        """One for each process that has the model, so that tasks share the words it remembers."""
+        if "_scorer" not in self.__dict__:
+            self._scorer = Scorer(self)
+        return self._scorer
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_scorer"}
 
 
 class Scorer(dict):
@@ -63,12 +71,14 @@ class Scorer(dict):
     def __init__(self, model: Model):
         self.m, self.find = model, re.compile(model.pattern).findall
         self.known = np.zeros((1024, model.parts.shape[1]))
+        self.columns = [c.tolist() for c in model.parts.T]
 
     def __missing__(self, word: str) -> int:
         i = self[word] = len(self)
         if i >= len(self.known):
             self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-        self.known[i] = self.m.parts[grams(word, len(self.m.parts))].mean(axis=0)
+        rows = grams(word, len(self.m.parts))
+        self.known[i] = [sum(map(c.__getitem__, rows)) / len(rows) for c in self.columns]
         return i
 
     def logits(self, text: str | None) -> tuple[np.ndarray, int]:
@@ -97,22 +107,28 @@ class Scorer(dict):
 
 
 class _Words:
-    """Words of the training texts by number, and each word's rows."""
+    """Words of the training texts by number, one text after the other, and each word's rows."""
 
     def __init__(self, texts: list[str], pattern: str, rows: int):
-        find, numbers, of_word = re.compile(pattern).findall, {}, []
-        self.docs = []
+        find, numbers, of_word, docs = re.compile(pattern).findall, {}, [], []
         for t in texts:
             found = find((t or "").lower())
             for w in found:
                 if w not in numbers:
                     numbers[w] = len(numbers)
                     of_word.append(np.array(grams(w, rows), dtype=np.int32))
-            self.docs.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+            docs.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+        self.tokens, self.n = np.concatenate(docs), np.array([len(d) for d in docs], dtype=np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.n)[:-1]])
         self.size = np.array([len(g) for g in of_word], dtype=np.int64)
         self.flat, self.first = np.concatenate(of_word), np.concatenate([[0], np.cumsum(self.size)[:-1]])
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. start + n - 1 of each."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
 class _State:
     """Vectors, softmax and their squared gradients."""
 
@@ -121,21 +137,21 @@ class _State:
         self.W, self.b = rng.normal(0, 0.3, (dim, classes)).astype(np.float32), np.zeros(classes, np.float32)
         self.E2, self.W2, self.b2 = np.full(rows, damp, np.float32), np.full_like(self.W, 1e-6), np.full_like(self.b, 1e-6)
 
-    def step(self, words: _Words, bags: list[np.ndarray], y: np.ndarray, lr: float, scale: float) -> None:
-        lens = np.array([len(b) for b in bags])
-        uniq, inv = np.unique(np.concatenate(bags), return_inverse=True)
+    def step(self, words: _Words, start: np.ndarray, lens: np.ndarray, y: np.ndarray, lr: float, scale: float) -> None:
+        """One batch of bags: runs of `lens` tokens from `start`."""
+        k = len(start)
+        uniq, inv = np.unique(words.tokens[_ranges(start, lens)], return_inverse=True)
         n = words.size[uniq]
-        start = np.concatenate([[0], np.cumsum(n)[:-1]])
-        gram = words.flat[np.repeat(words.first[uniq] - start, n) + np.arange(n.sum())]
-        vec = np.add.reduceat(self.E[gram], start, axis=0) / n[:, None].astype(np.float32)
-        cell = np.repeat(np.arange(len(bags)) * len(uniq), lens) + inv
-        A = np.bincount(cell, weights=np.repeat(1 / lens, lens), minlength=len(bags) * len(uniq)).reshape(len(bags), len(uniq)).astype(np.float32)
+        gram, at = words.flat[_ranges(words.first[uniq], n)], np.concatenate([[0], np.cumsum(n)[:-1]])
+        vec = np.add.reduceat(self.E[gram], at, axis=0) / n[:, None].astype(np.float32)
+        cell = np.repeat(np.arange(k) * len(uniq), lens) + inv
+        A = np.bincount(cell, weights=np.repeat(1 / lens, lens), minlength=k * len(uniq)).reshape(k, len(uniq)).astype(np.float32)
         h = scale * (A @ vec)
         p = h @ self.W + self.b
         p = np.exp(p - p.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(bags)), y] -= 1
-        p /= len(bags)
+        p[np.arange(k), y] -= 1
+        p /= k
         dW, db = h.T @ p, p.sum(axis=0)
         each = np.repeat((A.T @ (p @ (scale * self.W.T))) / n[:, None].astype(np.float32), n, axis=0)
         o = np.argsort(gram, kind="stable")
@@ -149,14 +165,19 @@ class _State:
         self.b2 += db * db
         self.b -= lr * db / np.sqrt(self.b2)
 
-    def fit(self, words: _Words, bags: list[np.ndarray], y: np.ndarray, steps: int, batch: int, rate: float, scale: float, rng: np.random.Generator) -> None:
-        order, at = rng.permutation(len(bags)), 0
+    def fit(self, words: _Words, start: np.ndarray, lens: np.ndarray, y: np.ndarray, steps: int, batch: int, rate: float, scale: float, rng: np.random.Generator) -> None:
+        order, at = rng.permutation(len(start)), 0
         for k in range(steps):
             if at >= len(order):
-                order, at = rng.permutation(len(bags)), 0
+                order, at = rng.permutation(len(start)), 0
             part = order[at : at + batch]
             at += batch
-            self.step(words, [bags[i] for i in part], y[part], rate * (1 - k / steps), scale)
+            self.step(words, start[part], lens[part], y[part], rate * (1 - k / steps), scale)
+
+    def margins(self, words: _Words, scale: float) -> np.ndarray:
+        """What each word adds for class 1 over class 0, without bias."""
+        direction = (self.W[:, 1] - self.W[:, 0]) * scale
+        return np.add.reduceat((self.E @ direction)[words.flat], words.first) / words.size
 
 
 def train(texts: list[str], labels: list, pattern: str, prior: dict | None = None, window: int | None = None, steps: int = 600, batch: int = 32, rate: float = 0.3, scale: float = 30.0, damp: float = 1e-7, rounds: int = 3, rows: int = ROWS, dim: int = DIM, seed: int = 7) -> Model:
@@ -173,29 +194,27 @@ def train(texts: list[str], labels: list, pattern: str, prior: dict | None = Non
         raise ValueError("runs of words take two classes")
     rng = np.random.default_rng(seed)
     y, words = np.array([classes.index(v) for v in labels], dtype=np.int64), _Words(texts, pattern, rows)
-    order = rng.permutation([i for i, d in enumerate(words.docs) if len(d)])
+    order = rng.permutation(np.flatnonzero(words.n))
     kept = order[: len(order) // 5] if len(order) >= 50 else order
     fit = order[len(order) // 5 :] if len(order) >= 50 else order
     state = _State(rows, dim, k, rng, damp)
     if window is None:
-        state.fit(words, [words.docs[i] for i in fit], y[fit], steps, batch, rate, scale, rng)
+        state.fit(words, words.begin[fit], words.n[fit], y[fit], steps, batch, rate, scale, rng)
     else:
-        bags, of = [], []
-        for i in fit:
-            d = words.docs[i]
-            bags += [d[s : s + window] for s in runs(len(d), window)]
-            of += [i] * (len(bags) - len(of))
-        of = np.array(of)
-        use = np.arange(len(bags))
+        at = [runs(int(n), window) for n in words.n[fit]]
+        of = np.repeat(fit, [len(a) for a in at])
+        start = words.begin[of] + np.concatenate(at)
+        lens = np.minimum(window, words.n[of])
+        use = np.arange(len(start))
         for r in range(rounds):
             # as many steps as pass over the runs, between a half and twice `steps`
             n = int(np.clip(len(use) // batch, steps // 2, 2 * steps))
-            state.fit(words, [bags[i] for i in use], y[of[use]], n, batch, rate / (1 + r), scale, rng)
-            margin = np.add.reduceat(state.E[words.flat], words.first, axis=0) / words.size[:, None] @ (state.W[:, 1] - state.W[:, 0]) * scale + state.b[1] - state.b[0]
-            score = np.array([margin[b].mean() for b in bags])
+            state.fit(words, start[use], lens[use], y[of[use]], n, batch, rate / (1 + r), scale, rng)
+            total = np.concatenate([[0.0], np.cumsum(state.margins(words, scale)[words.tokens].astype(np.float64))])
+            score = (total[start + lens] - total[start]) / lens + state.b[1] - state.b[0]
             top = np.full(len(texts), -np.inf)
             np.maximum.at(top, of, score)
-            hard = (y[of] == 0) & ((score > -4) | (rng.random(len(bags)) < 0.5))
+            hard = (y[of] == 0) & ((score > -4) | (rng.random(len(start)) < 0.5))
             use = np.flatnonzero(hard | (y[of] == 1) & ((score > 0) | (score >= top[of])))
     share = np.bincount(y, minlength=k) / len(y)
     b = state.b + (0 if not prior or window else np.log(np.array([max(prior.get(c, 0), 1e-9) for c in classes])) - np.log(share))
