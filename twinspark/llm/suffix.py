@@ -32,7 +32,7 @@ LENGTH = 400
 GRAM = 64
 #: Bytes of runs sorted at once, and of a key beyond which its starts are dealt out by digest.
 BLOCK_BYTES = 4 << 20
-KEY_BYTES = 8 << 20
+KEY_BYTES = 1 << 20
 
 _MUL = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
