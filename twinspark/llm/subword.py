@@ -18,7 +18,7 @@ import numpy as np
 ROWS = 1 << 18
 DIM = 8
 #: Words that a scorer remembers before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 
 
 def grams(word: str, rows: int, low: int = 3, high: int = 5) -> list[int]:
@@ -56,13 +56,8 @@ class Model:
     reject_below: float = 0.0
 
     def scorer(self) -> Scorer:
-        """One for each process that has the model, so that tasks share the words it remembers."""
-        if "_scorer" not in self.__dict__:
-            self._scorer = Scorer(self)
-        return self._scorer
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_scorer"}
+        """A new one, to go with its task: what a worker kept from task to task would add up."""
+        return Scorer(self)
 
 
 class Scorer(dict):
@@ -71,14 +66,13 @@ class Scorer(dict):
     def __init__(self, model: Model):
         self.m, self.find = model, re.compile(model.pattern).findall
         self.known = np.zeros((1024, model.parts.shape[1]))
-        self.columns = [c.tolist() for c in model.parts.T]
 
     def __missing__(self, word: str) -> int:
         i = self[word] = len(self)
         if i >= len(self.known):
             self.known = np.concatenate([self.known, np.zeros_like(self.known)])
         rows = grams(word, len(self.m.parts))
-        self.known[i] = [sum(map(c.__getitem__, rows)) / len(rows) for c in self.columns]
+        self.known[i] = self.m.parts.take(rows, axis=0).sum(axis=0) / len(rows)
         return i
 
     def logits(self, text: str | None) -> tuple[np.ndarray, int]:
