@@ -46,3 +46,39 @@ def test_equals_brute_force(spark, gram, window):
         keep = [x for i, x in enumerate(x for x in (text or "").split("\n") if x.split()) if i not in gone.get(d, ())]
         assert [x for x in (out[d].text or "").split("\n") if x.split()] == keep
     assert dedup_lines(df.limit(0)).count() == removed_runs(df.limit(0)).count() == 0
+
+
+def test_short_runs_of_many_words(spark):
+    """Against brute force: later runs go that have three lines, or fewer of eight words together."""
+    rng = random.Random(5)
+    one, pair, wide = "one line of nine words that stands by itself", ["five words in this line", "and four words more"], "\u6f22\u5b57" * 10
+    pool = [one, one.upper(), *pair, wide, "short one", "a b c", "x", "", "eight words make a line that goes wholly"]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 5)))) for i in range(60)]
+    docs += [(100, one), (101, one + "\nown"), (102, "own 2\n" + "\n".join(pair)), (103, wide), (104, "short one"), (None, one), (105, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    lines = {d: [" ".join(x.lower().split()) for x in (t or "").split("\n") if x.split()] for d, t in docs}
+    words, seen, gone = (lambda x: 10 if x == wide else len(x.split())), set(), {}
+    for d, _ in docs[:-2] + docs[-1:] + docs[-2:-1]:
+        for i in range(len(lines[d])):
+            for n in (1, 2, 3):
+                part = lines[d][i : i + n]
+                if len(part) == n and (n == 3 or sum(map(words, part)) >= 8):
+                    if tuple(part) in seen:
+                        gone.setdefault(d, set()).update(range(i, i + n))
+                    seen.add(tuple(part))
+    assert gone[101] == {0} and gone[102] == {1, 2} and gone[100] == gone[103] == gone[None] == {0} and 104 not in gone
+    got = {}
+    for r in removed_runs(df, min_words=8).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.line, r.line + r.lines))
+    assert got == gone
+    for r in dedup_lines(df, min_words=8).collect():
+        assert [" ".join(x.lower().split()) for x in (r.text or "").split("\n") if x.split()] == [x for i, x in enumerate(lines[r.doc_id]) if i not in gone.get(r.doc_id, ())]
+    assert 101 not in {r.doc_id for r in removed_runs(df).collect()}
+
+
+def test_pipeline_cuts_a_repeated_line(spark):
+    import corpus_pipeline as cp
+
+    text = "one line of nine words that stands by itself"
+    docs = spark.createDataFrame([(1, text, 44), (2, text + "\nown", 48)], "doc_id long, text string, n_chars long")
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in cp.line_dedup(spark, docs, "").collect()) == [(1, text, 44), (2, "own", 3)]

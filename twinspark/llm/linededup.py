@@ -7,6 +7,9 @@ dropped; around each of the others the match is extended both ways, to the runs
 which meet by digest. The run with the least (doc_id, line) stays, later ones go; runs that overlap or touch are
 one longer run.
 
+With `min_words`, a run of fewer lines is a match too where it holds so many words: such runs are too short to be
+winnowed, so each is a fingerprint of its own. Text of scripts without blanks between words counts by its characters.
+
 Digests are counted by an aggregate that sums up before it shuffles, and meet their places in a join of two exchanges,
 which Spark splits where it is skewed; no pairs of places are made.
 """
@@ -25,6 +28,8 @@ from twinspark.llm.common import materialize
 from twinspark.llm.substring import LINES, units
 
 GRAM, WINDOW = 2, 2
+#: Characters of scripts that set no blanks between words (Thai to Burmese, Khmer, Chinese, Japanese); two count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def _digest(lines: list[bytes]) -> int:
@@ -42,8 +47,25 @@ def winnow(hashes: list[int], window: int) -> list[int]:
     return out
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, gram: int, window: int) -> DataFrame:
-    """print (hash), doc_id, text_hash, at (line), and the digests of the runs that hold it: first (line of the first), runs."""
+def n_words(line: bytes) -> int:
+    """Words of a normalised line."""
+    n = line.count(b" ") + 1
+    return n if line.isascii() else max(n, len(_UNSPACED.findall(line.decode("utf-8", "surrogatepass"))) // 2)
+
+
+def short_runs(lines: list[bytes], length: int, min_words: int) -> Iterator[tuple[int, int]]:
+    """(line, lines) of the runs of less than `length` lines that hold `min_words` words. A longer run is left out where
+    each of its lines is a run by itself, as these go with it."""
+    words = [n_words(u) for u in lines]
+    for n in range(1, length):
+        for i in range(len(lines) - n + 1):
+            part = words[i : i + n]
+            if sum(part) >= min_words and (n == 1 or min(part) < min_words):
+                yield i, n
+
+
+def fingerprints(df: DataFrame, id_col: str, text_col: str, gram: int, window: int, min_words: int | None = None) -> DataFrame:
+    """print (hash), doc_id, text_hash, and the digests of the runs of n lines that hold it: first (line of the first), runs."""
     length = gram + window - 1
     kind = pa.list_(pa.int64())
 
@@ -53,42 +75,45 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, gram: int, window: i
             out = []
             for doc_id, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 lines = [u for _, _, u in units(text.as_py(), pattern, 1, 0)]
+                for at, n in short_runs(lines, length, min_words) if min_words else ():
+                    one = _digest([b"", *lines[at : at + n]])  # no line is empty, so no gram has this digest
+                    out.append((one, doc_id, text_hash, at, n, [one]))
                 if len(lines) < length:
                     continue
                 grams = [_digest(lines[i : i + gram]) for i in range(len(lines) - gram + 1)]
                 runs = [_digest(lines[i : i + length]) for i in range(len(lines) - length + 1)]
                 for at in winnow(grams, window):
                     first = max(0, at + gram - length)
-                    out.append((grams[at], doc_id, text_hash, first, runs[first : at + 1]))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], kind)], ["print", "doc_id", "text_hash", "first", "runs"])
+                    out.append((grams[at], doc_id, text_hash, first, length, runs[first : at + 1]))
+            cols = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], kind)], ["print", "doc_id", "text_hash", "first", "n", "runs"])
 
     inner = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return inner.mapInArrow(run, "print long, doc_id long, text_hash long, first long, runs array<bigint>")
+    return inner.mapInArrow(run, "print long, doc_id long, text_hash long, first long, n long, runs array<bigint>")
 
 
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """A row for each text that loses lines: doc_id, text_hash and first, the lines where a later run of
-    `gram + window - 1` lines begins (counted from 0 over lines that aren't blank, sorted)."""
-    prints = materialize(fingerprints(df, id_col, text_col, gram, window), "prints")
+def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, min_words: int | None = None) -> DataFrame:
+    """A row for each text that loses lines: doc_id, text_hash and runs, sorted pairs (line, n) of the later runs: of
+    `gram + window - 1` lines, or of fewer that hold `min_words` words (counted from 0 over lines that aren't blank)."""
+    prints = materialize(fingerprints(df, id_col, text_col, gram, window, min_words), "prints")
     twice = materialize(prints.groupBy("print").count().where("count > 1").select("print"), "shared")
-    places = prints.join(twice, "print", "left_semi").select("doc_id", "text_hash", F.posexplode("runs").alias("k", "run"), "first")
+    places = prints.join(twice, "print", "left_semi").select("doc_id", "text_hash", "n", F.posexplode("runs").alias("k", "run"), "first")
     # several fingerprints of a text may hold a run; repeated rows count as one
-    places = materialize(places.select("run", "doc_id", "text_hash", (F.col("first") + F.col("k")).alias("line")).distinct(), "runs")
+    places = materialize(places.select("run", "doc_id", "text_hash", (F.col("first") + F.col("k")).alias("line"), F.col("n").alias("lines")).distinct(), "runs")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "text_hash")
     kept = materialize(places.groupBy("run").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).where("n > 1"), "kept")
     later = places.join(kept, "run").where(rank > F.col("kept"))
-    return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("first"))
+    return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("line", "lines"))).alias("runs"))
 
 
-def removed_lines(text: str | None, first: list[int], length: int) -> list[tuple[int, int, int, int]]:
+def removed_lines(text: str | None, runs: list) -> list[tuple[int, int, int, int]]:
     """(line, lines, start, stop) of the maximal runs that go; start and stop in characters, line ends excluded."""
     found, out = [(a, b) for a, b, _ in units(text, re.compile(LINES), 1, 0)], []
-    for line in first:
+    for line, n in runs:
         if out and line <= out[-1][0] + out[-1][1]:
-            out[-1] = (out[-1][0], line + length - out[-1][0])
+            out[-1] = (out[-1][0], max(out[-1][1], line + n - out[-1][0]))
         else:
-            out.append((line, length))
+            out.append((line, n))
     return [(line, n, found[line][0], found[line + n - 1][1]) for line, n in out]
 
 
@@ -101,42 +126,41 @@ def without(text: str, spans: list[tuple[int, int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _with_runs(df: DataFrame, id_col: str, text_col: str, gram: int, window: int) -> DataFrame:
-    """`df` with `__first`, null for texts that lose nothing."""
-    found = repeated_runs(df, id_col, text_col, gram, window).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("first").alias("__first"))
+def _with_runs(df: DataFrame, id_col: str, text_col: str, gram: int, window: int, min_words: int | None) -> DataFrame:
+    """`df` with `__runs`, null for texts that lose nothing."""
+    found = repeated_runs(df, id_col, text_col, gram, window, min_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("runs").alias("__runs"))
     on = F.col("__id").eqNullSafe(F.col(id_col).cast("long")) & (F.col("__hash") == F.xxhash64(text_col))
     return df.join(found, on, "left").drop("__id", "__hash")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, min_words: int | None = None) -> DataFrame:
     """`df` with the later repeated runs of lines cut out of its texts; other columns stay.
 
-    Null and empty texts and texts of fewer lines than a run are left alone; a null id ranks last; repeated rows (equal id
-    and text) count as one and lose the same lines; an empty table gives no rows.
+    A run has `gram + window - 1` lines or more, or `min_words` words where that is given. Null and empty texts and texts
+    without a run are left alone; a null id ranks last; repeated rows (equal id and text) count as one and lose the same
+    lines; an empty table gives no rows.
     """
-    length = gram + window - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, hit = b.schema.get_field_index(text_col), b.column(b.num_columns - 1)
-            text = pa.array([t.as_py() if not f.is_valid else without(t.as_py(), removed_lines(t.as_py(), f.as_py(), length)) for t, f in zip(b.column(at), hit)], b.schema.field(at).type)
+            text = pa.array([t.as_py() if not f.is_valid else without(t.as_py(), removed_lines(t.as_py(), [(r["line"], r["lines"]) for r in f.as_py()])) for t, f in zip(b.column(at), hit)], b.schema.field(at).type)
             cols = b.columns[:-1]
             cols[at] = text
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(list(b.schema)[:-1]))
 
-    return _with_runs(df, id_col, text_col, gram, window).mapInArrow(run, df.schema)
+    return _with_runs(df, id_col, text_col, gram, window, min_words).mapInArrow(run, df.schema)
 
 
-def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, min_words: int | None = None) -> DataFrame:
     """A row for each maximal run of lines that `dedup_lines` removes: doc_id, line, lines, start, stop."""
-    length = gram + window - 1
     names = ["doc_id", "line", "lines", "start", "stop"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(d, *r) for d, t, f in zip(*(c.to_pylist() for c in b.columns)) for r in removed_lines(t, f, length)]
+            out = [(d, *r) for d, t, f in zip(*(c.to_pylist() for c in b.columns)) for r in removed_lines(t, [(x["line"], x["lines"]) for x in f])]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    hit = _with_runs(df.select(id_col, text_col), id_col, text_col, gram, window).where("__first is not null")
-    return hit.select(F.col(id_col).cast("long").alias("doc_id"), text_col, "__first").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    hit = _with_runs(df.select(id_col, text_col), id_col, text_col, gram, window, min_words).where("__runs is not null")
+    return hit.select(F.col(id_col).cast("long").alias("doc_id"), text_col, "__runs").mapInArrow(run, ", ".join(f"{n} long" for n in names))
