@@ -29,3 +29,14 @@ def test_equals_brute_force(spark, scale):
     assert top_k(df.limit(0)).count() == 0
     one = spark.createDataFrame([(50, [1.0])], "vec_id long, embedding array<double>")
     assert top_k(one).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5])
+def test_repeats_of_the_best_candidates(spark, scale):
+    """Repeats of a query's best rows, all in one partition, take one place each; 1e5 takes the path of exact integers."""
+    rng = random.Random(8)
+    q = [scale * rng.uniform(1, 2) for _ in range(6)]
+    rows = [(50, q)] + [(i, [x * (9 - i) for x in q]) for i in range(1, 8)] * 6 + [(100 + i, [x * rng.random() for x in q]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted(tuple(r) for r in top_k(df).collect())
+    assert got == brute(rows, 5) and [r[2] for r in got if r[0] == 50] == [1, 2, 3, 4, 5]

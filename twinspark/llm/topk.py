@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinspark.llm.common import materialize
+
 #: Queries of a block, and candidates that give the first threshold.
 QUERY_BLOCK = 8192
 SEEDS = 512
@@ -65,7 +67,8 @@ class Shard:
             at = min(at, STEP)
             first = terms[:at]
             part = q[i, first] @ self.columns[first] + least[i, terms[at:]].sum()
-            live = np.flatnonzero(part + rest[at] >= theta)
+            # rows of the query's own id are no hits, so they must not lift theta
+            live = np.flatnonzero((part + rest[at] >= theta) & (self.ids != query_ids[i]))
             part = part[live]
             while at < len(terms) and len(live):
                 to = min(len(terms), at + STEP)
@@ -73,12 +76,11 @@ class Shard:
                 part = part + self.x[np.ix_(live, some)] @ q[i, some] - least[i, some].sum()
                 at = to
                 if len(live) > k:  # what is sure already may lift theta
-                    theta = max(theta, np.partition(part, len(part) - k - 1)[len(part) - k - 1])
+                    theta = max(theta, np.partition(part, len(part) - k)[len(part) - k])
                 keep = part + rest[at] >= theta
                 live, part = live[keep], part[keep]
-            own = self.ids[live] != query_ids[i]
-            if own.any():
-                yield (i, *_merge(part[own], self.ids[live][own], k))
+            if len(live):
+                yield (i, *_merge(part, self.ids[live], k))
 
 
 def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -94,7 +96,9 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col:
     vec = F.col(vector_col)
     ok = F.col(id_col).isNotNull() & vec.isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = df.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec, lambda x: F.floor(x.cast("double") * float(scale))).alias("x"))
-    queries = rows.where(F.col("vec_id") % every == 0).distinct()
+    # repeated rows must not take places of a shard's k best, nor lift its threshold; written once for all blocks
+    rows = materialize(rows.distinct(), "vectors")
+    queries = rows.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-queries.count() // query_block))
     # by hash of the id; a block has about `query_block` rows
     seeds = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).toPandas()
@@ -110,7 +114,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col:
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
@@ -146,10 +150,10 @@ def _pass(rows: DataFrame, queries, seeds, width: int, k: int) -> DataFrame:
                 for i, score, hit in shard.search(query_ids, q.astype(kind), theta, k) if fit else _plain(v, x, query_ids, q, k):
                     old = best.get(i)
                     if old:
-                        both = {(s, h) for s, h in zip([*old[0], *score], [*old[1], *hit])}
+                        both = zip([*old[0], *score], [*old[1], *hit])
                         score, hit = map(list, zip(*sorted(both, key=lambda p: (-p[0], p[1]))[:k]))
                     best[i] = (list(score), list(hit))
-                    if len({*best[i][1]}) == k and fit:
+                    if len(best[i][1]) == k and fit:
                         theta[i] = max(theta[i], float(best[i][0][-1]))
         out = [(int(query_ids[i]), int(h), int(s)) for i, (score, hit) in best.items() for s, h in zip(score, hit)]
         cols = list(zip(*out)) or [()] * 3
