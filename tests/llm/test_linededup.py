@@ -74,11 +74,3 @@ def test_short_runs_of_many_words(spark):
     for r in dedup_lines(df, min_words=8).collect():
         assert [" ".join(x.lower().split()) for x in (r.text or "").split("\n") if x.split()] == [x for i, x in enumerate(lines[r.doc_id]) if i not in gone.get(r.doc_id, ())]
     assert 101 not in {r.doc_id for r in removed_runs(df).collect()}
-
-
-def test_pipeline_cuts_a_repeated_line(spark):
-    import corpus_pipeline as cp
-
-    text = "one line of nine words that stands by itself"
-    docs = spark.createDataFrame([(1, text, 44), (2, text + "\nown", 48)], "doc_id long, text string, n_chars long")
-    assert sorted((r.doc_id, r.text, r.n_chars) for r in cp.line_dedup(spark, docs, "").collect()) == [(1, text, 44), (2, "own", 3)]
