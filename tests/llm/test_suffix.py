@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from twinspark.llm import suffix
 from twinspark.llm.induced import suffix_order
 from twinspark.llm.suffix import suffix_dedup
 
@@ -51,3 +52,23 @@ def test_documents(spark):
     got = [tuple(r) for r in suffix_dedup(df).drop("spans").collect()]
     assert sorted(got, key=str) == brute([(r.doc_id, r.text) for r in df.collect()], 400)
     assert sum(r[2] for r in got) > 0
+
+
+def test_rows_told_grow_with_the_runs(spark, monkeypatch):
+    """200 texts share a passage: what repeats is told once a run, and a place meets few rows."""
+    rng = random.Random(8)
+    own = lambda: "".join(rng.choice("abcdefgh") for _ in range(150))
+    passage = own()
+    df = spark.createDataFrame([(i, own() + passage + own()) for i in range(200)] + [(900 + i, own()[:40] + passage) for i in range(3)] * 2, "doc_id long, text string")
+    seen = {}
+
+    def spy(table, name):
+        seen[name] = written(table, name)
+        return seen[name]
+
+    written = suffix.materialize
+    monkeypatch.setattr(suffix, "materialize", spy)
+    for key_bytes in (1 << 20, 0):
+        got = suffix_dedup(df, 64, 16, key_bytes=key_bytes).drop("spans").collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute([(r.doc_id, r.text) for r in df.collect()], 64)
+        assert seen["found"].count() <= 2 * seen["kinds"].count() and seen["places"].join(seen["found"], ["key", "digest"]).count() <= 2 * seen["places"].count()

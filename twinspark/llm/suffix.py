@@ -11,7 +11,8 @@ are what the operator moves:
    order whose common prefix reaches `length` repeat.
 3. A key whose runs outgrow a block (a line that very many texts share) isn't gathered in one task: its starts meet by
    digest of their whole string, in an aggregate.
-4. What repeats is joined to all places, and each text's bytes are cut.
+4. What repeats is told once for each run: a run that occurs twice goes as a whole at each of its places, and only of a
+   run that occurs once are there spans of starts. So a place meets a few rows. Each text's bytes are cut.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinspark.llm.common import materialize
@@ -106,9 +107,9 @@ def _places(df: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _fetched(df: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """key, digest, n, large and bytes of each of `wanted`."""
-    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("large", pa.bool_()), ("bytes", pa.binary())])
-    by_text = wanted.groupBy(F.col("at.doc_id").alias("__id"), F.col("at.text_hash").alias("__hash")).agg(F.collect_list(F.struct("key", "digest", "n", "large", F.col("at.start").alias("start"))).alias("runs"))
+    """key, digest, n, once (it has one place), large and bytes of each of `wanted`."""
+    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("once", pa.bool_()), ("large", pa.bool_()), ("bytes", pa.binary())])
+    by_text = wanted.groupBy(F.col("at.doc_id").alias("__id"), F.col("at.text_hash").alias("__hash")).agg(F.collect_list(F.struct("key", "digest", "n", "once", "large", F.col("at.start").alias("start"))).alias("runs"))
     joined = df.join(by_text, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,7 @@ def _fetched(df: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             out = []
             for text, found in zip(batch.column(0), batch.column(1)):
                 raw = _bytes(text.as_py())
-                out += [(r["key"], r["digest"], r["n"], r["large"], raw[r["start"] : r["start"] + r["n"] + length - 1]) for r in found.as_py()]
+                out += [(r["key"], r["digest"], r["n"], r["once"], r["large"], raw[r["start"] : r["start"] + r["n"] + length - 1]) for r in found.as_py()]
                 if len(out) > 5_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                     out = []
@@ -124,7 +125,7 @@ def _fetched(df: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     # of repeated rows each fetches the same runs; the sorting keeps one
-    return joined.mapInArrow(run, "key long, digest long, n long, large boolean, bytes binary")
+    return joined.mapInArrow(run, "key long, digest long, n long, once boolean, large boolean, bytes binary")
 
 
 def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -134,14 +135,17 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def sorted_block(block: list[tuple], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(key, digest, from, to): the starts of each run (key, digest, n, bytes) whose string occurs twice in the block."""
+    """(key, digest, from, to): the starts of each run (key, digest, n, once, bytes) whose string occurs twice in the block.
+
+    Runs that occur more than once take part but aren't told: all their starts repeat.
+    """
     seen, unique = set(), []
     for r in block:
         if (r[0], r[1]) not in seen:
             seen.add((r[0], r[1]))
             unique.append(r)
-    t = np.frombuffer(b"".join(r[3] for r in unique), np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(r[3]) for r in unique])])
+    t = np.frombuffer(b"".join(r[4] for r in unique), np.uint8)
+    begin = np.concatenate([[0], np.cumsum([len(r[4]) for r in unique])])
     valid = np.zeros(len(t), bool)
     for r, at in zip(unique, begin.tolist()):
         valid[at : at + r[2]] = True
@@ -152,7 +156,7 @@ def sorted_block(block: list[tuple], length: int) -> Iterator[tuple[int, int, in
     hit[order[:-1][near]] = True
     hit[order[1:][near]] = True
     for r, at in zip(unique, begin.tolist()):
-        for a, b in _spans(hit[at : at + r[2]]):
+        for a, b in _spans(hit[at : at + r[2]]) if r[3] else ():
             yield r[0], r[1], a, b
 
 
@@ -168,33 +172,37 @@ def _by_suffix(fetched: DataFrame, length: int, block_bytes: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for r in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if size >= block_bytes and r[0] != block[-1][0]:
                     yield solve()
                     block, size = [], 0
                 block.append(r)
-                size += len(r[3])
+                size += len(r[4])
         if block:
             yield solve()
 
-    rows = fetched.select("key", "digest", "n", "bytes").repartition("key").sortWithinPartitions("key", "digest")
+    rows = fetched.select("key", "digest", "n", "once", "bytes").repartition("key").sortWithinPartitions("key", "digest")
     return rows.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
 
 
 def _by_digest(fetched: DataFrame, length: int) -> DataFrame:
     """The same for keys with too many runs for a block, by a digest of each start's string."""
-    names = ["key", "digest", "at", "d0", "d1"]
+    names = ["key", "digest", "once", "at", "d0", "d1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, digest, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for key, digest, n, once, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 two = np.frombuffer(b"".join(blake2b(raw[i : i + length], digest_size=16).digest() for i in range(n)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, digest)), pa.array(np.arange(n)), pa.array(two[:, 0]), pa.array(two[:, 1])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, digest)), pa.array(np.full(n, once)), pa.array(np.arange(n)), pa.array(two[:, 0]), pa.array(two[:, 1])], names)
 
-    one = fetched.select("key", "digest", "n", "bytes").mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()
+    one = fetched.select("key", "digest", "n", "once", "bytes").mapInArrow(run, "key long, digest long, once boolean, at long, d0 long, d1 long").distinct()
     one = materialize(one, "strings")
     twice = materialize(one.groupBy("d0", "d1").count().where("count > 1").select("d0", "d1"), "twice")
-    return one.join(twice, ["d0", "d1"], "left_semi").select("key", "digest", F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
+    hit = one.where("once").join(twice, ["d0", "d1"], "left_semi")
+    # starts that stand together are one span; a run has as many starts as it has bytes, at most
+    island = F.col("at") - F.row_number().over(Window.partitionBy("key", "digest").orderBy("at"))
+    spans = hit.withColumn("island", island).groupBy("key", "digest", "island").agg(F.min("at").alias("from"), (F.max("at") + 1).alias("to"))
+    return spans.drop("island")
 
 
 def suffix_dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, key_bytes: int = KEY_BYTES) -> DataFrame:
@@ -210,12 +218,11 @@ def suffix_dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col:
     kinds = materialize(places.groupBy("key", "digest").agg(F.count("*").alias("places"), F.first("n").alias("n"), F.max("own").alias("own"), F.min(F.struct("doc_id", "text_hash", "start")).alias("at")), "kinds")
     shared = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max("own").alias("own"), F.sum(F.col("n") + length - 1).alias("bytes")).where("kinds > 1 or own = 1")
     shared = materialize(shared.select("key", (F.col("bytes") > key_bytes).alias("large")), "shared")
-    fetched = materialize(_fetched(docs, kinds.drop("own").join(shared, "key"), length), "fetched")
+    fetched = materialize(_fetched(docs, kinds.withColumn("once", F.col("places") == 1).drop("own").join(shared, "key"), length), "fetched")
     found = _by_suffix(fetched.where("not large"), length, block_bytes)
     if not shared.where("large").isEmpty():
         found = found.unionByName(_by_digest(fetched.where("large"), length))
     whole = kinds.where("places > 1").select("key", "digest", F.lit(0).cast("long").alias("from"), F.col("n").alias("to"))
-    # of a run that repeats as a whole nothing else need be told
     found = materialize(whole.unionByName(found), "found")
     hits = places.join(found, ["key", "digest"]).select("doc_id", "text_hash", F.struct((F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to") + length - 1).alias("b")).alias("span"))
     spans = hits.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_set("span")).alias("found"))
