@@ -5,7 +5,7 @@ import numpy as np
 
 import corpus_pipeline as cp
 from twinspark.llm.packing import Encoder, public_tokenizer
-from twinspark.llm.simhash import fingerprint
+from twinspark.llm.simhash import ROUTE, fingerprint
 
 SF = "/root/testdata/sf0.01"
 
@@ -25,13 +25,22 @@ def test_stages_and_run(spark, tmp_path):
     assert 0.85 * len(first) < len(seen[0]) < len(first) and gone.toxic.mean() > 0.8
     assert len(seen[1]) == len(seen[0]) and (seen[1].n_chars == seen[1].text.str.len()).all() and seen[1].n_chars.sum() < seen[0].n_chars.sum()
     # near duplicates: no two that stay are within the bound, and each that goes reaches one with a lesser id
-    f = {d: np.array(fingerprint(t, 5, 2), dtype=np.uint64) for d, t in zip(seen[1].doc_id, seen[1].text)}
+    f = {d: np.array(fingerprint(t, 5, 4) + fingerprint(t, ROUTE.shingle, ROUTE.words), dtype=np.uint64) for d, t in zip(seen[1].doc_id, seen[1].text)}
     kept = sorted(seen[2].doc_id)
-    stack = np.array([f[d] for d in kept])
-    for i, d in enumerate(kept):
-        assert (np.bitwise_count(stack ^ f[d]).sum(axis=1) <= 21).sum() == 1
-    for d in set(f) - set(kept):
-        assert any(np.bitwise_count(f[x] ^ f[d]).sum() <= 21 for x in f if x != d)
+    stack = np.array([f[d] for d in f])
+
+    def near(d):  # brute force
+        x = np.bitwise_count(stack ^ f[d])
+        return set(np.array(list(f))[(x[:, :4].sum(axis=1) <= 48) & (x[:, 4:].min(axis=1) <= ROUTE.max_bits)].tolist())
+
+    left = set(f)
+    while left:
+        group, todo = set(), {min(left)}
+        while todo:
+            group |= todo
+            todo = set().union(*(near(d) for d in todo)) - group
+        assert group & set(kept) == {min(group)}
+        left -= group
     assert set(seen[3].doc_id) < set(kept)
     encode, spans = Encoder(**public_tokenizer()), defaultdict(int)
     ids = {d: np.append(encode(t), np.uint32(0)).astype("<u4") for d, t in zip(seen[3].doc_id, seen[3].text)}

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from twinspark.llm.components import components
-from twinspark.llm.simhash import bucket_keys, links, near_duplicates
+from twinspark.llm.simhash import ROUTE, bucket_keys, chain_length, links, near_duplicates, one_of_each, told_here
 
 
 def brute_fp(text, k=4):
@@ -95,3 +95,74 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_link_is_told_in_the_least_shared_key():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 2).astype(np.uint64)
+    f = base ^ np.array([[sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(2)] for _ in range(40)], dtype=np.uint64)
+    keys = [set() for _ in f]
+    for w in range(2):
+        for k, r in zip(*bucket_keys(np.ascontiguousarray(f[:, w]), w, 6, 2)):
+            keys[r].add(int(k))
+    i, j = np.triu_indices(len(f), 1)
+    shared = [sorted(keys[a] & keys[b]) for a, b in zip(i, j)]
+    some = [n for n, s in enumerate(shared) if s]
+    assert len(some) > 100
+    for place in (0, -1):
+        got = told_here(f, 6, 2, i[some], j[some], np.array([shared[n][place] for n in some], dtype=np.uint64))
+        assert got.tolist() == [shared[n][0] == shared[n][place] for n in some]
+
+
+def test_links_grow_with_the_group(spark, monkeypatch):
+    """A cluster of near copies shares dozens of buckets; its links are told about once a member, and connect it."""
+    from twinspark.llm import simhash
+
+    rng = random.Random(4)
+    base, rows = [f"w{rng.randrange(5000)}" for _ in range(400)], []
+    for i in range(600):
+        words = list(base)
+        for at in rng.sample(range(400), 4):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    counted, inner = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: inner((counted.append(edges.count()), edges)[1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert {r.component_id for r in near_duplicates(df, route=ROUTE).collect()} == {0}
+    assert 599 <= counted[0] < 6 * 600
+
+
+def test_chains_grow_with_the_table():
+    n = [chain_length(10**e, ROUTE.max_bits) for e in range(3, 11)]
+    assert n[0] == 2 and n == sorted(n) and n[-1] >= 4 and chain_length(10, 0) == 1
+
+
+def test_routed_pairs_at_the_bar(spark):
+    """Of pairs with a similarity of 0.8 to 0.85 nine of ten link at least; hardly any of half of that."""
+    rng, rows, band = random.Random(9), [], {}
+    for i in range(160):
+        a = [f"w{rng.randrange(8000)}" for _ in range(300)]
+        b = list(a)
+        while True:
+            b[rng.randrange(300)] = f"y{rng.randrange(10**6)}"
+            x, y = ({" ".join(t[k : k + 5]) for k in range(296)} for t in (a, b))
+            j = len(x & y) / len(x | y)
+            if j < (0.85 if i % 2 else 0.5):
+                break
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        band[2 * i + 1] = j
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), route=ROUTE).collect()}
+    linked = {d: got[d] == d - 1 for d in band}
+    high, low = [linked[d] for d in band if band[d] >= 0.8], [linked[d] for d in band if band[d] < 0.5]
+    assert len(high) > 70 and sum(high) >= 0.9 * len(high) and sum(low) <= 0.05 * len(low)
+
+
+def test_one_of_each_removes_rows(spark):
+    words = lambda seed, n=120: " ".join(f"w{random.Random(seed).randrange(10**6) + k * 7}" for k in range(n))
+    a, b, long = words(1), words(2), "deep " * 200_000
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (9, b + " and four words more", 4), (5, words(3), 5), (5, words(3), 5), (11, None, 6), (12, "", 7), (13, long, 8), (14, long, 9), (None, a, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumnsRenamed({"n": "keep_0"}).repartition(4)
+    got = one_of_each(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    assert sorted(((r.doc_id, r.keep_0) for r in got.collect()), key=str) == sorted([(3, 1), (7, 3), (5, 5), (11, 6), (13, 8), (None, 10)], key=str)
+    assert one_of_each(df.limit(0)).count() == 0

@@ -22,7 +22,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
         return f(spark, sf_dir)
 
     QUERIES[f.__name__] = run
-    return f
+    return run
 
 
 @query
@@ -75,7 +75,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinspark.llm.simhash import near_duplicates
 
-    found = near_duplicates(read(spark, sf_dir, "documents"), shingle=4, max_bits=4, n_words=1)
+    found = near_duplicates(read(spark, sf_dir, "documents"), shingle=4, max_bits=4, n_words=1, route=None)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 

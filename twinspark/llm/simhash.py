@@ -1,19 +1,24 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-A fingerprint has `words` times 64 bits. Two of them that differ in at most `max_bits` bits differ in at most
-t = max_bits // words bits of some 64-bit word. That word is cut into t + 1 segments on a ring; by the pigeonring
-principle some chain of consecutive segments keeps within its proportional budget at every length l, floor(l t / (t + 1))
-differences: none in its first segment, at most one in its first two. So every fingerprint is filed under each start's
-first segment with the second (for very many fingerprints also the third) as it is and with set bits cleared, as many as
-the chain's budget allows; two that keep the budgets meet in a bucket, where the full Hamming distance is checked.
-
-Only distinct fingerprints are filed. A bucket gives links that connect what it connects, not all its pairs.
+A fingerprint has words of 64 bits. Two words that differ in at most t bits are cut into t + 1 segments on a ring; by the
+pigeonring principle some chain of consecutive segments keeps within its proportional budget at every length l,
+floor(l t / (t + 1)) differences: none in its first segment, at most one in its first two. So every fingerprint is filed
+under each start's first segments as they are and with set bits cleared, as many as the chain's budget allows; two that
+keep the budgets meet in a bucket, where the full Hamming distance is checked. The more fingerprints there are, the
+longer are the chains in the keys.
+
+Fingerprints may be routed by words of another shingle (`Route`): an edit of one word changes five shingles of five words,
+but two of two, so pairs at the bar differ in a tenth of the routing bits instead of a sixth, and segments are longer.
+
+Only distinct fingerprints are filed. A bucket gives links that connect what it connects, not all its pairs, and tells a
+link only if its key is the least that the two ends share: elsewhere the ends stand in one tree of that bucket as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -64,20 +69,29 @@ def fingerprint(text: str | None, shingle: int, n_words: int = 1) -> list[int]:
     return out
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+class Route(NamedTuple):
+    """Candidates differ in at most `max_bits` bits of one of `words` 64-bit words over shingles of `shingle` words."""
 
+    shingle: int
+    words: int
+    max_bits: int
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int) -> DataFrame:
-    """doc_id and f0.. (64-bit words as long) of each row."""
-    names = [f"f{w}" for w in range(n_words)]
+
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int, route: Route | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, f0.. and for a route r0.. (64-bit words as long) of each row, and columns `keep` as keep_0, ..."""
+    names = [f"f{w}" for w in range(n_words)] + [f"r{w}" for w in range(route.words if route else 0)]
+    inner = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    kept = inner.schema.fields[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [[_signed(x) for x in fingerprint(t.as_py(), shingle, n_words)] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[w] for g in got], pa.int64()) for w in range(n_words)]], ["doc_id", *names])
+            texts = [t.as_py() for t in b.column(1)]
+            got = [fingerprint(t, shingle, n_words) + (fingerprint(t, route.shingle, route.words) if route else []) for t in texts]
+            words = np.array(got, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(words[:, w]) for w in range(len(names))], *b.columns[2:]], ["doc_id", *names, *[f.name for f in kept]])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(["doc_id long", *[f"{n} long" for n in names]]))
+    ddl = ["doc_id long", *[f"{n} long" for n in names], *[f"{f.name} {f.dataType.simpleString()}" for f in kept]]
+    return inner.mapInArrow(run, ", ".join(ddl))
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -88,11 +102,21 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
 
 
 def chain_length(n: int, max_bits: int) -> int:
-    """Segments in a bucket's key for n fingerprints: two, or three where buckets of two would hold too many."""
-    m = max_bits + 1
-    bits = 128 / m
-    variants = 1 + (bits / 4 if 2 * max_bits // m else 0)
-    return 2 if m < 3 or n * variants / 2**bits <= BUCKET else 3
+    """Segments in a bucket's key for n fingerprints: two, or as many more as keep the expected bucket within `BUCKET`."""
+    m, rows = max_bits + 1, {0: 1.0}  # keys of a start by how many bits they have cleared
+    for depth in range(m):
+        half = 64 / m / 2  # set bits of a segment
+        ways = [1.0]
+        while len(ways) <= max_bits:
+            ways.append(ways[-1] * max(0.0, half - len(ways) + 1) / len(ways))
+        grown: dict[int, float] = {}
+        for used, r in rows.items():
+            for k in range((depth + 1) * max_bits // m - used + 1):
+                grown[used + k] = grown.get(used + k, 0.0) + r * ways[k]
+        rows = grown
+        if depth >= 1 and n * sum(rows.values()) / 2 ** (64 * (depth + 1) / m) <= BUCKET:
+            return depth + 1
+    return m
 
 
 def bucket_keys(f: np.ndarray, word: int, max_bits: int, chain: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -153,45 +177,69 @@ def links(f: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _edges(nodes: DataFrame, names: list[str], max_bits: int, chain: int | None = None) -> DataFrame:
-    """Links between distinct fingerprints, as (a, b) of their numbers `nid`."""
-    n_words, cols = len(names), ["key", "nid", *names]
-    each = max_bits // n_words
+def told_here(f: np.ndarray, max_bits: int, chain: int, i: np.ndarray, j: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether `key` is the least key that rows i and j of `f` (routing words, a column each) share."""
+    if not len(i):
+        return np.zeros(0, bool)
+    keys, rows = map(np.concatenate, zip(*(bucket_keys(np.ascontiguousarray(f[:, w]), w, max_bits, chain) for w in range(f.shape[1]))))
+    kinds, rank = np.unique(keys, return_inverse=True)
+    codes = np.unique(rows.astype(np.int64) * len(kinds) + rank)  # a row's keys, in order
+    first = np.searchsorted(codes // len(kinds), np.arange(len(f) + 1))
+    own, out = np.searchsorted(kinds, key), np.zeros(len(i), bool)
+    for at in range(0, len(i), 20_000):
+        a, b = i[at : at + 20_000], j[at : at + 20_000]
+        n = first[a + 1] - first[a]
+        pair = np.repeat(np.arange(len(a)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a], n)
+        other = codes[place] % len(kinds)
+        want = b[pair] * len(kinds) + other
+        shared = codes[np.minimum(np.searchsorted(codes, want), len(codes) - 1)] == want
+        least = np.full(len(a), len(kinds))
+        np.minimum.at(least, pair[shared], other[shared])
+        out[at : at + 20_000] = least == own[at : at + 20_000]
+    return out
+
+
+def _edges(nodes: DataFrame, names: list[str], routed: list[str], max_bits: int, each: int, chain: int | None = None) -> DataFrame:
+    """Links between distinct fingerprints, as (a, b) of their numbers `nid`: at most `max_bits` bits apart over `names`,
+    and at most `each` in some word of `routed`."""
     chain = chain or chain_length(nodes.count(), each)
+    only = [c for c in names if c not in routed]
+    cols = ["key", "nid", *routed, *only]
+    n_routed, check = len(routed), [2 + (routed + only).index(c) for c in names]
     ddl = ", ".join(f"{c} long" for c in cols)
 
-    def unsigned(b: pa.RecordBatch, at: int) -> np.ndarray:
-        return b.column(at).to_numpy(zero_copy_only=False).view(np.uint64)
-
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nid, f = b.column(0).to_numpy(zero_copy_only=False), [unsigned(b, 1 + w) for w in range(n_words)]
-            for w in range(n_words):
-                keys, rows = bucket_keys(f[w], w, each, chain)
-                for at in range(0, len(keys), 100_000):
-                    r = rows[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(nid[r]), *[pa.array(x[r].view(np.int64)) for x in f]], cols)
+            for w in range(n_routed):
+                f = b.column(1 + w).to_numpy(zero_copy_only=False).view(np.uint64)
+                keys, rows = bucket_keys(f, w, each, chain)
+                for at in range(0, len(keys), 50_000):
+                    r = pa.array(rows[at : at + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000].view(np.int64)), *[c.take(r) for c in b.columns]], cols)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def solve(block: np.ndarray) -> pa.RecordBatch:
-            """block: whole buckets, a row (key, nid, f..) each."""
+            """block: whole buckets, a row (key, nid, routing words, other words) each."""
             edge = np.flatnonzero(np.concatenate([[True], block[1:, 0] != block[:-1, 0]]))
             size = np.diff(np.append(edge, len(block)))
-            a, b = [], []
+            words = block[:, check].view(np.uint64)
             two = edge[size == 2]  # most shared buckets
-            d = sum((np.bitwise_count((block[two, 2 + w] ^ block[two + 1, 2 + w]).view(np.uint64)).astype(np.int64) for w in range(n_words)), np.zeros(len(two), np.int64))
-            a.append(block[two[d <= max_bits], 1])
-            b.append(block[two[d <= max_bits] + 1, 1])
+            near = two[np.bitwise_count(words[two] ^ words[two + 1]).sum(axis=1, dtype=np.int64) <= max_bits]
+            a, b = [near], [near + 1]
             for s, n in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
-                part = block[s : s + n]
-                i, j = links(part[:, 2:].view(np.uint64), max_bits)
-                if len(i):
-                    a.append(part[i, 1])
-                    b.append(part[j, 1])
-            x, y = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                i, j = links(words[s : s + n], max_bits)
+                a.append(s + i)
+                b.append(s + j)
+            a, b = np.concatenate(a), np.concatenate(b)
+            ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            i, j, route = at[: len(a)], at[len(a) :], block[ends][:, 2 : 2 + n_routed].view(np.uint64)
+            told = told_here(route, each, chain, i, j, block[a, 0].view(np.uint64))
+            a, b = a[told], b[told]
+            x, y = block[a, 1], block[b, 1]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)  # a key may hold a row twice
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -215,25 +263,48 @@ def _edges(nodes: DataFrame, names: list[str], max_bits: int, chain: int | None
         if held:
             yield solve(np.concatenate(held))
 
-    keyed = nodes.select("nid", *names).mapInArrow(file, ddl)
+    keyed = nodes.select("nid", *routed, *only).mapInArrow(file, ddl)
     return keyed.repartition("key").sortWithinPartitions("key", "nid").mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, shingle: int = 5, max_bits: int = 21, n_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, f0.. and component_id, the least id that links reach, for every row.
+#: Pairs at the bar differ in 5 bits of a word of this route on average (8 or less in 9 of 10 words) where words are
+#: edited here and there.
+ROUTE = Route(shingle=2, words=2, max_bits=9)
 
-    The defaults stand for a similarity of 0.8 or more of sets of five-word shingles, at which 19 of 128 bits differ on
-    average (13 at 0.9). Null and empty texts share the
-    fingerprint zero; rows that share an id are rows of their own; a component whose ids are all null has a null id; an
-    empty table gives no rows.
+
+def near_duplicates(df: DataFrame, shingle: int = 5, max_bits: int = 48, n_words: int = 4, id_col: str = "doc_id", text_col: str = "text", route: Route | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, f0.. and component_id, the least id that links reach, for every row, and columns `keep` as keep_0, ...
+
+    Two rows link if their fingerprints differ in at most `max_bits` bits and their routing words keep `route`; without a
+    route the fingerprint's own words route, each with its share of the bits, which loses no link. The defaults stand for
+    a similarity of 0.8 or more of sets of five-word shingles, at which 39 of 256 bits differ on average (30 at 0.87).
+
+    Null and empty texts share the fingerprint zero; whole texts are read, however long; rows that share an id are rows of
+    their own; a component whose ids are all null has a null id; other columns may have any names; an empty table gives no rows.
     """
     names = [f"f{w}" for w in range(n_words)]
-    docs = materialize(fingerprints(df, id_col, text_col, shingle, n_words), "fingerprints")
-    nid = F.col("f0") if n_words == 1 else F.xxhash64(*names)
-    nodes = materialize(docs.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("nid", nid), "nodes")
-    found = materialize(components(_edges(nodes, names, max_bits)), "components")
+    routed = [f"r{w}" for w in range(route.words)] if route else names
+    every = names + [c for c in routed if c not in names]
+    docs = materialize(fingerprints(df, id_col, text_col, shingle, n_words, route, keep), "fingerprints")
+    # the number is steady once the table is written
+    nodes = materialize(docs.groupBy(*every).agg(F.min("doc_id").alias("least")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    found = materialize(components(_edges(nodes, names, routed, max_bits, route.max_bits if route else max_bits // n_words)), "components")
     roots = nodes.join(found, nodes.nid == found.node).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = found.join(roots, "root").select(F.col("node").alias("nid"), "component_id")
-    placed = nodes.join(linked, "nid", "left").select(*names, F.coalesce("component_id", "least").alias("component_id"))
+    placed = nodes.join(linked, "nid", "left").select(*every, F.coalesce("component_id", "least").alias("component_id"))
     # written, so that a fingerprint of very many documents is a skewed join of two exchanges, which Spark splits
-    return docs.join(materialize(placed, "placed"), names).select("doc_id", *names, "component_id")
+    return docs.join(materialize(placed, "placed"), every).select("doc_id", *names, "component_id", *[f"keep_{i}" for i in range(len(keep))])
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", route: Route | None = ROUTE, **options) -> DataFrame:
+    """`df` with one row of each component of near duplicates: the least id, of rows that share it any one.
+
+    A row is removed as a row, not by its id. Rows without id stay. The rest is as in `near_duplicates`, routed by pairs of words.
+    """
+    whole = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("n"))
+    whole = materialize(whole, "rows")
+    found = near_duplicates(whole, id_col="n", keep=("doc_id",), route=route, **options).where("keep_0 is not null").select(F.col("doc_id").alias("n"), F.col("keep_0").alias("doc_id"), "component_id")
+    found = materialize(found, "members")
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "n")).alias("kept"))
+    gone = materialize(found.join(materialize(kept, "kept"), "component_id").where("n <> kept.n").select("n"), "gone")
+    return whole.join(gone, "n", "left_anti").select("row.*")
