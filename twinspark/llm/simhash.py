@@ -149,14 +149,20 @@ def bucket_keys(f: np.ndarray, word: int, max_bits: int, chain: int = 2) -> tupl
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def links(f: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def close(x: np.ndarray, y: np.ndarray, max_bits: int, n_words: int, each: int) -> np.ndarray:
+    """Whether x and y (words last: `n_words` to compare, then routing words, if any) differ in at most `max_bits` bits of
+    the former and at most `each` of some routing word."""
+    d = np.bitwise_count(x ^ y)
+    ok = d[..., :n_words].sum(axis=-1, dtype=np.int16) <= max_bits
+    return ok & (d[..., n_words:].min(axis=-1) <= each) if d.shape[-1] > n_words else ok
+
+
+def links(f: np.ndarray, max_bits: int, n_words: int | None = None, each: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) that link, as many as connect all that links connect. f: distinct fingerprints, a column a word."""
-    n = len(f)
+    n, n_words = len(f), n_words or f.shape[1]
     if n <= MATRIX:
-        d = np.bitwise_count(f[:, None, 0] ^ f[None, :, 0]).astype(np.int16)
-        for w in range(1, f.shape[1]):
-            d += np.bitwise_count(f[:, None, w] ^ f[None, :, w])
-        i, j = np.nonzero(np.triu(d <= max_bits, 1))
+        near = np.concatenate([close(f[at : at + 128, None], f[None], max_bits, n_words, each) for at in range(0, n, 128)])
+        i, j = np.nonzero(np.triu(near, 1))
         if len(i) <= 2 * n:
             return i, j
     left, a, b = np.arange(n), [], []
@@ -164,10 +170,7 @@ def links(f: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         stack, left = [left[0]], left[1:]
         while stack and len(left):
             x = stack.pop()
-            d = np.bitwise_count(f[left, 0] ^ f[x, 0]).astype(np.int16)
-            for w in range(1, f.shape[1]):
-                d += np.bitwise_count(f[left, w] ^ f[x, w])
-            near = d <= max_bits
+            near = close(f[left], f[x], max_bits, n_words, each)
             found = left[near]
             if len(found):
                 a.append(np.full(len(found), x))
@@ -206,7 +209,7 @@ def _edges(nodes: DataFrame, names: list[str], routed: list[str], max_bits: int,
     chain = chain or chain_length(nodes.count(), each)
     only = [c for c in names if c not in routed]
     cols = ["key", "nid", *routed, *only]
-    n_routed, check = len(routed), [2 + (routed + only).index(c) for c in names]
+    n_routed, check = len(routed), [2 + (routed + only).index(c) for c in names + [c for c in routed if c not in names]]
     ddl = ", ".join(f"{c} long" for c in cols)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +230,10 @@ def _edges(nodes: DataFrame, names: list[str], routed: list[str], max_bits: int,
             size = np.diff(np.append(edge, len(block)))
             words = block[:, check].view(np.uint64)
             two = edge[size == 2]  # most shared buckets
-            near = two[np.bitwise_count(words[two] ^ words[two + 1]).sum(axis=1, dtype=np.int64) <= max_bits]
+            near = two[close(words[two], words[two + 1], max_bits, len(names), each)]
             a, b = [near], [near + 1]
             for s, n in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
-                i, j = links(words[s : s + n], max_bits)
+                i, j = links(words[s : s + n], max_bits, len(names), each)
                 a.append(s + i)
                 b.append(s + j)
             a, b = np.concatenate(a), np.concatenate(b)
