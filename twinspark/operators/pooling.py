@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,30 +50,38 @@ def descriptor(frames: DataFrame, kind: str = "gem") -> DataFrame:
     return pool(per_frame, ["video_id"], "avg").select("video_id", normalized(F.col("f")).alias("v"))
 
 
+#: The overlap that neighbouring squares of the largest scale come nearest to, and how many of them the
+#: longer side may hold.
+OVERLAP, ALONG = 0.4, range(2, 8)
+
+
+def evenly(length: int, side: int, count: int) -> list[int]:
+    """Where `count` intervals of `side` begin that stand evenly from 0 to the end of `length`; rounded down."""
+    return [(length - side) * i // (count - 1) if count > 1 else 0 for i in range(count)]
+
+
+def squares_along(height: int, width: int) -> int:
+    """How many squares of the shorter side's length stand on the longer side."""
+    short, spare = min(height, width), abs(height - width)
+    if not spare:
+        return 1
+    return min(ALONG, key=lambda count: abs(1 - spare / (count - 1) / short - OVERLAP))
+
+
 def grid_regions(height: int, width: int, levels: int = 3) -> list[tuple[int, int, int, int, int]]:
-    """(level, top, left, height, width) of overlapping square regions at several scales; level 1 is the whole grid.
+    """(level, top, left, height, width) of the regions of a grid at several scales, row by row.
 
-    Regions of level l have a side of 2 / (l + 1) of the shorter side; the longer side takes as many more as bring
-    neighbours nearest to an overlap of 0.4.
+    Level 1 is the whole grid. At level l regions are squares of 2 / (l + 1) of the shorter side: l of them on the shorter
+    side, and on the longer one l + m - 1, where m is `squares_along`. A side of no cells gives no regions.
     """
-    short, long = min(height, width), max(height, width)
-    step = lambda n: (long - short) / (n - 1)
-    more = min(range(2, 8), key=lambda n: (abs((short**2 - short * step(n)) / short**2 - 0.4), n)) - 1
-    extra_w, extra_h = (more if height < width else 0), (more if height > width else 0)
-    out = [(1, 0, 0, height, width)]
+    short, more = min(height, width), squares_along(height, width) - 1
+    found = [(1, 0, 0, height, width)]
     for level in range(2, levels + 1):
-        side = 2 * short // (level + 1)
-        if not side:
-            continue
-        half = (side - 2) // 2
-
-        def begins(size: int, extra: int) -> list[int]:
-            n = level + extra
-            gap = (size - side) / (n - 1) if n > 1 else 0
-            return [int((half + i * gap) // 1) - half for i in range(n)]
-
-        out += [(level, top, left, side, side) for top in begins(height, extra_h) for left in begins(width, extra_w)]
-    return out
+        if side := 2 * short // (level + 1):
+            tops = evenly(height, side, level + (more if height > width else 0))
+            lefts = evenly(width, side, level + (more if width > height else 0))
+            found += [(level, top, left, side, side) for top, left in product(tops, lefts)]
+    return found
 
 
 def region_pool(cells: DataFrame, keys: list[str], height: int, width: int, kind: str = "max", levels: int = 3) -> DataFrame:
