@@ -25,7 +25,7 @@ def plain(v):
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     if name not in ORACLES:
-        assert df.count() > 0
+        assert df.collect()  # count() would prune what is to be checked
         return
     cols = sorted(df.columns)
     want = con.execute(f"SELECT {', '.join(f'\"{c}\"' for c in cols)} FROM ({ORACLES[name]})").fetchall()

@@ -25,7 +25,7 @@ def register(name: str, oracle: str | None = None):
         QUERIES[name] = run
         if oracle:
             ORACLES[name] = oracle
-        return f
+        return run
 
     return wrap
 

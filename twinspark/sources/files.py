@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from twinspark.functions.scalar import VIDEO_SUFFIXES, stem, suffix
 
@@ -63,8 +65,9 @@ def perceptual_hash(grey: "list[float] | pd.Series", size: int = 32, keep: int =
 def hashed_pictures(df: DataFrame, grey: str = "grey") -> DataFrame:
     """`df` with h, the perceptual hash of ARRAY<DOUBLE> column `grey` of 32 x 32 values; null for other sizes."""
 
-    @F.pandas_udf("long")
-    def h(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: perceptual_hash(v) if v is not None and len(v) == 1024 else None).astype("Int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [perceptual_hash(v) if v is not None and len(v) == 1024 and None not in v else None for v in b.column(b.schema.get_field_index(grey)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h, pa.int64())], [*b.schema.names, "h"])
 
-    return df.withColumn("h", h(grey))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("h", LongType())]))
