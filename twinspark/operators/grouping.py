@@ -2,39 +2,48 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinspark.sources.written import materialize
+
+
+def _linked_to_least(pairs: DataFrame) -> DataFrame:
+    """`pairs` (u, v) with m, the least of u and its v's; the least is gathered before the join, so a node with many
+    links is summed up where its rows are."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return pairs.join(least, "u")
+
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Written to the shared folder `spark.checkpoint.dir` (or the warehouse) and read back: cuts the lineage."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{top.rstrip('/')}/rounds-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of `edges` (a, b): root is the least node of its component, found by alternating large
+    and small stars.
+
+    Self-links and null ends take no part; repeated links and an empty table are fine. Each round is written to the
+    shared folder, so its lineage is one table; rounds are about the logarithm of the longest path.
+    """
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = materialize(e, "edges")
+    seen = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        e = _linked_to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        linked = _linked_to_least(e)
+        e = linked.select("u", F.col("m").alias("v")).unionByName(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        e = materialize(e, "edges")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
+        if now == seen:
+            break
+        seen = now
+    roots = e.select(F.col("v").alias("node")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """video_id and component (its least id) of every end of `edges` (query_id, video_id)."""
-    both = edges.select(F.col("query_id").alias("u"), F.col("video_id").alias("v"))
-    both = _saved(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    label = _saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c")))
-    while True:
-        near = both.join(label.withColumnsRenamed({"u": "v", "c": "d"}), "v").groupBy("u").agg(F.min("d").alias("d"))
-        new = label.join(near, "u").select("u", F.least("c", "d").alias("c"), (F.col("d") < F.col("c")).alias("changed"))
-        # follow the label's own label, which halves long chains
-        jump = new.select(F.col("u").alias("c"), F.col("c").alias("e"))
-        new = _saved(new.join(jump, "c", "left").select("u", F.least("c", "e").alias("c"), (F.col("changed") | (F.col("e") < F.col("c"))).alias("changed")))
-        if new.where("changed").isEmpty():
-            return new.select(F.col("u").alias("video_id"), F.col("c").alias("component"))
-        label = new.select("u", "c")
+    found = connected(edges.select(F.col("query_id").alias("a"), F.col("video_id").alias("b")))
+    return found.select(F.col("node").alias("video_id"), F.col("root").alias("component"))
 
 
 def greedy_groups(edges: DataFrame, order: str = "query_id") -> DataFrame:
