@@ -13,7 +13,7 @@ def replay(q, vecs, hashes, frames, buckets, o, reranked=True):
     hits = sorted(((1 - (hashes[q] ^ hashes[i]).bit_count() / 64, i) for i in ids if (hashes[q] ^ hashes[i]).bit_count() <= o.max_distance), key=lambda x: (-x[0], x[1]))
     if o.hash_only and hits:
         return [(i, s, True) for s, i in hits if s >= o.threshold]
-    stage1 = sorted(((float(unit[q] @ unit[i]), i) for i in ids if buckets[q] in ("unknown", buckets[i])), key=lambda x: (-x[0], x[1]))[: o.top_k]
+    stage1 = sorted(((round(float(unit[q] @ unit[i]), 9), i) for i in ids if buckets[q] in ("unknown", buckets[i])), key=lambda x: (-x[0], x[1]))[: o.top_k]
     cand = [(i, s) for s, i in stage1 if s >= o.threshold * 0.5]
     cand += [(i, s) for s, i in hits if i not in {c for c, _ in cand}]
     if reranked:
@@ -23,7 +23,7 @@ def replay(q, vecs, hashes, frames, buckets, o, reranked=True):
         for i, _ in rest:
             if len(frames[q]) >= o.min_frames and len(frames[i]) >= o.min_frames:
                 m = np.clip(frames[q] @ frames[i].T, -1, 1) / 2 + 0.5
-                again.append((i, float(m.max(axis=1).mean())))
+                again.append((i, round(float(m.max(axis=1).mean()), 9)))
         cand = sure + again
     in_stage1, in_hits = {i for _, i in stage1}, {i for _, i in hits}
     found = [(i, s, i in in_hits and i not in in_stage1) for i, s in cand if s >= o.threshold]

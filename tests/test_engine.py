@@ -119,6 +119,27 @@ def test_greedy_and_components_differ(spark):
 def test_regions(spark):
     assert pooling.grid_regions(7, 7)[0] == (1, 0, 0, 7, 7) and len(pooling.grid_regions(7, 7)) == 14
     assert all(t >= 0 and left >= 0 and t + h <= 6 and left + w <= 9 for _, t, left, h, w in pooling.grid_regions(6, 9))
+    # by hand: 6 rows, 9 columns; two squares of 6 overlap by a half, which is nearest to 0.4, so the longer side has one more
+    levels = {1: (6, [0], 9, [0]), 2: (4, [0, 2], 4, [0, 2, 5]), 3: (3, [0, 1, 3], 3, [0, 2, 4, 6])}
+    want = [(n, top, left, h, w) for n, (h, tops, w, lefts) in levels.items() for top in tops for left in lefts]
+    assert pooling.grid_regions(6, 9) == want
+    assert sorted((n, left, top, w, h) for n, top, left, h, w in pooling.grid_regions(9, 6)) == sorted(want)
+    assert pooling.grid_regions(1, 1) == [(1, 0, 0, 1, 1)]
+
+
+def test_perceptual_hash_by_definition(spark):
+    from twinspark.sources.files import hashed_pictures
+
+    rng = np.random.default_rng(3)
+    pictures = [rng.normal(size=1024).tolist() for _ in range(3)] + [[0.0] * 1024, [1.0] * 5, None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pictures)], "id int, p array<double>")
+    # two projections that Spark merges
+    got = {r.id: r.h for r in hashed_pictures(df.select("id", F.transform("p", lambda x: x * 2).alias("grey"))).select("id", "h").collect()}
+    for i, p in enumerate(pictures[:3]):
+        low = [[sum(2 * p[32 * y + x] * math.cos(math.pi * (2 * y + 1) * a / 64) * math.cos(math.pi * (2 * x + 1) * b / 64) for y in range(32) for x in range(32)) for b in range(8)] for a in range(8)]
+        flat = [v for row in low for v in row]
+        assert got[i] & (1 << 64) - 1 == int("".join("1" if v > float(np.median(flat)) else "0" for v in flat), 2)
+    assert got[3] == 0 and got[4] is got[5] is None
 
 
 def test_linear_algebra(spark):

@@ -30,7 +30,8 @@ def search(queries: DataFrame, index: DataFrame, hashes: DataFrame | None = None
 
     `queries` (query_id, v and `groups`), `index` (video_id, v and `groups`); `query_hashes` and `hashes` (video_id, h);
     `frames` (video_id, frame_idx, f) of both sides. Candidates are the top-k at half the threshold, then hash matches
-    that are not among them; without frames they only meet the threshold.
+    that are not among them; without frames they only meet the threshold. Scores are on the grid of `similarity` before they
+    are compared, so order and thresholds don't depend on the shape of batches.
     """
     o = options
     matches = hamming_pairs(query_hashes, hashes, o.max_distance).select("query_id", "video_id", "score") if hashes is not None else None

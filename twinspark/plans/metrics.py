@@ -15,70 +15,85 @@ D = T.SQL_DESCRIPTORS
 MATRIX = [[((i * 7 + j * 3) % 11 - 5) / 5 for j in range(64)] for i in range(6)]
 
 
-def pairs(spark, sf, n=20):
-    v = T.frames(spark, sf, 1).select("video_id").distinct().where(F.col("video_id") < n)
-    return v.select(F.col("video_id").alias("query_id")).join(v, F.col("query_id") < F.col("video_id"))
+def pairs(spark, sf, partners=5):
+    """Every video with its nearest partners by the cosine of mean frames."""
+    means = pooling.pool(T.frames(spark, sf, 1), ["video_id"]).withColumnRenamed("f", "v")
+    return similarity.similar_pairs(means, -2.0, "cosine", k=partners + 1).select("query_id", "video_id")
 
 
-def cells(spark, sf, regions=1, n=20):
-    f = T.frames(spark, sf, regions)
-    f = f if regions > 1 else f.drop("region_idx")
-    return chamfer.frame_matrix(pairs(spark, sf, n), f, f)
+def frames1(spark, sf):
+    return T.frames(spark, sf, 1).drop("region_idx")
 
 
-_C = f"WITH {T.SQL_FRAMES1}, c_ AS (SELECT a.video_id AS query_id, b.video_id, a.frame_idx AS i, b.frame_idx AS j, list_dot_product(a.f, b.f) AS s FROM frame_ a JOIN frame_ b ON a.video_id < b.video_id AND b.video_id < 20)"
+def scores(spark, sf, *how, queries="true", targets="true", **kw):
+    f = frames1(spark, sf)
+    return rounded(chamfer.pair_scores(pairs(spark, sf), f.where(queries), f.where(targets), *how, **kw), "score")
+
+
+_P = """mean_ AS (SELECT video_id, list(x ORDER BY d) AS v FROM (SELECT CAST(floor(vec_id / 10) AS BIGINT) AS video_id, d, avg(CAST(embedding[d] AS DOUBLE)) AS x FROM embeddings, unnest(range(1, 65)) AS t(d) GROUP BY ALL) GROUP BY video_id),
+near_ AS (SELECT a.video_id AS query_id, b.video_id, row_number() OVER (PARTITION BY a.video_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.video_id) AS n FROM mean_ a, mean_ b),
+p_ AS (SELECT query_id, video_id FROM near_ WHERE n <= 6 AND query_id <> video_id)"""
+_MEET = "p_ JOIN frame_ a ON a.video_id = p_.query_id JOIN frame_ b ON b.video_id = p_.video_id"
+_C = f"WITH {T.SQL_FRAMES1}, {_P}, c_ AS (SELECT p_.query_id, p_.video_id, a.frame_idx AS i, b.frame_idx AS j, list_dot_product(a.f, b.f) AS s FROM {_MEET})"
+_N = _C.replace("list_dot_product(a.f, b.f)", "greatest(-1, least(1, list_dot_product(a.f, b.f))) / 2 + 0.5")
 _CH = "SELECT query_id, video_id, round(avg(m), 6) AS score FROM (SELECT query_id, video_id, i, max(s) AS m FROM {c} GROUP BY ALL) GROUP BY ALL"
+_BOTH = "x AS (SELECT query_id, video_id, avg(m) AS a FROM (SELECT query_id, video_id, i, max(s) AS m FROM c_ GROUP BY ALL) GROUP BY ALL), y AS (SELECT query_id, video_id, avg(m) AS b FROM (SELECT query_id, video_id, j, max(s) AS m FROM c_ GROUP BY ALL) GROUP BY ALL) SELECT query_id, video_id, round((a + b) / 2, 6) AS score FROM x JOIN y USING (query_id, video_id)"
 
 
 @register("jn11_frame_matrix", f"{_C} SELECT query_id, video_id, i, j, round(s, 6) AS s FROM c_")
 def jn11(spark, sf):
-    return rounded(cells(spark, sf), "s")
+    return rounded(chamfer.frame_matrix(pairs(spark, sf), frames1(spark, sf), frames1(spark, sf)), "s")
 
 
 @register("agg01_chamfer", f"{_C} {_CH.format(c='c_')}")
 def agg01(spark, sf):
-    return rounded(chamfer.chamfer(cells(spark, sf)), "score")
+    return scores(spark, sf)
 
 
 @register("agg02_masked_chamfer", f"{_C}, k AS (SELECT * FROM c_ WHERE i <> 7 AND j <> 3) {_CH.format(c='k')}")
 def agg02(spark, sf):
-    return rounded(chamfer.chamfer(cells(spark, sf).where("i <> 7 and j <> 3")), "score")
+    return scores(spark, sf, queries="frame_idx <> 7", targets="frame_idx <> 3")
+
+
+@register("agg02_masked_cells", f"{_C}, k AS (SELECT * FROM c_ WHERE i <> 7 AND j <> 3) {_CH.format(c='k')}")
+def agg02c(spark, sf):
+    cells = chamfer.frame_matrix(pairs(spark, sf), frames1(spark, sf), frames1(spark, sf))
+    return rounded(chamfer.chamfer(cells.where("i <> 7 and j <> 3")), "score")
 
 
-@register("agg03_symmetric_chamfer", f"{_C}, x AS (SELECT query_id, video_id, avg(m) AS a FROM (SELECT query_id, video_id, i, max(s) AS m FROM c_ GROUP BY ALL) GROUP BY ALL), y AS (SELECT query_id, video_id, avg(m) AS b FROM (SELECT query_id, video_id, j, max(s) AS m FROM c_ GROUP BY ALL) GROUP BY ALL) SELECT query_id, video_id, round((a + b) / 2, 6) AS score FROM x JOIN y USING (query_id, video_id)")
+@register("agg03_symmetric_chamfer", f"{_C}, {_BOTH}")
 def agg03(spark, sf):
-    return rounded(chamfer.symmetric_chamfer(cells(spark, sf)), "score")
+    return scores(spark, sf, chamfer.both_ways)
 
 
-_R = f"WITH {T.SQL_FRAMES}, m AS (SELECT a.video_id AS query_id, b.video_id, a.frame_idx AS i, b.frame_idx AS j, a.region_idx, max(list_dot_product(a.f, b.f)) AS s FROM frame_ a JOIN frame_ b ON a.video_id < b.video_id AND b.video_id < 8 GROUP BY ALL), c_ AS (SELECT query_id, video_id, i, j, avg(s) AS s FROM m GROUP BY ALL)"
+_R = f"WITH {T.SQL_FRAMES}, {_P}, m AS (SELECT p_.query_id, p_.video_id, a.frame_idx AS i, b.frame_idx AS j, a.region_idx, max(list_dot_product(a.f, b.f)) AS s FROM {_MEET} GROUP BY ALL), c_ AS (SELECT query_id, video_id, i, j, avg(s) AS s FROM m GROUP BY ALL)"
 
 
 @register("agg04_region_chamfer", f"{_R} SELECT query_id, video_id, i, j, round(s, 6) AS s FROM c_")
 def agg04(spark, sf):
-    return rounded(cells(spark, sf, 4, 8), "s")
+    f = T.frames(spark, sf)
+    return rounded(chamfer.frame_matrix(pairs(spark, sf), f, f), "s")
 
 
 @register("mdl03_region_score", f"{_R} {_CH.format(c='c_')}")
 def mdl03(spark, sf):
-    return rounded(chamfer.chamfer(cells(spark, sf, 4, 8)), "score")
+    f = T.frames(spark, sf)
+    return rounded(chamfer.pair_scores(pairs(spark, sf), f, f), "score")
 
 
 @register("agg20_chunked_chamfer", f"{_C}, k AS (SELECT query_id, video_id, ch, avg(m) AS m FROM (SELECT query_id, video_id, i, j // 4 AS ch, max(s) AS m FROM c_ GROUP BY ALL) GROUP BY ALL) SELECT query_id, video_id, round(avg(m), 6) AS score FROM k GROUP BY ALL")
 def agg20(spark, sf):
-    return rounded(chamfer.chunked_chamfer(cells(spark, sf), 4), "score")
+    return scores(spark, sf, chamfer.chunked(4))
 
 
-@register("mdl01_rerank", f"WITH {T.SQL_FRAMES1}, c AS (SELECT a.video_id AS query_id, b.video_id FROM (SELECT DISTINCT video_id FROM frame_) a JOIN (SELECT DISTINCT video_id FROM frame_) b ON a.video_id % 5 = 0 AND a.video_id <> b.video_id AND b.video_id < 20), m AS (SELECT c.query_id, c.video_id, a.frame_idx AS i, max(list_dot_product(a.f, b.f)) AS s FROM c JOIN frame_ a ON a.video_id = c.query_id JOIN frame_ b ON b.video_id = c.video_id GROUP BY ALL), g AS (SELECT query_id, video_id, avg(s) AS s FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, video_id) AS n FROM g) SELECT query_id, video_id, round(s, 6) AS score FROM r WHERE n <= 5")
+@register("mdl01_rerank", f"{_C}, m AS (SELECT query_id, video_id, i, max(s) AS s FROM c_ GROUP BY ALL), g AS (SELECT query_id, video_id, round(avg(s), 9) AS s FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, video_id) AS n FROM g) SELECT query_id, video_id, round(s, 6) AS score FROM r WHERE n <= 3")
 def mdl01(spark, sf):
-    f = T.frames(spark, sf, 1).drop("region_idx")
-    v = f.select("video_id").distinct()
-    c = v.where("video_id % 5 = 0").withColumnRenamed("video_id", "query_id").join(v.where("video_id < 20"), F.col("query_id") != F.col("video_id"))
-    return rounded(chamfer.rerank(c, f, normalize=False, top_n=5), "score")
+    return rounded(chamfer.rerank(pairs(spark, sf), frames1(spark, sf), normalize=False, top_n=3), "score")
 
 
-@register("mdl02_normalized_rerank", f"WITH {T.SQL_FRAMES1}, m AS (SELECT a.video_id AS query_id, b.video_id, a.frame_idx AS i, max(greatest(-1, least(1, list_dot_product(a.f, b.f))) / 2 + 0.5) AS s FROM frame_ a JOIN frame_ b ON a.video_id < b.video_id AND b.video_id < 20 GROUP BY ALL) SELECT query_id, video_id, round(avg(s), 6) AS score FROM m GROUP BY ALL")
+@register("mdl02_normalized_rerank", f"{_N} {_CH.format(c='c_')}")
 def mdl02(spark, sf):
-    return rounded(chamfer.rerank(pairs(spark, sf), T.frames(spark, sf, 1).drop("region_idx")), "score")
+    return rounded(chamfer.rerank(pairs(spark, sf), frames1(spark, sf)), "score")
 
 
 _LONG = f"WITH {T.SQL_FRAMES}, x AS (SELECT video_id, frame_idx, region_idx, d, f[d] AS x FROM frame_, unnest(range(1, 17)) AS t(d))"
@@ -113,9 +128,9 @@ def agg08(spark, sf):
     return rounded(pooling.region_pool(c, ["vec_id"], 8, 8).select("vec_id", "region", F.col("f")[0].alias("x")), "x")
 
 
-@register("agg09_square_or_mean", f"{_LONG} SELECT video_id, d, round(avg(CASE WHEN video_id % 2 = 0 OR region_idx < 3 THEN x END), 6) AS x FROM x WHERE video_id % 2 = 1 GROUP BY ALL")
+@register("agg09_square_or_mean", f"{_LONG}, g AS (SELECT video_id, frame_idx, d, CASE WHEN count(*) = 4 THEN pow(avg(pow(greatest(x, 1e-6), 3)), 1 / 3.0::DOUBLE) ELSE avg(x) END AS x FROM x WHERE video_id % 2 = 0 OR region_idx < 3 GROUP BY ALL) SELECT video_id, d, round(avg(x), 6) AS x FROM g GROUP BY ALL")
 def agg09(spark, sf):
-    f = T.frames(spark, sf).where("video_id % 2 = 1 and region_idx < 3")
+    f = T.frames(spark, sf).where("video_id % 2 = 0 or region_idx < 3")  # odd videos have three regions
     return rounded(_pooled(pooling.pool(pooling.spatial_pool(f, ["video_id", "frame_idx"]), ["video_id"])), "x")
 
 
@@ -219,9 +234,9 @@ def agg22m(spark, sf):
     return rounded(linalg.mean_vector(T.descriptors(spark, sf)), "mean")
 
 
-@register("agg22_scatter", f"WITH {D}, x AS (SELECT video_id, d - 1 AS i, v[d] - avg(v[d]) OVER (PARTITION BY d) AS x FROM desc_, unnest(range(1, 65)) AS t(d)) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(sum(a.x * b.x), 5) AS s FROM x a JOIN x b USING (video_id) WHERE a.i < 8 AND b.i < 8 GROUP BY a.i, b.i")
+@register("agg22_scatter", f"WITH {D}, x AS (SELECT video_id, d - 1 AS i, v[d] - avg(v[d]) OVER (PARTITION BY d) AS x FROM desc_, unnest(range(1, 65)) AS t(d)) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(sum(a.x * b.x), 5) AS s FROM x a JOIN x b USING (video_id) GROUP BY a.i, b.i")
 def agg22(spark, sf):
-    return rounded(linalg.scatter(T.descriptors(spark, sf).select(F.slice("v", 1, 8).alias("v"))), "s", digits=5)
+    return rounded(linalg.scatter(T.descriptors(spark, sf).select("v")), "s", digits=5)
 
 
 @register("agg22_whitened")
@@ -246,13 +261,14 @@ def agg24(spark, sf):
 
 
 def _loss_cells(spark, sf):
-    d = T.descriptors(spark, sf).where("video_id < 100")
-    a = d.select(F.col("video_id").alias("i"), F.col("v").alias("a"), F.col("label").alias("la"))
-    b = d.select(F.col("video_id").alias("j"), F.col("v").alias("b"), F.col("label").alias("lb"))
-    return a.join(F.broadcast(b), F.lit(True)).select("i", "j", dot(F.col("a"), F.col("b")).alias("s"), (F.col("la") == F.col("lb")).cast("int").alias("y"))
+    """Similarities within batches of 100 videos, for all videos."""
+    d = T.descriptors(spark, sf).withColumn("batch", F.floor(F.col("video_id") / 100))
+    a = d.select("batch", F.col("video_id").alias("i"), F.col("v").alias("a"), F.col("label").alias("la"))
+    b = d.select("batch", F.col("video_id").alias("j"), F.col("v").alias("b"), F.col("label").alias("lb"))
+    return a.join(b, "batch").select("i", "j", dot(F.col("a"), F.col("b")).alias("s"), (F.col("la") == F.col("lb")).cast("int").alias("y"))
 
 
-_L = f"WITH {D}, l_ AS (SELECT a.video_id AS i, b.video_id AS j, list_dot_product(a.v, b.v) AS s, CAST(a.label = b.label AS INT) AS y FROM desc_ a JOIN desc_ b ON a.video_id < 100 AND b.video_id < 100)"
+_L = f"WITH {D}, l_ AS (SELECT a.video_id AS i, b.video_id AS j, list_dot_product(a.v, b.v) AS s, CAST(a.label = b.label AS INT) AS y FROM desc_ a JOIN desc_ b ON a.video_id // 100 = b.video_id // 100)"
 
 
 @register("agg25_info_nce", f"{_L}, e AS (SELECT i, j, y, exp(s / 0.07::DOUBLE) AS e FROM l_), n AS (SELECT i, sum(CASE WHEN y = 0 THEN e ELSE 0 END) + 1e-6 AS neg FROM e GROUP BY i), p AS (SELECT i, avg(-ln(e / (e + neg))) AS l FROM e JOIN n USING (i) WHERE y = 1 AND i <> j GROUP BY i) SELECT round(avg(l), 6) AS loss FROM p")
@@ -290,12 +306,13 @@ def prj06(spark, sf):
 def mdl04(spark, sf):
     import numpy as np
 
-    from twinspark.operators.models import compared
+    from twinspark.operators.models import refined
 
     rng = np.random.default_rng(0)
     shapes = [(4, 1, 3, 3), (8, 4, 3, 3), (8, 8, 3, 3), (1, 8, 1, 1)]
     weights = [(rng.normal(size=s) / np.sqrt(9 * s[1]), np.zeros(s[0])) for s in shapes]
-    return rounded(compared(cells(spark, sf, 1, 10), weights), "score")
+    f = frames1(spark, sf)
+    return rounded(chamfer.pair_scores(pairs(spark, sf), f, f, refined(weights)), "score")
 
 
 @register("mdl08_mean_descriptor", f"{_LONG}, m AS (SELECT video_id, region_idx, d, avg(x) AS x FROM x GROUP BY ALL) SELECT video_id, region_idx, d, round(x / sqrt(sum(x * x) OVER (PARTITION BY video_id, region_idx)), 6) AS x FROM m")
@@ -306,9 +323,9 @@ def mdl08(spark, sf):
     return rounded(_pooled(p.withColumn("f", normalized(F.col("f")))).withColumn("region_idx", F.col("region_idx").cast("long")), "x")
 
 
-@register("plb11_symmetric_rerank", f"WITH {T.SQL_FRAMES1}, c_ AS (SELECT a.video_id AS query_id, b.video_id, a.frame_idx AS i, b.frame_idx AS j, greatest(-1, least(1, list_dot_product(a.f, b.f))) / 2 + 0.5 AS s FROM frame_ a JOIN frame_ b ON a.video_id < b.video_id AND b.video_id < 20), x AS (SELECT query_id, video_id, avg(m) AS a FROM (SELECT query_id, video_id, i, max(s) AS m FROM c_ GROUP BY ALL) GROUP BY ALL), y AS (SELECT query_id, video_id, avg(m) AS b FROM (SELECT query_id, video_id, j, max(s) AS m FROM c_ GROUP BY ALL) GROUP BY ALL) SELECT query_id, video_id, round((a + b) / 2, 6) AS score FROM x JOIN y USING (query_id, video_id)")
+@register("plb11_symmetric_rerank", f"{_N}, {_BOTH}")
 def plb11(spark, sf):
-    return rounded(chamfer.rerank(pairs(spark, sf), T.frames(spark, sf, 1).drop("region_idx"), symmetric=True), "score")
+    return rounded(chamfer.rerank(pairs(spark, sf), frames1(spark, sf), symmetric=True), "score")
 
 
 @register("plb12_masked_weights", f"WITH {T.SQL_FRAMES} SELECT video_id, frame_idx, CAST(region_idx AS INTEGER) AS region_idx, round(list_sum(list_transform(f, lambda x: x * ((list_sum(f) / 4) / sqrt(list_dot_product(f, f)) / 2 + 0.5))), 6) AS total FROM frame_ WHERE frame_idx <> 4")

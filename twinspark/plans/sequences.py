@@ -72,12 +72,12 @@ def tmp08(spark, sf):
     return T.read(spark, sf, "documents").select("doc_id", O.pick(O.hashed_uniform("doc_id", seed=3), {"reverse": 2, "pause": 3, "none": 5}).alias("pick"))
 
 
-@register("tmp10_mixed_labels", "WITH e AS (SELECT vec_id, label FROM embeddings WHERE vec_id < 60) SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN a.vec_id = b.vec_id THEN 1.0::DOUBLE WHEN b.vec_id = (a.vec_id + 7) % 60 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS y FROM e a JOIN e b ON a.label = b.label")
+@register("tmp10_mixed_labels", "SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN a.vec_id = b.vec_id THEN 1.0::DOUBLE WHEN b.vec_id = a.vec_id // 60 * 60 + (a.vec_id + 7) % 60 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS y FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 60 = b.vec_id // 60")
 def tmp10(spark, sf):
-    e = T.read(spark, sf, "embeddings").where("vec_id < 60")
-    m = O.label_matrix(e.select(F.col("vec_id").alias("i"), "label"))
-    donors = e.select(F.col("vec_id").alias("i"), ((F.col("vec_id") + 7) % 60).alias("j"), F.lit(0.3).alias("mix"))
-    return m.join(donors, ["i", "j"], "left").select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce("mix", F.lit(0.0))).alias("y"))
+    """In batches of 60."""
+    e = T.read(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.struct(F.expr("vec_id div 60").alias("batch"), "label").alias("label"))
+    donors = e.select("i", F.expr("i div 60 * 60 + (i + 7) % 60").alias("j"), F.lit(0.3).alias("mix"))
+    return O.label_matrix(e).join(donors, ["i", "j"], "left").select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce("mix", F.lit(0.0))).alias("y"))
 
 
 _BOX = "SELECT event_id, user_id % 50 AS x0, user_id % 30 AS y0, user_id % 50 + 40 AS x1, user_id % 30 + 25 AS y1, event_id % 60 AS u0, event_id % 40 AS v0, event_id % 60 + 30 AS u1, event_id % 40 + 30 AS v1 FROM events"
@@ -94,15 +94,21 @@ def tmp13(spark, sf):
     return T.read(spark, sf, "documents").select("doc_id", O.pick(O.hashed_uniform("doc_id", seed=5), {"a": 0.1, "b": 0.3, "c": 0.6}).alias("choice"), F.floor(O.hashed_uniform("doc_id", seed=6) * 10).alias("k"))
 
 
-@register("tmp14_label_matrix", "SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id < 100 AND b.vec_id < 100")
+@register("tmp14_label_matrix", "SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 100 = b.vec_id // 100")
 def tmp14(spark, sf):
-    return O.label_matrix(T.read(spark, sf, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("i"), "label"))
+    """In batches of 100."""
+    return O.label_matrix(T.read(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.struct(F.expr("vec_id div 100").alias("batch"), "label").alias("label")))
 
 
-@register("tmp15_collated_mask", f"WITH {FRAMES}, g AS (SELECT video_id, i AS frame_idx FROM n_, unnest(range(101)) AS t(i) WHERE video_id % 10 = 0) SELECT g.video_id, CAST(g.frame_idx AS BIGINT) AS frame_idx, CAST(f IS NOT NULL AS INTEGER) AS mask FROM g LEFT JOIN f_ USING (video_id, frame_idx)")
+@register("tmp15_collated_mask", f"WITH {FRAMES}, m_ AS (SELECT video_id, max(n) OVER (PARTITION BY video_id // 8) AS m FROM n_), g AS (SELECT video_id, i AS frame_idx FROM m_, unnest(range(m)) AS t(i)) SELECT g.video_id, CAST(g.frame_idx AS BIGINT) AS frame_idx, CAST(f IS NOT NULL AS INTEGER) AS mask FROM g LEFT JOIN f_ USING (video_id, frame_idx)")
 def tmp15(spark, sf):
-    f = frames(spark, sf).where("video_id % 10 = 0")
-    grid = f.select("video_id").distinct().select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"))).alias("frame_idx"))
+    """In batches of 8 videos, padded to the longest of each."""
+    from pyspark.sql import Window
+
+    f = frames(spark, sf)
+    most = F.max("n").over(Window.partitionBy(F.expr("video_id div 8")))
+    sizes = f.groupBy("video_id").agg(F.count("*").alias("n")).select("video_id", most.alias("m"))
+    grid = sizes.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("frame_idx"))
     return grid.join(f, ["video_id", "frame_idx"], "left").select("video_id", "frame_idx", F.col("f").isNotNull().cast("int").alias("mask"))
 
 
