@@ -74,3 +74,12 @@ def test_short_runs_of_many_words(spark):
     for r in dedup_lines(df, min_words=8).collect():
         assert [" ".join(x.lower().split()) for x in (r.text or "").split("\n") if x.split()] == [x for i, x in enumerate(lines[r.doc_id]) if i not in gone.get(r.doc_id, ())]
     assert 101 not in {r.doc_id for r in removed_runs(df).collect()}
+
+
+def test_clashing_names_and_long_texts(spark):
+    long = "\n".join(f"line {i} of a long text" for i in range(30_000))
+    rows = [(1, long, 1, 2, 3, 4), (2, "own\n" + long, 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id int, __hash int, first int, `a.b` int").withColumnsRenamed({"first": "runs"})
+    out = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert out[1].text == long and out[2].text == "own\n" and dedup_lines(df).columns == df.columns
+    assert out[2]["__id"] == 1 and out[2]["__hash"] == 2 and out[2]["runs"] == 3 and out[2]["a.b"] == 4

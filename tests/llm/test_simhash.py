@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from twinspark.llm.components import components
+from twinspark.operators.grouping import connected
 from twinspark.llm.simhash import ROUTE, bucket_keys, chain_length, links, near_duplicates, one_of_each, told_here
 
 
@@ -92,9 +92,9 @@ def test_near_copies_with_defaults(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300), (None, 3)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_a_link_is_told_in_the_least_shared_key():
@@ -125,8 +125,8 @@ def test_links_grow_with_the_group(spark, monkeypatch):
         for at in rng.sample(range(400), 4):
             words[at] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(words)))
-    counted, inner = [], simhash.components
-    monkeypatch.setattr(simhash, "components", lambda edges: inner((counted.append(edges.count()), edges)[1]))
+    counted, inner = [], simhash.connected
+    monkeypatch.setattr(simhash, "connected", lambda edges: inner((counted.append(edges.count()), edges)[1]))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     assert {r.component_id for r in near_duplicates(df, route=ROUTE).collect()} == {0}
     assert 599 <= counted[0] < 6 * 600

@@ -40,3 +40,13 @@ def test_repeats_of_the_best_candidates(spark, scale):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
     got = sorted(tuple(r) for r in top_k(df).collect())
     assert got == brute(rows, 5) and [r[2] for r in got if r[0] == 50] == [1, 2, 3, 4, 5]
+
+
+def test_hits_are_written_as_blocks_pass(spark, monkeypatch):
+    from twinspark.llm import topk
+
+    monkeypatch.setattr(topk, "BLOCKS_WRITTEN", 2)
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(1, 600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert sorted(tuple(r) for r in top_k(df, query_block=2).collect()) == brute(rows, 5)

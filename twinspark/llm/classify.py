@@ -18,8 +18,8 @@ LETTERS = r"[^\W\d_]+"
 #: At most about so many labelled rows train a model (half of them for each label, or a share for each language).
 TOXIC_SAMPLE = 6_000
 LANGUAGE_SAMPLE = 2_000
-#: Languages that a model can learn; the most frequent, ties to the smaller name.
-LANGUAGES = 200
+#: Rows of a language that train at least, however many languages there are.
+LEAST = 20
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -27,9 +27,10 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def _draw(df: DataFrame, class_col: str, id_col: str, per_class: int, classes: int) -> tuple[DataFrame, dict]:
-    """About `per_class` rows of each class, drawn by a hash of the id; the classes' counts (a row for each of at most `classes`)."""
-    counts = {r[0]: r[1] for r in df.groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(classes).collect()}
+def _draw(df: DataFrame, class_col: str, id_col: str, per_class: int) -> tuple[DataFrame, dict]:
+    """About `per_class` rows of each class, drawn by a hash of the id; the classes' counts (a row for each class, as the
+    model itself has)."""
+    counts = {r[0]: r[1] for r in df.groupBy(class_col).count().orderBy(class_col).collect()}
     if not counts:
         return df.limit(0), {}
     rates = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(min(1.0, per_class / n)))])
@@ -40,10 +41,12 @@ def _draw(df: DataFrame, class_col: str, id_col: str, per_class: int, classes: i
 def fit_toxicity(documents: DataFrame, labels: DataFrame, holds_out: Column, sample: int = TOXIC_SAMPLE) -> Model:
     """A model of `labels.toxic` from labelled documents where `holds_out` is false; reads text and toxic alone.
 
-    Rows without id or label take no part; a document with several labels counts for each.
+    Rows without id or label take no part; null texts count as empty; a document with several labels, or an id with
+    several texts, counts for each; no labelled document gives a model without classes. Texts come to the driver whole:
+    `sample` bounds their number, not their bytes. Other columns aren't read.
     """
     y = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~holds_out & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-    drawn, counts = _draw(y, "toxic", "doc_id", sample // 2, 2)
+    drawn, counts = _draw(y, "toxic", "doc_id", sample // 2)
     # `drawn` has about `sample` rows whatever the input, so it may be broadcast
     rows = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toPandas() if counts else None
     if rows is None or not len(rows):
@@ -55,7 +58,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, holds_out: Column, sam
 
 def toxicity(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, `keep`, score (probability of label 1) and predicted. Null and empty texts get the score of the bias alone;
-    a model without rows says 0; repeated rows are each answered."""
+    a model without rows says 0; whole texts are read, however long; repeated rows are each answered, an empty table with
+    none; `keep` may have any names but `score`, `predicted` and `__text`."""
     spec = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,11 +78,15 @@ def _scored(df: DataFrame, names: tuple[str, ...], text_col: str, run, more: str
     return inner.mapInArrow(run, f"{ddl}, {more}")
 
 
-def fit_language(documents: DataFrame, holds_out: Column, sample: int = LANGUAGE_SAMPLE, languages: int = LANGUAGES) -> Model:
-    """A model of `lang` from documents where `holds_out` is false; rows without lang, id or text take no part."""
+def fit_language(documents: DataFrame, holds_out: Column, sample: int = LANGUAGE_SAMPLE, least: int = LEAST) -> Model:
+    """A model of `lang` from documents where `holds_out` is false; rows without lang, id or text take no part.
+
+    Every language is learned, from a like share of `sample` rows, `least` at least. Repeated rows count each; no row gives
+    a model without classes. Texts come to the driver whole: rows are bounded, not bytes. Other columns aren't read.
+    """
     y = documents.select("doc_id", "text", "lang").where(~holds_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = max(1, y.agg(F.count_distinct("lang")).first()[0])
-    drawn, counts = _draw(y, "lang", "doc_id", max(20, sample // min(n, languages)), languages)
+    drawn, counts = _draw(y, "lang", "doc_id", max(least, sample // n))
     rows = drawn.toPandas().sort_values(["doc_id", "lang", "text"]) if counts else None
     if rows is None or not len(rows):
         return train([], [], LETTERS)
@@ -88,7 +96,7 @@ def fit_language(documents: DataFrame, holds_out: Column, sample: int = LANGUAGE
 
 def language(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, `keep`, lang_pred, score and rejected. `und` with score 0 for null texts, texts without letters, and where nothing
-    was learned; `rejected` marks those and predictions whose confidence is under the model's calibrated threshold."""
+    was learned; whole texts are read, however long; repeated rows are each answered, an empty table with none; `rejected` marks those and predictions whose confidence is under the model's calibrated threshold."""
     spec = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

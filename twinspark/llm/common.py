@@ -2,43 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="twinspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back.
-
-    Cuts the lineage and survives lost executors. The application's folder goes when the application ends.
-    """
-    spark = df.sparkSession
-    app = f"{shared_dir(spark).rstrip('/')}/twinspark-{spark.sparkContext.applicationId}"
-    path = f"{app}/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(app)
-    top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(top)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, each null (string) where `df` has none, so that extra columns can't clash."""
-    have = set(df.columns)
-    return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names])

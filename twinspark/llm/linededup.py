@@ -23,11 +23,14 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from twinspark.llm.common import materialize
+from twinspark.sources.written import materialize
 from twinspark.llm.substring import LINES, units
 
 GRAM, WINDOW = 2, 2
+#: A name that no table has: it comes last and goes before the result.
+RUNS = "runs of lines that go"
 #: Characters of scripts that set no blanks between words (Thai to Burmese, Khmer, Chinese, Japanese); two count as a word.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
@@ -36,6 +39,11 @@ def _digest(lines: list[bytes]) -> int:
     return int.from_bytes(blake2b(b"\n".join(lines), digest_size=8).digest(), "little", signed=True)
 
 
+def _wide(lines: list[bytes]) -> bytes:
+    """Runs that meet by digest are deleted, so theirs has 128 bits."""
+    return blake2b(b"\n".join(lines), digest_size=16).digest()
+
+
 def winnow(hashes: list[int], window: int) -> list[int]:
     """Places of the least hash of each `window`, the rightmost of equal ones."""
     out, last = [], -1
@@ -67,7 +75,7 @@ def short_runs(lines: list[bytes], length: int, min_words: int) -> Iterator[tupl
 def fingerprints(df: DataFrame, id_col: str, text_col: str, gram: int, window: int, min_words: int | None = None) -> DataFrame:
     """print (hash), doc_id, text_hash, and the digests of the runs of n lines that hold it: first (line of the first), runs."""
     length = gram + window - 1
-    kind = pa.list_(pa.int64())
+    kind = pa.list_(pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile(LINES)
@@ -76,12 +84,12 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, gram: int, window: i
             for doc_id, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 lines = [u for _, _, u in units(text.as_py(), pattern, 1, 0)]
                 for at, n in short_runs(lines, length, min_words) if min_words else ():
-                    one = _digest([b"", *lines[at : at + n]])  # no line is empty, so no gram has this digest
-                    out.append((one, doc_id, text_hash, at, n, [one]))
+                    one = [b"", *lines[at : at + n]]  # no line is empty, so no gram has this digest
+                    out.append((_digest(one), doc_id, text_hash, at, n, [_wide(one)]))
                 if len(lines) < length:
                     continue
                 grams = [_digest(lines[i : i + gram]) for i in range(len(lines) - gram + 1)]
-                runs = [_digest(lines[i : i + length]) for i in range(len(lines) - length + 1)]
+                runs = [_wide(lines[i : i + length]) for i in range(len(lines) - length + 1)]
                 for at in winnow(grams, window):
                     first = max(0, at + gram - length)
                     out.append((grams[at], doc_id, text_hash, first, length, runs[first : at + 1]))
@@ -89,7 +97,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, gram: int, window: i
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], kind)], ["print", "doc_id", "text_hash", "first", "n", "runs"])
 
     inner = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return inner.mapInArrow(run, "print long, doc_id long, text_hash long, first long, n long, runs array<bigint>")
+    return inner.mapInArrow(run, "print long, doc_id long, text_hash long, first long, n long, runs array<binary>")
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, min_words: int | None = None) -> DataFrame:
@@ -127,29 +135,36 @@ def without(text: str, spans: list[tuple[int, int, int, int]]) -> str:
 
 
 def _with_runs(df: DataFrame, id_col: str, text_col: str, gram: int, window: int, min_words: int | None) -> DataFrame:
-    """`df` with `__runs`, null for texts that lose nothing."""
-    found = repeated_runs(df, id_col, text_col, gram, window, min_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("runs").alias("__runs"))
-    on = F.col("__id").eqNullSafe(F.col(id_col).cast("long")) & (F.col("__hash") == F.xxhash64(text_col))
-    return df.join(found, on, "left").drop("__id", "__hash")
+    """`df` with a last column `RUNS`, null for texts that lose nothing."""
+    found = repeated_runs(df, id_col, text_col, gram, window, min_words).select(F.struct("doc_id", "text_hash").alias("at"), "runs")
+    # as one column, so that the table's names can't clash
+    whole = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash")).alias("key"))
+    on = F.col("key.doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("key.text_hash") == F.col("at.text_hash"))
+    joined = whole.join(found, on, "left")
+    return joined.select("row.*", F.col("runs").alias(RUNS))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, min_words: int | None = None) -> DataFrame:
     """`df` with the later repeated runs of lines cut out of its texts; other columns stay.
 
     A run has `gram + window - 1` lines or more, or `min_words` words where that is given. Null and empty texts and texts
-    without a run are left alone; a null id ranks last; repeated rows (equal id and text) count as one and lose the same
-    lines; an empty table gives no rows.
+    without a run are left alone; whole texts are read, however long; a null id ranks last; repeated rows (equal id and
+    text) count as one and lose the same lines; other columns may have any names; an empty table gives no rows.
     """
 
+    at = df.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, hit = b.schema.get_field_index(text_col), b.column(b.num_columns - 1)
+            hit = b.column(b.num_columns - 1)
             text = pa.array([t.as_py() if not f.is_valid else without(t.as_py(), removed_lines(t.as_py(), [(r["line"], r["lines"]) for r in f.as_py()])) for t, f in zip(b.column(at), hit)], b.schema.field(at).type)
             cols = b.columns[:-1]
             cols[at] = text
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(list(b.schema)[:-1]))
 
-    return _with_runs(df, id_col, text_col, gram, window, min_words).mapInArrow(run, df.schema)
+    # plain names meanwhile, as names with dots can't be passed
+    plain = _with_runs(df, id_col, text_col, gram, window, min_words).toDF(*[f"c{i}" for i in range(len(df.columns) + 1)])
+    return plain.mapInArrow(run, StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)])).toDF(*df.columns)
 
 
 def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, min_words: int | None = None) -> DataFrame:
@@ -162,5 +177,5 @@ def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    hit = _with_runs(df.select(id_col, text_col), id_col, text_col, gram, window, min_words).where("__runs is not null")
-    return hit.select(F.col(id_col).cast("long").alias("doc_id"), text_col, "__runs").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    hit = _with_runs(df.select(id_col, text_col), id_col, text_col, gram, window, min_words).where(F.col(f"`{RUNS}`").isNotNull())
+    return hit.select(F.col(id_col).cast("long").alias("doc_id"), text_col, f"`{RUNS}`").mapInArrow(run, ", ".join(f"{n} long" for n in names))

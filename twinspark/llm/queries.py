@@ -98,8 +98,13 @@ z AS (SELECT *, h < min(h) OVER (o ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AND
   AND count(h) OVER (o ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) = 15 AS cut FROM y WINDOW o AS (PARTITION BY doc_id, pos ORDER BY k)),
 q AS (SELECT *, sum(CAST(coalesce(cut, FALSE) AS INT)) OVER (PARTITION BY doc_id, pos ORDER BY k) AS piece FROM z),
 r AS (SELECT doc_id, pos, piece, CASE WHEN piece = 0 THEN min(start) ELSE min(place) END AS start, max(stop) AS unit_stop, string_agg(word, ' ' ORDER BY k) AS norm FROM q GROUP BY doc_id, pos, piece),
-a AS (SELECT doc_id, start, stop, norm FROM l WHERE words <= 40 UNION ALL
+c AS (SELECT doc_id, start, stop, norm FROM l WHERE words <= 40 UNION ALL
   SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id, pos ORDER BY piece), unit_stop), norm FROM r),
+lp AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+lu AS (SELECT doc_id, t.i AS pos, parts[t.i] AS unit FROM lp, unnest(range(1, len(parts) + 1)) AS t(i)),
+ls AS (SELECT doc_id, unit, CAST(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(unit) - 1 AS BIGINT) AS start FROM lu),
+lw AS (SELECT doc_id, start, start + length(unit) AS stop, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM ls),
+a AS (FROM c UNION ALL SELECT lw.doc_id, lw.start, lw.stop, any_value(lw.norm) FROM lw JOIN c ON c.doc_id = lw.doc_id AND c.start >= lw.start AND c.start < lw.stop GROUP BY ALL HAVING count(*) > 1),
 k AS (SELECT doc_id, start, stop, md5(norm) AS digest, count(*) OVER g AS occurrences, first_value(doc_id) OVER o AS kept_doc_id,
   first_value(start) OVER o AS kept_start, row_number() OVER o AS rn
   FROM a WHERE len(string_split(norm, ' ')) >= 8

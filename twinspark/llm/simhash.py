@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.common import materialize
-from twinspark.llm.components import components
+from twinspark.sources.written import materialize
+from twinspark.operators.grouping import connected
 
 SEED = 42
 #: Expected rows of a bucket from which keys take a third segment.
@@ -291,7 +291,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, max_bits: int = 48, n_words
     docs = materialize(fingerprints(df, id_col, text_col, shingle, n_words, route, keep), "fingerprints")
     # the number is steady once the table is written
     nodes = materialize(docs.groupBy(*every).agg(F.min("doc_id").alias("least")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    found = materialize(components(_edges(nodes, names, routed, max_bits, route.max_bits if route else max_bits // n_words)), "components")
+    found = materialize(connected(_edges(nodes, names, routed, max_bits, route.max_bits if route else max_bits // n_words)), "components")
     roots = nodes.join(found, nodes.nid == found.node).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = found.join(roots, "root").select(F.col("node").alias("nid"), "component_id")
     placed = nodes.join(linked, "nid", "left").select(*every, F.coalesce("component_id", "least").alias("component_id"))

@@ -1,12 +1,12 @@
-"""Substring dedup by hashing of lines, paragraphs or sentences.
+"""Substring dedup by hashing of lines or paragraphs, and of the sentences in them.
 
 Texts are cut into units; a unit is normalised (lower-cased, runs of ASCII white space made one blank, ends trimmed)
 and digested; the occurrence with the least (doc_id, start) of each digest stays and the others go, with their offsets
 in the original text. Units of fewer than `min_words` words stay: they repeat by chance.
 
-Passages that repeat often begin and end within a line, so the default unit is a sentence of a line, and a sentence of
-more than `LONG` words is cut at words that its words alone decide (`cuts`): a passage inside it is cut alike wherever
-it stands.
+The default unit is a line. Passages that repeat often begin and end within a line, so a line is also cut into sentences,
+and a sentence of more than `LONG` words at words that its words alone decide (`cuts`): a passage inside it is cut alike
+wherever it stands. A line of one piece is one unit. What goes is the union of the units' spans.
 
 Digests are counted and ranked by an aggregate that sums up before it shuffles; only digests that occur twice or more
 meet their occurrences, in a join of two exchanges whose skewed side Spark splits. So a line that most documents have
@@ -25,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.common import materialize
+from twinspark.sources.written import materialize
 
 MIN_WORDS = 8
-LINES, PARAGRAPHS, SENTENCES = r"\n", r"\n[^\S\n]*\n\s*", r"\n|(?<=[.!?])[ \t\f\r]"
+LINES, PARAGRAPHS = r"\n", r"\n[^\S\n]*\n\s*"
+#: Where a unit is cut further.
+SENTENCES = r"\n|(?<=[.!?])[ \t\f\r]"
 #: Units of more words are cut further; so many words on both sides take part in the choice of a cut.
 LONG, NEAR = 40, 7
 _UNITS = "doc_id long, row long, start long, stop long, d0 long, d1 long"
@@ -60,12 +62,25 @@ def units(text: str | None, separator: re.Pattern, min_words: int, long: int = L
         at = m.end() if m else stop
 
 
-def unit_table(df: DataFrame, id_col: str, text_col: str, separator: str, min_words: int, long: int) -> DataFrame:
+def nested_units(text: str | None, separator: re.Pattern, inner: re.Pattern, min_words: int, long: int = LONG) -> Iterator[tuple[int, int, bytes]]:
+    """`units` by `separator`, and the pieces of those that `inner` and `long` cut into more than one; of one piece, the piece."""
+    pieces = list(units(text, inner, 1, long))
+    at = 0
+    for start, stop, unit in units(text, separator, 1, 0):
+        to = at
+        while to < len(pieces) and pieces[to][0] < stop:
+            to += 1
+        found = pieces[at:to] + ([(start, stop, unit)] if to - at > 1 else [])
+        at = to
+        yield from (u for u in found if u[2].count(b" ") + 1 >= min_words)
+
+
+def unit_table(df: DataFrame, id_col: str, text_col: str, separator: str, inner: str | None, min_words: int, long: int) -> DataFrame:
     """A row for each unit: doc_id, start and stop in characters, 128-bit digest (d0, d1); `row` is a number of its own for
     each unit, steady only once the table is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = re.compile(separator)
+        pattern, within = re.compile(separator), inner and re.compile(inner)
         names = [x.split()[0] for x in _UNITS.split(", ")]
 
         def flush() -> pa.RecordBatch:
@@ -77,7 +92,8 @@ def unit_table(df: DataFrame, id_col: str, text_col: str, separator: str, min_wo
         out, digests, row = [], [], TaskContext.get().partitionId() << 40
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for start, stop, unit in units(text.as_py(), pattern, min_words, long):
+                text = text.as_py()
+                for start, stop, unit in nested_units(text, pattern, within, min_words, long) if within else units(text, pattern, min_words, long):
                     row += 1
                     out.append((doc_id, row, start, stop))
                     digests.append(md5(unit, usedforsecurity=False).digest())
@@ -85,19 +101,19 @@ def unit_table(df: DataFrame, id_col: str, text_col: str, separator: str, min_wo
                     yield flush()
         yield flush()
 
-    inner = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return inner.mapInArrow(run, _UNITS)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _UNITS)
 
 
-def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = SENTENCES, min_words: int = MIN_WORDS, long: int = LONG) -> DataFrame:
+def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = LINES, inner: str | None = SENTENCES, min_words: int = MIN_WORDS, long: int = LONG) -> DataFrame:
     """A row for each unit to remove: doc_id, start, stop (characters), digest, occurrences, and the kept occurrence's
     kept_doc_id and kept_start.
 
-    `long` 0 leaves long units whole. Null and empty texts have no units. A null id ranks after all others. Where (doc_id, start) ties (rows that share an
+    `inner` None leaves units uncut, `long` 0 leaves long ones whole; units and their pieces overlap. Null and empty texts
+    have no units; whole texts are read, however long; other columns aren't read. A null id ranks after all others. Where (doc_id, start) ties (rows that share an
     id), all but one go, so the result always holds one row less than occurrences for each digest. An empty table gives no
     rows.
     """
-    table = materialize(unit_table(df, id_col, text_col, separator, min_words, long), "units")
+    table = materialize(unit_table(df, id_col, text_col, separator, inner, min_words, long), "units")
     # counts alone are hashed, not sorted; most digests occur once and go no further
     twice = materialize(table.groupBy("d0", "d1").agg(F.count("*").alias("occurrences")).where("occurrences > 1"), "twice")
     hits = materialize(table.join(twice, ["d0", "d1"]), "hits")
@@ -110,14 +126,14 @@ def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def removed_spans(removed: DataFrame) -> DataFrame:
-    """doc_id and spans (pairs of start and stop, sorted) of `repeated_units`: what to cut out of each text."""
+    """doc_id and spans (pairs of start and stop, sorted; they may overlap) of `repeated_units`: what to cut out of each text."""
     return removed.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
 def cut(text: str, spans: list) -> str:
-    """`text` without `spans` (disjoint, sorted)."""
+    """`text` without `spans` (sorted)."""
     out, at = [], 0
     for start, stop in spans:
         out.append(text[at:start])
-        at = stop
+        at = max(at, stop)
     return "".join([*out, text[at:]])

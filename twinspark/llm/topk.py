@@ -19,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinspark.llm.common import materialize
+from twinspark.sources.written import materialize
 
-#: Queries of a block, and candidates that give the first threshold.
+#: Queries of a block, blocks whose hits are written together, and candidates that give the first threshold.
 QUERY_BLOCK = 8192
+BLOCKS_WRITTEN = 16
 SEEDS = 512
 #: Candidates of a shard that are scored at once.
 ROWS = 8192
-#: Terms traversed between two looks at the bounds.
+#: Non-essential terms probed between two looks at the bounds.
 STEP = 16
 
 
@@ -62,15 +63,17 @@ class Shard:
             base = least[i].sum()
             if base + rest[0] < theta:
                 continue
-            # essential terms: without them nothing reaches theta
-            at = min(len(terms), max(1, int(np.argmax(base + rest < theta)) if (base + rest < theta).any() else len(terms)))
-            at = min(at, STEP)
+            # essential terms: what has none of them can't reach theta; their postings are traversed
+            short = base + rest < theta
+            at = max(1, int(np.argmax(short)) if short.any() else len(terms))
             first = terms[:at]
             part = q[i, first] @ self.columns[first] + least[i, terms[at:]].sum()
             # rows of the query's own id are no hits, so they must not lift theta
             live = np.flatnonzero((part + rest[at] >= theta) & (self.ids != query_ids[i]))
             part = part[live]
-            while at < len(terms) and len(live):
+            if len(live) > k:
+                theta = max(theta, np.partition(part, len(part) - k)[len(part) - k])
+            while at < len(terms) and len(live):  # the others are probed for what is still competitive
                 to = min(len(terms), at + STEP)
                 some = terms[at:to]
                 part = part + self.x[np.ix_(live, some)] @ q[i, some] - least[i, some].sum()
@@ -98,7 +101,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col:
     rows = df.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec, lambda x: F.floor(x.cast("double") * float(scale))).alias("x"))
     # repeated rows must not take places of a shard's k best, nor lift its threshold; written once for all blocks
     rows = materialize(rows.distinct(), "vectors")
-    queries = rows.where(F.col("vec_id") % every == 0)
+    queries = materialize(rows.where(F.col("vec_id") % every == 0), "queries")
     blocks = max(1, -(-queries.count() // query_block))
     # by hash of the id; a block has about `query_block` rows
     seeds = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).toPandas()
@@ -111,6 +114,8 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col:
             one = part[part.x.map(len) == width].sort_values("vec_id").reset_index(drop=True)
             hits = _pass(rows, one, seeds[seeds.x.map(len) == width], width, k)
             found = hits if found is None else found.unionByName(hits)
+        if found is not None and block % BLOCKS_WRITTEN == BLOCKS_WRITTEN - 1:
+            found = materialize(found, "hits")  # the plan doesn't grow with the blocks
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
