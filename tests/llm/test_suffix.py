@@ -1,12 +1,13 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from twinspark.llm import suffix
-from twinspark.llm.induced import suffix_order
+from twinspark.llm import induced, suffix
+from twinspark.llm.induced import repeated, sorted_suffixes
 from twinspark.llm.suffix import suffix_dedup
 
 
@@ -24,13 +25,44 @@ def brute(docs, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 64])
-def test_suffix_order_is_a_sort(limit):
+@pytest.mark.parametrize("limit,base", [(1 << 20, 1 << 20), (64, 1 << 20), (64, 8), (1 << 20, 1)])
+def test_suffixes_and_common_prefixes(limit, base):
+    """In memory and on disk, with and without recursion, against a plain sort."""
     rng = np.random.default_rng(0)
-    for k in range(100):
-        t = rng.integers(0, 1 + k % 5, int(rng.integers(1, 200))).astype(np.uint8)
+    for k in range(120):
+        t = rng.integers(0, 1 + k % 5, int(rng.integers(0, 150))).astype(np.uint8)
         b = t.tobytes() * (1 + k % 3)
-        assert suffix_order(np.frombuffer(b, np.uint8), len(b), limit).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+        order = sorted(range(len(b)), key=lambda i: b[i:])
+        common = [0] * bool(b) + [len(os.path.commonprefix([b[x:], b[y:]])) for x, y in zip(order, order[1:])]
+        got, lcp = sorted_suffixes(np.frombuffer(b, np.uint8), 256, limit, base)
+        assert got.tolist() == order and lcp.tolist() == common
+
+
+def test_depth_is_enough():
+    rng = np.random.default_rng(1)
+    for k in range(60):
+        t = rng.integers(97, 99 + k % 4, 300).astype(np.uint8)
+        t = np.concatenate([t, t[50:250], t[: k + 1]])
+        b, depth = t.tobytes(), 5 + k % 40
+        count = Counter(b[i : i + depth] for i in range(len(b) - depth + 1))
+        valid = np.arange(len(b)) + depth <= len(b)
+        for base in (1 << 20, 4):
+            hit = repeated(t, valid, depth, 64, base)
+            assert hit.tolist() == [bool(v) and count[b[i : i + depth]] > 1 for i, v in enumerate(valid)]
+
+
+def test_blocks_use_the_disk(monkeypatch):
+    """At production parameters the queues of a block are on disk; a block whose names outgrow `BASE` recurs."""
+    rng, made, depth = np.random.default_rng(2), [], []
+    queue, sort = induced.Queue, induced.sorted_suffixes
+    monkeypatch.setattr(induced, "Queue", lambda *a: (made.append(queue(*a)), made[-1])[1])
+    monkeypatch.setattr(induced, "sorted_suffixes", lambda *a: (depth.append(len(a[0])), sort(*a))[1])
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(5000)]
+    text = " ".join(words[i] for i in rng.integers(0, 5000, suffix.BLOCK_BYTES // 12))
+    t = np.frombuffer((text + " " + text[1000:3000]).encode(), np.uint8)
+    hit = repeated(t, np.arange(len(t)) + 400 <= len(t), 400, base=1 << 17)
+    assert all(q.on_disk for q in made[:2] + made[-2:]) and len(depth) > 1
+    assert hit[1000:2601].all() and hit[len(text) + 1 : len(text) + 1602].all() and hit.sum() == 2 * 1601
 
 
 @pytest.mark.parametrize("key_bytes,block_bytes", [(8 << 20, 4 << 20), (300, 500), (0, 1)])

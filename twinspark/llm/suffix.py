@@ -5,10 +5,10 @@ equal keys; starts of a text that stand together and share a key are a run (its
 are what the operator moves:
 
 1. Keys, digests and places of all runs are written (no text). Runs whose digest occurs twice repeat as a whole.
-2. Of keys with runs that differ (or a run that may hold a string twice), one run of each digest is fetched with its bytes; suffixes of these runs alone can still
-   be equal. They are dealt out by key into blocks of bounded size, and each block's suffixes are sorted by external
-   induced sorting (`induced`: bucket queues that spill to disk, naming, induction from the names); neighbours in that
-   order whose common prefix reaches `length` repeat.
+2. Of keys with runs that differ (or a run that may hold a string twice), one run of each digest is fetched with its
+   bytes; suffixes of these runs alone can still be equal. They are dealt out by key into blocks of bounded size, and each
+   block's suffixes are sorted by external induced sorting (`induced`: queues on disk carry suffixes and their common
+   prefixes, names are sorted by recursion); neighbours in that order whose common prefix reaches `length` repeat.
 3. A key whose runs outgrow a block (a line that very many texts share) isn't gathered in one task: its starts meet by
    digest of their whole string, in an aggregate.
 4. What repeats is told once for each run: a run that occurs twice goes as a whole at each of its places, and only of a
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinspark.sources.written import materialize
-from twinspark.llm.induced import common_prefix_reaches, suffix_order
+from twinspark.llm.induced import repeated
 
 LENGTH = 400
-GRAM = 64
+GRAM = 128
 #: Bytes of runs sorted at once, and of a key beyond which its starts are dealt out by digest.
 BLOCK_BYTES = 4 << 20
 KEY_BYTES = 1 << 20
@@ -149,12 +149,7 @@ def sorted_block(block: list[tuple], length: int) -> Iterator[tuple[int, int, in
     valid = np.zeros(len(t), bool)
     for r, at in zip(unique, begin.tolist()):
         valid[at : at + r[2]] = True
-    order = suffix_order(t, length)
-    order = order[valid[order]]
-    near = common_prefix_reaches(t, order[:-1], order[1:], length)
-    hit = np.zeros(len(t), bool)
-    hit[order[:-1][near]] = True
-    hit[order[1:][near]] = True
+    hit = repeated(t, valid, length)
     for r, at in zip(unique, begin.tolist()):
         for a, b in _spans(hit[at : at + r[2]]) if r[3] else ():
             yield r[0], r[1], a, b
@@ -208,8 +203,9 @@ def _by_digest(fetched: DataFrame, length: int) -> DataFrame:
 def suffix_dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, key_bytes: int = KEY_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (byte offsets start, stop, flat) of each row.
 
-    Null and empty texts have no bytes; texts of fewer than `length` bytes keep all; repeated rows are each other's
-    repetition, whatever their ids, null ids included; an empty table gives no rows. `length` is `gram` or more.
+    Null and empty texts have no bytes; whole texts are read, however long; texts of fewer than `length` bytes keep all; repeated rows are each other's
+    repetition, whatever their ids, null ids included; other columns aren't read; an
+    empty table gives no rows. `length` is `gram` or more.
     """
     if length < gram or gram & (gram - 1):
         raise ValueError("gram must be a power of two, and length no less")
