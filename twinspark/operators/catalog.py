@@ -59,7 +59,7 @@ def page_at(base: DataFrame, cursor: str | None, limit: int, key: str = "video_i
 
 def cache_hits(keys: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int = 86_400) -> DataFrame:
     """`keys` (sha256, model) with the cache's row where it is younger than the time to live."""
-    fresh = cache.where(F.unix_timestamp("created_at") > F.unix_timestamp(now) - ttl_seconds)
+    fresh = cache.where(F.unix_micros("created_at") > F.unix_micros(now) - ttl_seconds * 1_000_000)
     return keys.join(fresh, ["sha256", "model"], "left").withColumn("hit", F.col("created_at").isNotNull())
 
 

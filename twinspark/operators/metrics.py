@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinspark.sources.written import materialize
+
 
 def relevant(scored: DataFrame, truth: DataFrame) -> DataFrame:
     """`scored` with rel, 1 for pairs that `truth` has."""
@@ -40,7 +42,8 @@ def running_ranks(df: DataFrame, order: list, value: str, parts: int = 64) -> Da
     range, and the counts of the ranges before, of which there are `parts`."""
     dealt = df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
     w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = dealt.withColumn("rn0", F.count(F.lit(1)).over(w)).withColumn("tp0", F.sum(value).over(w))
+    # written, so that both uses see the same ranges, whatever is run again
+    local = materialize(dealt.withColumn("rn0", F.count(F.lit(1)).over(w)).withColumn("tp0", F.sum(value).over(w)), "ranks")
     sums = local.groupBy("part").agg(F.max("rn0").alias("n"), F.max("tp0").alias("t"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("n"), F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("t"))

@@ -90,15 +90,16 @@ def jn09(spark, sf):
     return rounded(cand.unionByName(m.join(cand.select("query_id", "video_id"), ["query_id", "video_id"], "left_anti")), "score")
 
 
-@register("jn10_prepended_merge", "WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rn FROM documents WHERE doc_id % 7 = 0), h AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS rn FROM documents WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0), u AS (SELECT doc_id, -rn AS k FROM h UNION ALL SELECT doc_id, rn FROM c) SELECT doc_id, CAST(k AS INTEGER) AS place FROM u")
+@register("jn10_prepended_merge", "WITH c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents WHERE doc_id % 3 > 0), h AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rn FROM documents WHERE doc_id % 3 < 2 AND doc_id % 3 = 0), u AS (SELECT source, doc_id, -rn AS k FROM h UNION ALL SELECT source, doc_id, rn FROM c) SELECT source, doc_id, CAST(k AS INTEGER) AS place FROM u")
 def jn10(spark, sf):
     from pyspark.sql import Window
 
-    d = T.read(spark, sf, "documents").select("doc_id", "n_chars")
-    # the order of either list is a window over few rows: candidates of one query
-    cand = d.where("doc_id % 7 = 0").withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
-    new = d.where("doc_id % 5 = 0").join(cand, "doc_id", "left_anti").withColumn("place", -F.row_number().over(Window.orderBy("n_chars", "doc_id")))
-    return cand.unionByName(new).select("doc_id", "place")
+    # a source stands for a query: two thirds of its documents are candidates, two thirds new hits, some of them candidates
+    d, of = T.read(spark, sf, "documents").select("source", "doc_id", "n_chars"), Window.partitionBy("source")
+    cand = d.where("doc_id % 3 > 0").withColumn("place", F.row_number().over(of.orderBy(F.desc("n_chars"), "doc_id")))
+    hits = d.where("doc_id % 3 < 2").join(cand.select("source", "doc_id"), ["source", "doc_id"], "left_anti")
+    new = hits.withColumn("place", -F.row_number().over(of.orderBy("n_chars", "doc_id")))
+    return cand.unionByName(new).select("source", "doc_id", "place")
 
 
 @register("jn12_cross_scores", f"WITH {D} SELECT a.video_id AS query_id, b.video_id, round({DOT}, 6) AS score FROM desc_ a JOIN desc_ b ON a.video_id % 50 = 0")
@@ -291,10 +292,12 @@ def src17(spark, sf):
     return d.select("doc_id", raw.alias("raw")).where(S.is_hash_text(F.col("raw"))).select("doc_id", S.hash_number(F.col("raw")).alias("h"))
 
 
-@register("snk07_result_json", _top(COS, k=1, ids="a.video_id % 50 = 0 AND a.video_id <> b.video_id").replace("SELECT query_id, video_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank", "SELECT query_id, '{\"video_id\":' || video_id || ',\"hit\":' || CASE WHEN s >= 0.35 THEN 'true' ELSE 'false' END || '}' AS line"))
+@register("snk07_result_json", _top(COS, k=1, ids="a.video_id % 50 = 0 AND a.video_id <> b.video_id").replace("SELECT query_id, video_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank", "SELECT '{\"video_id\":' || video_id || ',\"score\":' || round(s, 4) || ',\"path\":\"/v/' || query_id || '.mp4\"}' AS line"))
 def snk07(spark, sf):
     t = similarity.topk(query_set(spark, sf, 50), T.descriptors(spark, sf), 1, "cosine", exclude_self=True)
-    return t.select("query_id", F.to_json(F.struct("video_id", (F.col("score") >= 0.35).alias("hit"))).alias("line"))
+    from twinspark.operators.engine import results_json
+
+    return results_json(t.withColumn("path", F.concat(F.lit("/v/"), F.col("query_id").cast("string"), F.lit(".mp4"))))
 
 
 @register("sign_bits", f"WITH {H} SELECT video_id, CAST(bit_count(h) AS INTEGER) AS ones FROM hash_")

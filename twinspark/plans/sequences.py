@@ -139,7 +139,10 @@ def src10(spark, sf):
 
 @register("prj20_crop_box", "SELECT event_id, (40 + user_id % 40 * 8 - 32) // 2 AS x, (40 + event_id % 40 * 4 - 24) // 2 AS y FROM events")
 def prj20(spark, sf):
-    return T.read(spark, sf, "events").selectExpr("event_id", "(40 + user_id % 40 * 8 - 32) div 2 x", "(40 + event_id % 40 * 4 - 24) div 2 y")
+    from twinspark.operators.models import crop_offset
+
+    x, y = crop_offset(40 + F.col("user_id") % 40 * 8, 32), crop_offset(40 + F.col("event_id") % 40 * 4, 24)
+    return T.read(spark, sf, "events").select("event_id", x.alias("x"), y.alias("y"))
 
 
 @register("agg21_moving_average", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS avg5 FROM events")

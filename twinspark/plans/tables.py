@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from twinspark.operators import catalog
+from twinspark.operators.metrics import running_ranks
 from twinspark.plans.registry import register
 from twinspark.sources import tables as T
+from twinspark.sources.written import shared_dir
 
 
 def rows(spark, sf, where="TRUE"):
@@ -43,19 +47,19 @@ def mut04(spark, sf):
 
 @register("mut06_point_get", f"WITH {_R} SELECT * FROM r_ WHERE video_id = 77")
 def mut06(spark, sf):
-    return rows(spark, sf).where("video_id = 77")
+    return catalog.get(rows(spark, sf), 77)
 
 
 @register("mut08_cache_hits", "WITH k AS (SELECT md5(CAST(user_id AS VARCHAR)) AS sha256, max(ts) AS created_at FROM events GROUP BY 1) SELECT sha256, created_at > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1 DAY AS hit FROM k")
 def mut08(spark, sf):
     cache = T.read(spark, sf, "events").groupBy(F.md5(F.col("user_id").cast("string")).alias("sha256")).agg(F.max("ts").alias("created_at")).withColumn("model", F.lit("m")).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    # a time to live of a day, by the second and its fraction
-    return cache.select("sha256", (F.col("created_at") > F.lit("2024-01-29 00:00:00").cast("timestamp")).alias("hit"))
+    return catalog.cache_hits(cache.select("sha256", "model"), cache, F.lit("2024-01-30 00:00:00").cast("timestamp")).select("sha256", "hit")
 
 
 @register("mut08_evicted", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 100")
 def mut08e(spark, sf):
-    return T.read(spark, sf, "events").select("event_id", "ts").orderBy(F.desc("ts"), "event_id").limit(100)
+    cache = T.read(spark, sf, "events").select(F.col("event_id").alias("sha256"), F.col("ts").alias("created_at"))
+    return catalog.evicted(cache, 100).select(F.col("sha256").alias("event_id"), F.col("created_at").alias("ts"))
 
 
 @register("win04_latest", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -121,12 +125,15 @@ def snk05(spark, sf):
     return e.where("vec_id % 3 = 0").union(e.where("vec_id % 5 = 0")).distinct()
 
 
-@register("snk11_config_merge", "SELECT conv_id, max(CASE WHEN turn = 0 THEN role END) AS first_role, coalesce(max(CASE WHEN turn = 9 THEN role END), 'default') AS tenth_role FROM conversations GROUP BY conv_id")
+@register("snk11_config_merge", "SELECT key, CAST(value AS DOUBLE) AS value FROM (VALUES ('cache_most', 100), ('cache_ttl', 86400), ('crop', 224), ('dim', 64), ('fps', 2.5), ('max_distance', 5), ('max_frames', 60), ('resize', 256), ('threshold', 0.9), ('top_k', 50), ('top_n', 10)) AS t(key, value)")
 def snk11(spark, sf):
-    c = T.read(spark, sf, "conversations")
-    saved = F.map_from_entries(F.collect_list(F.struct(F.col("turn"), F.col("role"))))
-    merged = c.groupBy("conv_id").agg(saved.alias("saved"))
-    return merged.select("conv_id", F.try_element_at("saved", F.lit(0).cast("long")).alias("first_role"), F.coalesce(F.try_element_at("saved", F.lit(9).cast("long")), F.lit("default")).alias("tenth_role"))
+    """The numbers of a saved configuration over the defaults; `colour` is unknown and left out."""
+    from dataclasses import asdict
+
+    from twinspark.operators.engine import Config
+
+    config = asdict(Config.load(Config.load('{"threshold": 0.9, "dim": 64, "fps": 2.5, "colour": 3}').saved()))
+    return spark.createDataFrame([(k, float(v)) for k, v in config.items() if isinstance(v, int | float) and not isinstance(v, bool)], "key string, value double")
 
 
 @register("agg19_ingest_counts", "SELECT count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS succeeded, count(*) FILTER (WHERE event_type = 'error') AS failed, round(count(*) / epoch(max(ts) - min(ts)), 9) AS rate FROM events")
@@ -150,7 +157,8 @@ def src12(spark, sf):
 @register("src19_first_share", "SELECT page_id FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n, count(*) OVER () AS c FROM pages) WHERE n <= floor(c * 0.3)")
 def src19(spark, sf):
     p = T.read(spark, sf, "pages").select("page_id")
-    return p.orderBy("page_id").limit(int(p.count() * 0.3))
+    ranked = running_ranks(p.withColumn("one", F.lit(1)), [F.col("page_id")], "one")
+    return ranked.where(F.col("rn") <= int(p.count() * 0.3)).select("page_id")
 
 
 @register("plb02_not_found", "SELECT count(*) AS not_found FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -173,10 +181,13 @@ def prj15(spark, sf):
     return T.read(spark, sf, "documents").where("source = 'src3'").select("doc_id", "lang")
 
 
-@register("mut05_delete_all", "SELECT count(*) AS removed, 0 AS n FROM orders")
+@register("mut05_delete_all", "SELECT count(*) AS removed, CAST(0 AS BIGINT) AS n FROM orders")
 def mut05(spark, sf):
     r = rows(spark, sf)
-    return r.agg(F.count("*").alias("removed")).withColumn("n", F.lit(0))
+    table = catalog.VideoTable(spark, f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}", r.schema, ())
+    table.write(r)
+    removed = table.delete_all()
+    return table.current().agg(F.lit(removed).cast("long").alias("removed"), F.count("*").alias("n"))
 
 
 @register("mut09_hash_changes", f"WITH {T.SQL_HASHES} SELECT video_id, CAST(bit_count(h) AS INTEGER) AS ones FROM hash_ WHERE video_id % 4 <> 0 UNION ALL SELECT video_id + 100000, CAST(bit_count(h) AS INTEGER) FROM hash_ WHERE video_id % 4 = 0")
@@ -187,9 +198,16 @@ def mut09(spark, sf):
     return catalog.append(catalog.delete(h, gone), moved).select("video_id", F.bit_count("h").alias("ones"))
 
 
-@register("plb01_evaluation_ids", "SELECT DISTINCT label AS query_id FROM embeddings WHERE vec_id % 3 = 0")
+@register("plb01_evaluation_ids", "SELECT CAST(label AS VARCHAR) AS query_id, 'ND' AS label, CAST(vec_id AS VARCHAR) AS video_id FROM embeddings WHERE vec_id % 3 = 0")
 def plb01(spark, sf):
-    return T.read(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.col("label").alias("query_id")).distinct()
+    """The annotation of an evaluation set, which is a file of one JSON map."""
+    from twinspark.sources.evaluation import evaluation_set
+
+    e = T.read(spark, sf, "embeddings").where("vec_id % 3 = 0").groupBy(F.col("label").cast("string").alias("q")).agg(F.collect_list(F.col("vec_id").cast("string")).alias("ids"))
+    one = e.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("q", F.create_map(F.lit("ND"), "ids"))))).alias("value"))
+    path = f"{shared_dir(spark).rstrip('/')}/set-{uuid.uuid4().hex}"
+    one.write.text(path)
+    return evaluation_set("fine", spark, path)["annotation"]
 
 
 @register("plb03_list_ids", "SELECT o_orderkey AS video_id FROM orders WHERE o_orderstatus = 'O'")
