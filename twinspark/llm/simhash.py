@@ -23,6 +23,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,7 +277,8 @@ ROUTE = Route(shingle=2, words=2, max_bits=9)
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, max_bits: int = 48, n_words: int = 4, id_col: str = "doc_id", text_col: str = "text", route: Route | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, f0.. and component_id, the least id that links reach, for every row, and columns `keep` as keep_0, ...
+    """doc_id, f0.., component (its number) and component_id, the least id that links reach, for every row, and columns
+    `keep` as keep_0, ...
 
     Two rows link if their fingerprints differ in at most `max_bits` bits and their routing words keep `route`; without a
     route the fingerprint's own words route, each with its share of the bits, which loses no link. The defaults stand for
@@ -293,21 +295,32 @@ def near_duplicates(df: DataFrame, shingle: int = 5, max_bits: int = 48, n_words
     nodes = materialize(docs.groupBy(*every).agg(F.min("doc_id").alias("least")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
     found = materialize(connected(_edges(nodes, names, routed, max_bits, route.max_bits if route else max_bits // n_words)), "components")
     roots = nodes.join(found, nodes.nid == found.node).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = found.join(roots, "root").select(F.col("node").alias("nid"), "component_id")
-    placed = nodes.join(linked, "nid", "left").select(*every, F.coalesce("component_id", "least").alias("component_id"))
+    linked = found.join(roots, "root").select(F.col("node").alias("nid"), "root", "component_id")
+    placed = nodes.join(linked, "nid", "left").select(*every, F.coalesce("root", "nid").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
     # written, so that a fingerprint of very many documents is a skewed join of two exchanges, which Spark splits
-    return docs.join(materialize(placed, "placed"), every).select("doc_id", *names, "component_id", *[f"keep_{i}" for i in range(len(keep))])
+    return docs.join(materialize(placed, "placed"), every).select("doc_id", *names, "component", "component_id", *[f"keep_{i}" for i in range(len(keep))])
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", route: Route | None = ROUTE, **options) -> DataFrame:
     """`df` with one row of each component of near duplicates: the least id, of rows that share it any one.
 
-    A row is removed as a row, not by its id. Rows without id stay. The rest is as in `near_duplicates`, routed by pairs of words.
+    A row is removed as a row, not by its id: by its place in the files that `df` is read from (a table that isn't read
+    from files is written first). Rows without id stay. The rest is as in `near_duplicates`, routed by pairs of words.
     """
-    whole = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("n"))
-    whole = materialize(whole, "rows")
-    found = near_duplicates(whole, id_col="n", keep=("doc_id",), route=route, **options).where("keep_0 is not null").select(F.col("doc_id").alias("n"), F.col("keep_0").alias("doc_id"), "component_id")
-    found = materialize(found, "members")
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "n")).alias("kept"))
-    gone = materialize(found.join(materialize(kept, "kept"), "component_id").where("n <> kept.n").select("n"), "gone")
-    return whole.join(gone, "n", "left_anti").select("row.*")
+    names = df.columns
+    try:
+        placed = _with_place(df)
+    except AnalysisException:  # no files, or those of several tables
+        placed = _with_place(materialize(df.toDF(*[f"c{i}" for i in range(len(names))]), "rows").toDF(*names))
+    rows = placed.select("row.*", "file", "at").toDF(*[f"c{i}" for i in range(len(names))], "file", "at")
+    found = near_duplicates(rows, id_col=f"c{names.index(id_col)}", text_col=f"c{names.index(text_col)}", keep=("file", "at"), route=route, **options)
+    found = materialize(found.where("doc_id is not null").select("component", F.struct("doc_id", F.col("keep_0").alias("file"), F.col("keep_1").alias("at")).alias("place")), "members")
+    kept = materialize(found.groupBy("component").agg(F.min("place").alias("kept")), "kept")
+    gone = materialize(found.join(kept, "component").where("place <> kept").select("place.file", "place.at"), "gone")
+    return rows.join(gone, ["file", "at"], "left_anti").drop("file", "at").toDF(*names)
+
+
+def _with_place(df: DataFrame) -> DataFrame:
+    """Each row as a struct, with a hash of its file's name and its place in the file."""
+    meta = df.metadataColumn("_metadata")
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at"))
