@@ -58,7 +58,7 @@ def test_blocks_use_the_disk(monkeypatch):
     monkeypatch.setattr(induced, "Queue", lambda *a: (made.append(queue(*a)), made[-1])[1])
     monkeypatch.setattr(induced, "sorted_suffixes", lambda *a: (depth.append(len(a[0])), sort(*a))[1])
     words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(5000)]
-    text = " ".join(words[i] for i in rng.integers(0, 5000, suffix.BLOCK_BYTES // 12))
+    text = " ".join(words[i] for i in rng.integers(0, 5000, suffix.BLOCK_BYTES // 7))
     t = np.frombuffer((text + " " + text[1000:3000]).encode(), np.uint8)
     hit = repeated(t, np.arange(len(t)) + 400 <= len(t), 400, base=1 << 17)
     assert all(q.on_disk for q in made[:2] + made[-2:]) and len(depth) > 1

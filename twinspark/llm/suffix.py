@@ -32,7 +32,7 @@ from twinspark.llm.induced import repeated
 LENGTH = 400
 GRAM = 128
 #: Bytes of runs sorted at once, and of a key beyond which its starts are dealt out by digest.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 KEY_BYTES = 1 << 20
 
 _MUL = 0x9E3779B97F4A7C15
