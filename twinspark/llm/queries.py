@@ -140,7 +140,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinspark.llm.linededup import removed_runs
 
-    return removed_runs(read(spark, sf_dir, "documents"))
+    return removed_runs(read(spark, sf_dir, "documents"), min_words=8)
 
 
 ORACLES["op9_line_dedup"] = r"""
@@ -149,9 +149,14 @@ u AS (SELECT doc_id, t.i AS pos, parts[t.i] AS unit FROM p, unnest(range(1, len(
 s AS (SELECT doc_id, pos, unit, length(unit) AS n, sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(unit) - 1 AS start FROM u),
 w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS line, start, start + n AS stop,
   trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM s WHERE trim(regexp_replace(unit, '\s+', ' ', 'g')) <> ''),
-g AS (SELECT doc_id, line, norm || chr(10) || lead(norm, 1) OVER o || chr(10) || lead(norm, 2) OVER o AS run FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY line)),
-k AS (SELECT doc_id, line, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS rn FROM g WHERE run IS NOT NULL),
-d AS (SELECT DISTINCT doc_id, line + j AS line FROM k, unnest([0, 1, 2]) AS t(j) WHERE rn > 1),
+c AS (SELECT doc_id, line, norm, greatest(length(norm) - length(replace(norm, ' ', '')) + 1, length(regexp_replace(norm,
+  '[^\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FFFF}]', '', 'g')) // 2) AS words FROM w),
+n AS (SELECT doc_id, line, norm, words, lead(norm, 1) OVER o AS norm1, lead(norm, 2) OVER o AS norm2, lead(words, 1) OVER o AS words1 FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY line)),
+g AS (SELECT doc_id, line, 3 AS lines, norm || chr(10) || norm1 || chr(10) || norm2 AS run FROM n WHERE norm2 IS NOT NULL
+  UNION ALL SELECT doc_id, line, 2, norm || chr(10) || norm1 FROM n WHERE words + words1 >= 8
+  UNION ALL SELECT doc_id, line, 1, norm FROM n WHERE words >= 8),
+k AS (SELECT doc_id, line, lines, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS rn FROM g),
+d AS (SELECT DISTINCT doc_id, line + j AS line FROM k, unnest([0, 1, 2]) AS t(j) WHERE rn > 1 AND j < lines),
 i AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS island FROM d)
 SELECT i.doc_id, CAST(min(i.line) AS BIGINT) AS line, count(*) AS lines, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop
 FROM i JOIN w ON i.doc_id = w.doc_id AND i.line = w.line GROUP BY i.doc_id, island
