@@ -6,7 +6,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from twinspark.llm.decontaminate import decontaminate, matches
+from twinspark.llm import decontaminate as module
+from twinspark.llm.decontaminate import clean, decontaminate, index, matches, words
 from twinspark.llm.packing import pack, public_tokenizer
 
 ODD = [(1, "the cat sat on the mat " * 300, "x"), (2, None, "x"), (3, "", None), (None, "a null id", "y"), (4, "twice", "z"), (4, "twice", "z"), (5, "é 漢字 <|endoftext|> \n\n " * 50, "z")]
@@ -57,8 +58,10 @@ def brute(docs, items, n=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 40])
-def test_decontamination_equals_brute_force(spark, block_words):
+@pytest.mark.parametrize("block_words,index_tokens,candidates", [(2_000_000, 1_000_000, 1_000_000), (40, 1_000_000, 1_000_000), (2_000_000, 500, 20)])
+def test_decontamination_equals_brute_force(spark, monkeypatch, block_words, index_tokens, candidates):
+    monkeypatch.setattr(module, "INDEX_TOKENS", index_tokens)
+    monkeypatch.setattr(module, "CANDIDATES", candidates)
     bench = [(i, r["text"]) for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect())] + [(100, "tiny one"), (101, None), (102, ""), (103, "..."), (9, "tiny ONE"), (None, "the of")]
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     docs += [(1000 + i, f"Aa {t} zz {t}!" if t else t) for i, t in bench if i is not None] + [(None, "a tiny one"), (7, "tiny, ONE tiny one"), (7, "tiny, ONE tiny one")]
@@ -76,3 +79,26 @@ def test_proximity(spark):
     items = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
     got = {r.key: r.near for r in matches(docs, items, "doc_id", slop=1).collect()}
     assert got == {"1": [1], "2": [], "3": [], "4": [0]}
+
+
+def test_index_has_every_token(spark):
+    docs = [(1, "b a b"), (2, None), (3, ""), (4, "A  c"), (4, "A  c"), (None, "a b " * 3000)]
+    blocks = index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), "doc_id").collect()
+    got = []
+    for b in blocks:
+        tokens, at = {}, np.frombuffer(b.positions, np.int32)
+        for i, term in enumerate(b.terms):
+            tokens |= {int(p): bytes(term) for p in at[b.starts[i] : b.starts[i + 1]]}
+        for d, begin, end in zip(b.docs, [0, *b.ends], b.ends):
+            assert d.n_words == end - begin
+            got.append((d.key, [tokens[p] for p in range(begin, end)]))
+    assert sorted(got, key=str) == sorted(((None if k is None else str(k), words(t)) for k, t in docs), key=str)
+
+
+def test_clean_removes_rows_not_ids(spark):
+    docs = spark.createDataFrame([(1, "a tiny one", 5), (1, "another", 5), (None, "tiny one", 6), (None, None, 6), (2, "", 7), (2, "", 7)], "doc_id long, text string, block int")
+    bench = spark.createDataFrame([("x", "tiny one")], "item_id string, text string")
+    got = clean(docs, bench)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "another", 5), (None, None, 6), (2, "", 7), (2, "", 7)], key=str)
+    assert clean(docs.limit(0), bench).count() == 0

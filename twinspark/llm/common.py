@@ -2,9 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinspark.sources.written import materialize
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """The columns of `df` as c0, c1, ..., and each row's place: a hash of its file's name and its number in the file.
+
+    A table that isn't read from files is written first.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    try:
+        rows = _with_place(df)
+    except AnalysisException:  # no files, or those of several tables
+        rows = _with_place(materialize(df.toDF(*names), "rows"))
+    return rows.select("row.*", "file", "at").toDF(*names, "file", "at")
+
+
+def _with_place(df: DataFrame) -> DataFrame:
+    """Each row as a struct, with its place."""
+    meta = df.metadataColumn("_metadata")
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at"))

@@ -23,12 +23,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.sources.written import materialize
+from twinspark.llm.common import placed
 from twinspark.operators.grouping import connected
+from twinspark.sources.written import materialize
 
 SEED = 42
 #: Expected rows of a bucket from which keys take a third segment.
@@ -307,20 +307,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     A row is removed as a row, not by its id: by its place in the files that `df` is read from (a table that isn't read
     from files is written first). Rows without id stay. The rest is as in `near_duplicates`, routed by pairs of words.
     """
-    names = df.columns
-    try:
-        placed = _with_place(df)
-    except AnalysisException:  # no files, or those of several tables
-        placed = _with_place(materialize(df.toDF(*[f"c{i}" for i in range(len(names))]), "rows").toDF(*names))
-    rows = placed.select("row.*", "file", "at").toDF(*[f"c{i}" for i in range(len(names))], "file", "at")
+    names, rows = df.columns, placed(df)
     found = near_duplicates(rows, id_col=f"c{names.index(id_col)}", text_col=f"c{names.index(text_col)}", keep=("file", "at"), route=route, **options)
     found = materialize(found.where("doc_id is not null").select("component", F.struct("doc_id", F.col("keep_0").alias("file"), F.col("keep_1").alias("at")).alias("place")), "members")
     kept = materialize(found.groupBy("component").agg(F.min("place").alias("kept")), "kept")
     gone = materialize(found.join(kept, "component").where("place <> kept").select("place.file", "place.at"), "gone")
     return rows.join(gone, ["file", "at"], "left_anti").drop("file", "at").toDF(*names)
-
-
-def _with_place(df: DataFrame) -> DataFrame:
-    """Each row as a struct, with a hash of its file's name and its place in the file."""
-    meta = df.metadataColumn("_metadata")
-    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at"))
