@@ -168,3 +168,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinspark.llm.suffix import suffix_dedup
 
     return suffix_dedup(read(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinspark.llm.bpe import decode, encode, public_vocabulary
+
+    vocabulary = public_vocabulary()
+    out = decode(encode(read(spark, sf_dir, "documents"), vocabulary, packed=True), vocabulary)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
