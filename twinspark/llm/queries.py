@@ -174,6 +174,92 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinspark.llm.bpe import decode, encode, public_vocabulary
 
+    # a document is 4 bytes a token here, so Arrow's batches are kept to fewer of them than by default
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     vocabulary = public_vocabulary()
     out = decode(encode(read(spark, sf_dir, "documents"), vocabulary, packed=True), vocabulary)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinspark.llm.centroids import clusters
+
+    found, centroids = clusters(read(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256")
+    # k rows, so they may be broadcast
+    out = found.join(F.broadcast(centroids.select("cluster", "cluster_inertia", "inertia", digest)), "cluster")
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _clustering_sql(rounds: int) -> str:
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 40))"]
+    for i in range(rounds + 1):
+        near = f"SELECT v.vec_id, v.x, c, list_dot_product(v.x, v.x) + list_dot_product(k.x, k.x) - 2 * list_dot_product(v.x, k.x) AS d FROM v, c{i} AS k"
+        parts.append(f"a{i} AS MATERIALIZED (SELECT vec_id, x, c, d FROM ({near}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)")
+        if i < rounds:
+            mean = f"SELECT c, p, floor(sum(x[p]) / count(*)) AS m FROM a{i}, unnest(range(1, 65)) AS t(p) GROUP BY c, p"
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT k.c, coalesce(n.x, k.x) AS x FROM c{i} AS k LEFT JOIN (SELECT c, list(m ORDER BY p) AS x FROM ({mean}) GROUP BY c) AS n ON k.c = n.c)")
+    digest = "sha256(array_to_string(list_transform(k.x, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','))"
+    return f"""WITH {', '.join(parts)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  {digest} AS centroid_sha256 FROM a{rounds} AS a JOIN c{rounds} AS k ON a.c = k.c"""
+
+
+ORACLES["op13_centroid_clustering"] = _clustering_sql(5)
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinspark.llm.conversations import damaged, repair, summary
+
+    return summary(repair(damaged(read(spark, sf_dir, "conversations"))))
+
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda c, b:
+  list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def _repair_sql() -> str:
+    """Best (cost, audit, text) from each state, row by row from a conversation's end; states: nothing, s, u, a told last."""
+    follows, named, before = (2, 2, 3, 2), {2: "user", 3: "assistant"}, {"s": (0,), "u": (0, 1, 3), "a": (2,)}
+    lands = {"s": 1, "u": 2, "a": 3}
+    best = lambda options: f"list_sort([{', '.join(options)}])[1]"
+    row = lambda c, a, t: f"{{'c': {c}, 'a': {a}, 't': {t}}}"
+    worst = row("1000000000", "''", "''")
+    direct = []
+    for s in range(4):
+        t = follows[s]
+        keep = [f"CASE WHEN sound AND initial = '{i}' THEN {row(f'f{lands[i]}.c + cut', f"""'K' || f{lands[i]}.a""", f"""chr(10) || role || ':' || text || f{lands[i]}.t""")} ELSE {worst} END" for i in before if s in before[i]]
+        name = f"CASE WHEN sound THEN {row(f'f{t}.c + 2 + cut', f"""'R' || f{t}.a""", f"""chr(10) || '{named[t]}:' || text || f{t}.t""")} ELSE {worst} END"
+        drop = row(f"f{s}.c + 3", f"'D' || f{s}.a", f"f{s}.t")
+        direct.append(f"{best([*keep, name, drop])} AS g{s}")
+    put = lambda s, n: f"g{s}" if n == 0 else None
+    inserted = []
+    for s in range(4):
+        options, at, told = [put(s, 0)], s, ""
+        for n in (1, 2):
+            at = follows[at]
+            told += f"\n{named[at]}:"
+            options.append(row(f"g{at}.c + {2 * n}", f"'{'I' * n}' || g{at}.a", f"'{told}' || g{at}.t"))
+        inserted.append(f"{best(options)} AS f{s}")
+    base = [row("0", "''", "''"), row("4", "'II'", "'\nuser:\nassistant:'"), row("2", "'I'", "'\nassistant:'"), row("0", "''", "''")]
+    return f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, {_CRC32} % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM h, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(copy)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial, regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g') AS ink FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS next FROM o),
+r AS (SELECT *, CASE WHEN ink = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM p),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (next IS NOT NULL AND initial || next NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+f AS (SELECT conv_id, n AS i, {', '.join(f'{b} AS f{s}' for s, b in enumerate(base))} FROM n
+  UNION ALL SELECT conv_id, i, {', '.join(inserted)} FROM (SELECT f.conv_id, f.i - 1 AS i, {', '.join(direct)}
+    FROM f JOIN (SELECT *, fault IN (0, 3) AS sound, CAST(fault = 3 AS INTEGER) AS cut FROM r) AS r ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(f0.c, 0) AS BIGINT) AS cost, coalesce(f0.a, '') AS audit, sha256(coalesce(substr(f0.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN n ON c.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN f ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = 0"""
+
+
+ORACLES["op12_conversation_repair"] = _repair_sql()
