@@ -26,7 +26,7 @@ def texts():
     return out + ["".join(rng.choice(" ab\nc'sé日7½  \x1c.!") for _ in range(rng.randrange(60))) for _ in range(200)]
 
 
-@pytest.mark.parametrize("most", [1 << 19, 3, 0])
+@pytest.mark.parametrize("most", [1 << 20, 3, 0])
 def test_equals_the_library(spark, vocabulary, library, most):
     given = texts()
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(given)] + [(None, "a b", "x"), (3, given[3], "x")], "doc_id long, text string, ids string").repartition(3)
@@ -34,6 +34,8 @@ def test_equals_the_library(spark, vocabulary, library, most):
     want = [(False, i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(given)]
     want += [(True, 0, library.encode_ordinary("a b"), b"a b"), want[3]]
     assert got == sorted(want)
+    both = bpe.encode(df, vocabulary, packed=True, decoded=True, most=most).collect()
+    assert sorted((bytes(r.ids), bytes(r.bytes)) for r in both) == sorted((b"".join(x.to_bytes(4, "little") for x in ids), raw) for _, _, ids, raw in want)
 
 
 def test_odd_tables(spark, vocabulary):

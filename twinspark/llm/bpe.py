@@ -1,9 +1,14 @@
 """Byte-level BPE: encoding by folds of ranked merges over the bytes of distinct words, decoding by concatenated pieces.
 
-A text is cut into words by the vocabulary's pattern. A word is an array of byte strings (in hexadecimal digits); a fold
-merges, step by step, the leftmost pair whose concatenation has the least rank, and works out anew the ranks of the two
-pairs beside it. The ranks are a literal of the plan: maps from byte string to rank, dealt by CRC-32 into an array, so that
-a look-up meets a few entries. All of it is Spark's higher-order functions.
+A text is cut into words by the vocabulary's pattern. Every piece of the vocabulary over a byte comes from one merge: the
+pair that its own bytes end in, if the pair of least rank is merged as long as there is one. A word begins as the string of
+its bytes, `(61)(62)(63)`; the merges of all pieces that stand in it are sorted by rank and folded over that string, each
+replacing its pair wherever it stands. The ranks are a literal of the plan: maps from byte string to rank and pair, dealt by
+CRC-32 into an array, so that a look-up meets a few entries. All of it is Spark's higher-order functions.
+
+A fold in rank order does what the tokenizer's library does (the leftmost pair of least rank first, again and again) if no
+merge gives rise to a pair of lower rank than its own. Were that to happen in a word, it would happen in the piece that the
+lower pair makes, as nothing was merged over that piece's ends; so `Vocabulary` tries it on its pieces.
 
 Words are counted over the whole table, and the most frequent ones (`DICTIONARY` of them at most, whatever the table's
 size) are encoded once and broadcast. What a document holds besides is encoded with the document, each distinct word once.
@@ -29,10 +34,12 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from twinspark.sources.written import materialize
 
 #: Words that are encoded once for the whole table, and bytes of the longest of them.
-DICTIONARY = 1 << 19
+DICTIONARY = 1 << 20
 DICTIONARY_BYTES = 64
-#: Longer words (in bytes) are merged by a heap, as a fold's steps copy what is left of the word.
-FOLD_BYTES = 512
+#: Longer words (in bytes) are merged by a heap, as each merge of a fold goes through the whole word.
+FOLD_BYTES = 1024
+#: Digits of a rank in the literal.
+DIGITS = 7
 #: Maps that the ranks are dealt into; a power of two.
 MAPS = 1 << 15
 #: Steps of the histogram of counts to a doubling.
@@ -49,6 +56,8 @@ class Vocabulary:
             raise ValueError("ranks must be 0, 1, ... and hold every single byte")
         self.ranks, self.pattern = ranks, pattern
         self.pieces = sorted(ranks, key=ranks.get)
+        self.pairs = {p: _last_pair(ranks, p) for p in self.pieces if len(p) > 1}
+        self.longest = max(map(len, ranks))
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
@@ -57,12 +66,13 @@ class Vocabulary:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
     def literal(self) -> Column:
-        """The ranks as array<map<string, int>>, a constant that the optimizer evaluates once."""
-        maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
+        """The ranks as array<map<string, string>>, a constant that the optimizer evaluates once: for a byte string its
+        rank in `DIGITS` digits and the pair that makes it."""
+        maps: list[dict[str, str]] = [{} for _ in range(MAPS)]
         for piece, rank in self.ranks.items():
             key = piece.hex().upper()
-            maps[zlib.crc32(key.encode()) % MAPS][key] = rank
-        return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+            maps[zlib.crc32(key.encode()) % MAPS][key] = f"{rank:0{DIGITS}}" + "".join(f"({x.hex().upper()})" for x in self.pairs.get(piece, ()))
+        return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,string>>")
 
     def java_pattern(self) -> str:
         """The pattern for Java's regular expressions: white space as in Unicode, and letters and numbers as the tokenizer's
@@ -95,9 +105,9 @@ def _java_class(kind: str) -> str:
     return rf"[\p{{{kind}}}[\x{{370}}-\x{{10FFFF}}&&[{listed}]]]"
 
 
-def _rank(maps: Column, piece: Column) -> Column:
-    """Rank of a byte string; null if it has none."""
-    return F.try_element_at(F.get(maps, (F.crc32(piece.cast("binary")) % MAPS).cast("int")), piece)
+def _known(maps: Column, piece: Column) -> Column:
+    """Rank and pair of a byte string, whose digits are given as binary; null if it is no piece."""
+    return F.try_element_at(F.get(maps, F.crc32(piece).bitwiseAND(MAPS - 1).cast("int")), piece.cast("string"))
 
 
 def _one(value: Column, f) -> Column:
@@ -105,39 +115,47 @@ def _one(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _merged(maps: Column, word: Column) -> Column:
-    """Ids of a word given as hexadecimal digits."""
-    size = F.length(word)  # more than any array here has elements
-    parts = F.regexp_extract_all(word, F.lit(".."), F.lit(0))
-    ranks = lambda parts: F.zip_with(parts, F.slice(parts, 2, size), lambda a, b: _rank(maps, F.concat(a, b)))
-
-    def merge(parts: Column, ranks: Column, at: Column) -> Column:
-        new = F.concat(F.get(parts, at - 1), F.get(parts, at))
-        before = F.when(at > 1, F.array(_rank(maps, F.concat(F.get(parts, at - 2), new)))).otherwise(F.slice(ranks, 1, 0))
-        after = F.array(_rank(maps, F.concat(new, F.get(parts, at + 1))))
-        return F.struct(
-            F.concat(F.slice(parts, 1, at - 1), F.array(new), F.slice(parts, at + 2, size)).alias("parts"),
-            F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranks, at + 2, size)).alias("ranks"),
-        )
+def _merged(maps: Column, digits: Column, longest: int) -> Column:
+    """Ids of a word given as hexadecimal digits, as binary (places in a string are counted from its start each time)."""
+    size = F.length(digits)
+    rank = lambda known: F.substring(known, 1, DIGITS).cast("int")
+    # the merges of all pieces of two bytes and more in the word, by rank; a word of one byte is a piece and doesn't come here
+    ends = lambda i: F.sequence(F.lit(4), F.least(size - i + 1, F.lit(2 * longest)), F.lit(2))
+    parts_of = lambda i: F.transform(ends(i), lambda n: F.substring(digits, i, n))
+    within = F.transform(F.sequence(F.lit(1), size - 3, F.lit(2)), lambda i: F.transform(parts_of(i), lambda piece: _known(maps, piece)))
+    merges = F.array_sort(F.array_compact(F.flatten(within)))
+    start = F.regexp_replace(digits.cast("string"), "(..)", "($1)")
 
-    def step(acc: Column, _: Column) -> Column:
-        at = F.array_position(acc["ranks"], F.array_min(acc["ranks"])).cast("int")
-        return _one(at, lambda at: F.when(at.isNull(), acc).otherwise(merge(acc["parts"], acc["ranks"], at)))
+    def merge(parts: Column, known: Column) -> Column:
+        pair = F.substring(known, F.lit(DIGITS + 1), F.length(known))
+        return F.replace(parts, pair, F.replace(pair, F.lit(")("), F.lit("")))
 
-    def fold(parts: Column) -> Column:
-        steps = F.slice(F.sequence(F.lit(1), F.size(parts)), 2, size)  # a word of n bytes has n - 1 merges at most
-        return F.aggregate(steps, F.struct(parts.alias("parts"), ranks(parts).alias("ranks")), step, lambda acc: F.transform(acc["parts"], lambda p: _rank(maps, p)))
+    def ids(parts: Column) -> Column:
+        return F.transform(F.regexp_extract_all(parts, F.lit("[0-9A-F]+"), F.lit(0)), lambda p: rank(_known(maps, p.cast("binary"))))
 
-    # a word that is a piece is that piece, as in the tokenizer's library
-    return _one(_rank(maps, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(_one(parts, fold)))
+    whole = lambda known: F.when(known.isNotNull(), F.array(rank(known))).otherwise(F.aggregate(merges, start, merge, ids))
+    return _one(_known(maps, digits), whole)
 
 
 def encoded_words(words: Column, vocabulary: Vocabulary) -> Column:
     """array<array<int>>: the ids of each word of an array; null for words over `FOLD_BYTES`."""
-    ids = lambda maps, w: F.when(F.octet_length(w) <= FOLD_BYTES, _merged(maps, F.hex(F.encode(w, "UTF-8"))))
+    ids = lambda maps, w: F.when(F.octet_length(w) <= FOLD_BYTES, _one(F.hex(F.encode(w, "UTF-8")).cast("binary"), lambda h: _merged(maps, h, vocabulary.longest)))
     return _one(vocabulary.literal(), lambda maps: F.transform(words, lambda w: ids(maps, w)))
 
 
+def _last_pair(ranks: dict[bytes, int], piece: bytes) -> tuple[bytes, bytes]:
+    """The pair that is merged last as a piece's bytes are merged; an error if they don't end in the piece by rising ranks."""
+    parts, last = [piece[i : i + 1] for i in range(len(piece))], -1
+    while len(parts) > 2:
+        rank, at = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=(-1, 0))
+        if rank < last:
+            break
+        parts[at : at + 2], last = [parts[at] + parts[at + 1]], rank
+    if len(parts) != 2 or ranks[piece] < last:
+        raise ValueError(f"ranks are no ranks of merges: {piece!r} doesn't come from its bytes by rising ranks")
+    return parts[0], parts[1]
+
+
 def by_heap(ranks: dict[bytes, int], word: bytes) -> list[int]:
     """Ids of a long word: the pair of least rank, the leftmost of these, is merged as long as there is one."""
     end = len(word)
@@ -179,18 +197,19 @@ def _frequent(words: DataFrame, vocabulary: Vocabulary, most: int) -> tuple[pa.A
     return table["word"].combine_chunks().cast(pa.string()), table["ids"].combine_chunks().cast(pa.list_(pa.int32()))
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, most: int = DICTIONARY) -> DataFrame:
+def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, decoded: bool = False, most: int = DICTIONARY) -> DataFrame:
     """`id_col` and ids, array<int>: each text's tokens, as the tokenizer's library gives them without special tokens.
 
-    With `packed`, ids is binary: little-endian unsigned 32-bit integers. Null and empty texts have no ids; whole texts are
+    With `packed`, ids is binary: little-endian unsigned 32-bit integers. With `decoded` there is also bytes, what `decode`
+    makes of the ids, without another pass over them. Null and empty texts have no ids; whole texts are
     encoded, however long (words over `FOLD_BYTES` bytes by a heap instead of a fold); repeated rows and null ids are each
     answered, an empty table with none. Other columns aren't read.
     """
     spark = df.sparkSession
-    pieces = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(vocabulary.java_pattern()), F.lit(0))
-    texts = df.select(F.col(id_col).alias("id"), pieces.alias("pieces"))
+    cut = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(vocabulary.java_pattern()), F.lit(0))
+    texts = df.select(F.col(id_col).alias("id"), cut.alias("pieces"))
     words, ids = _frequent(texts.select(F.explode("pieces").alias("word")), vocabulary, most)
-    known, coded, ranks = (spark.sparkContext.broadcast(x) for x in (words, ids, vocabulary.ranks))
+    known, coded, pieces = (spark.sparkContext.broadcast(x) for x in (words, ids, vocabulary.pieces))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each word its place in the dictionary, or -1 - k for the k-th of the document's other words."""
@@ -215,6 +234,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The ids of the words, one after the other."""
+        table, ranks = pa.array(pieces.value, pa.binary()), None
         for whole in batches:
             for first in range(0, whole.num_rows, OUT_ROWS):
                 b = whole.slice(first, OUT_ROWS)
@@ -224,8 +244,9 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
                 rare_at = own.offsets.to_numpy() - own.offsets[0].as_py()
                 folded = own.flatten()
                 if folded.null_count:
+                    ranks = ranks or {p: i for i, p in enumerate(pieces.value)}
                     long = zip(folded.is_null().to_pylist(), others.flatten(), folded)
-                    folded = pa.array([by_heap(ranks.value, w.as_py().encode()) if null else x.as_py() for null, w, x in long], pa.list_(pa.int32()))
+                    folded = pa.array([by_heap(ranks, w.as_py().encode()) if null else x.as_py() for null, w, x in long], pa.list_(pa.int32()))
                 both = pa.concat_arrays([coded.value, folded.cast(pa.list_(pa.int32()))])
                 picked = both.take(pa.array(np.where(place >= 0, place, len(coded.value) + rare_at[doc] - 1 - place)))
                 tokens = picked.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False)
@@ -234,13 +255,23 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
                     out = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(tokens)])
                 else:
                     out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0), out], ["id", "ids"])
+                joined = [_concatenated(table, tokens, ends)] if decoded else []
+                yield pa.RecordBatch.from_arrays([b.column(0), out, *joined], ["id", "ids", "bytes"][: 2 + len(joined)])
 
     kind = texts.schema["id"].dataType.simpleString()
     looked = texts.mapInArrow(look, f"id {kind}, at array<int>, others array<string>")
     folded = looked.select("id", "at", "others", encoded_words(F.col("others"), vocabulary).alias("own"))
-    found = folded.mapInArrow(put, f"id {kind}, ids {'binary' if packed else 'array<int>'}")
-    return found.select(F.col("id").alias(id_col), "ids")
+    found = folded.mapInArrow(put, f"id {kind}, ids {'binary' if packed else 'array<int>'}{', bytes binary' if decoded else ''}")
+    return found.withColumnRenamed("id", id_col)
+
+
+def _concatenated(table: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The pieces of ids from each of `ends` to the next, one after the other: what `take` has put into one buffer."""
+    if not len(ids):
+        return pa.array([b""] * (len(ends) - 1), pa.binary())
+    taken = table.take(pa.array(ids, pa.int64()))
+    at = np.frombuffer(taken.buffers()[1], np.int32)[ends]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at.copy()), taken.buffers()[2]])
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
@@ -263,10 +294,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col:
                     ids, counts = np.frombuffer(b"".join(data), "<u4"), [len(x) // 4 for x in data]
                 else:
                     ids, counts = given.flatten().to_numpy(zero_copy_only=False), given.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                joined = table.take(pa.array(ids, pa.int64()))
-                ends = joined.buffers()[1] if len(ids) else pa.py_buffer(np.zeros(1, np.int32))
-                ends = np.frombuffer(ends, np.int32)[np.append(0, np.cumsum(counts)).astype(np.int64)]
-                out = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.copy()), joined.buffers()[2] if len(ids) else pa.py_buffer(b"")])
+                out = _concatenated(table, ids, np.append(0, np.cumsum(counts)).astype(np.int64))
                 if given.null_count:
                     out = pc.if_else(given.is_valid(), out, pa.scalar(None, pa.binary()))
                 yield pa.RecordBatch.from_arrays([b.column(0), out], ["row", "bytes"])

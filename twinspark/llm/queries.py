@@ -172,12 +172,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from twinspark.llm.bpe import decode, encode, public_vocabulary
+    from twinspark.llm.bpe import encode, public_vocabulary
 
     # a document is 4 bytes a token here, so Arrow's batches are kept to fewer of them than by default
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    vocabulary = public_vocabulary()
-    out = decode(encode(read(spark, sf_dir, "documents"), vocabulary, packed=True), vocabulary)
+    out = encode(read(spark, sf_dir, "documents"), public_vocabulary(), packed=True, decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
