@@ -34,4 +34,4 @@ def test_query(spark, con, name):
     want = sorted((tuple(map(plain, r)) for r in want), key=key)
     assert len(got) == len(want) and got
     for g, w in zip(got, want):
-        assert all(type(a) is type(b) and (a == b or isinstance(a, float) and math.isclose(a, b, abs_tol=2e-6)) for a, b in zip(g, w)), (g, w)
+        assert all(type(a) is type(b) and (a == b or isinstance(a, float) and math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12)) for a, b in zip(g, w)), (g, w)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinspark.operators.chamfer import rerank
-from twinspark.operators.similarity import hamming_pairs, topk
+from twinspark.operators.similarity import grid, hamming_pairs, topk
 
 
 @dataclass(frozen=True)
@@ -31,29 +31,29 @@ def search(queries: DataFrame, index: DataFrame, hashes: DataFrame | None = None
     `queries` (query_id, v and `groups`), `index` (video_id, v and `groups`); `query_hashes` and `hashes` (video_id, h);
     `frames` (video_id, frame_idx, f) of both sides. Candidates are the top-k at half the threshold, then hash matches
     that are not among them; without frames they only meet the threshold. Scores are on the grid of `similarity` before they
-    are compared, so order and thresholds don't depend on the shape of batches.
+    are compared (not rounded), so order and thresholds don't depend on the shape of batches.
     """
     o = options
     matches = hamming_pairs(query_hashes, hashes, o.max_distance).select("query_id", "video_id", "score") if hashes is not None else None
     early = None
     if o.hash_only and matches is not None:
-        early = matches.where(F.col("score") >= o.threshold).withColumn("phash_only", F.lit(True))
+        early = matches.where(grid(F.col("score")) >= grid(F.lit(o.threshold))).withColumn("phash_only", F.lit(True))
         queries = queries.join(matches.select("query_id").distinct(), "query_id", "left_anti")
     stage1 = topk(queries, index, o.top_k, o.metric, groups=groups)
-    cand = stage1.where(F.col("score") >= o.threshold * 0.5).select("query_id", "video_id", "score", F.lit(0).alias("late"), F.lit(False).alias("phash_only"))
+    cand = stage1.where(grid(F.col("score")) >= grid(F.lit(o.threshold * 0.5))).select("query_id", "video_id", "score", F.lit(0).alias("late"), F.lit(False).alias("phash_only"))
     if matches is not None:
         late = matches.join(cand.select("query_id", "video_id"), ["query_id", "video_id"], "left_anti").join(queries.select("query_id"), "query_id", "left_semi")
         in_stage1 = stage1.select("query_id", "video_id", F.lit(True).alias("s1"))
         late = late.join(in_stage1, ["query_id", "video_id"], "left").select("query_id", "video_id", "score", F.lit(1).alias("late"), F.col("s1").isNull().alias("phash_only"))
         cand = cand.unionByName(late)
     if frames is not None:
-        sure = cand.where(F.col("score") >= o.skip_from)
-        w = Window.partitionBy("query_id").orderBy("late", F.desc("score"), "video_id")
-        rest = cand.where(F.col("score") < o.skip_from).withColumn("n", F.row_number().over(w)).where(F.col("n") <= o.rerank_most).drop("n")
+        sure = cand.where(grid(F.col("score")) >= grid(F.lit(o.skip_from)))
+        w = Window.partitionBy("query_id").orderBy("late", F.desc(grid(F.col("score"))), "video_id")
+        rest = cand.where(grid(F.col("score")) < grid(F.lit(o.skip_from))).withColumn("n", F.row_number().over(w)).where(F.col("n") <= o.rerank_most).drop("n")
         again = rerank(rest, frames, min_frames=o.min_frames)
         cand = sure.unionByName(rest.drop("score").join(again, ["query_id", "video_id"]).select(*cand.columns))
-    found = cand.where(F.col("score") >= o.threshold).select("query_id", "video_id", "score", "phash_only")
+    found = cand.where(grid(F.col("score")) >= grid(F.lit(o.threshold))).select("query_id", "video_id", "score", "phash_only")
     if early is not None:
         found = found.unionByName(early)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "video_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(grid(F.col("score"))), "video_id")
     return found.withColumn("rank", F.row_number().over(w)).withColumn("score", F.round("score", 4))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.operators.similarity import GRID, ranked
+from twinspark.operators.similarity import ranked
 
 PAIR = ["query_id", "video_id"]
 
@@ -44,7 +44,7 @@ def cell_matrix(q: pa.StructArray, t: pa.StructArray) -> tuple[np.ndarray, np.nd
         s = np.maximum.reduceat(s, tb, axis=1)
     if len(qb) < s.shape[0]:
         s = np.add.reduceat(s, qb, axis=0) / np.diff(np.append(qb, len(a)))[:, None]
-    return i, j, np.round(s, GRID)
+    return i, j, s
 
 
 def _paired(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def pair_scores(pairs: DataFrame, queries: DataFrame, targets: DataFrame, score:
             for q, t in zip(batch.column(2), batch.column(3)):
                 s = cell_matrix(q.values, t.values)[2]
                 out.append(score(np.clip(s, -1, 1) / 2 + 0.5 if normalize else s))
-            found = pa.array([None if x is None else round(x, GRID) for x in out], pa.float64())
+            found = pa.array(out, pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], [*PAIR, "score"])
 
     return _paired(pairs, queries, targets).mapInArrow(run, f"{_ids(pairs)}, score double").where("score is not null")
@@ -102,12 +102,6 @@ def chamfer(cells: DataFrame, over: str = "j", by: list[str] | None = None, scor
     return best.groupBy(*by).agg(F.avg("m").alias("score"))
 
 
-def symmetric_chamfer(cells: DataFrame) -> DataFrame:
-    """Mean of the chamfer of both directions."""
-    back = chamfer(cells, "i").withColumnRenamed("score", "back")
-    return chamfer(cells).join(back, PAIR).select(*PAIR, ((F.col("score") + F.col("back")) / 2).alias("score"))
-
-
 def chunked(chunk: int = 2048) -> Callable[[np.ndarray], float]:
     """Chamfer to each run of `chunk` target frames, averaged without regard to the runs' lengths."""
     return lambda s: float(np.mean([best_mean(s[:, at : at + chunk]) for at in range(0, s.shape[1], chunk)]))

@@ -64,6 +64,18 @@ def jn05(spark, sf):
     return rounded(similarity.similar_pairs(d, 0.3).select("query_id", "video_id", "score"), "score")
 
 
+@register("plb07_collection_topk", _top(COS))
+def plb07(spark, sf):
+    """The exact answer of a collection with cells: what the nearest cells give, and the cells that may hold better."""
+    from twinspark.operators.cells import VectorIndex
+    from twinspark.sources.written import place
+
+    d = T.descriptors(spark, sf).select("video_id", "v")
+    index = VectorIndex(spark, place(spark, "collection"))
+    index.build(d, max(1, d.count() // 64))
+    return rounded(index.search(query_set(spark, sf), 10, exact=True), "score")
+
+
 @register("jn06_lookup", f"WITH {V}, {D}, r AS (SELECT a.video_id AS query_id, b.video_id FROM desc_ a JOIN desc_ b ON a.video_id % 50 = 0 AND b.video_id = a.video_id + 1) SELECT r.query_id, r.video_id, name, duration FROM r LEFT JOIN video_ USING (video_id)")
 def jn06(spark, sf):
     hits = query_set(spark, sf, 50).select("query_id", (F.col("query_id") + 1).alias("video_id")).join(T.descriptors(spark, sf), "video_id", "left_semi")
@@ -85,21 +97,21 @@ def jn08(spark, sf):
 @register("jn09_merge_candidates", f"WITH {D}, {H}, p AS (SELECT a.video_id AS query_id, b.video_id, {COS} AS s FROM desc_ a JOIN desc_ b ON a.video_id % 10 = 0 AND {COS} >= 0.3), m AS (SELECT a.video_id AS query_id, b.video_id, 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE AS s FROM hash_ a JOIN hash_ b ON a.video_id % 10 = 0 AND bit_count(xor(a.h, b.h)) <= 20) SELECT query_id, video_id, round(s, 6) AS score, 0 AS late FROM p UNION ALL SELECT query_id, video_id, round(s, 6), 1 FROM m WHERE (query_id, video_id) NOT IN (SELECT (query_id, video_id) FROM p)")
 def jn09(spark, sf):
     d, h = T.descriptors(spark, sf), T.hashes(spark, sf)
-    cand = similarity.topk(query_set(spark, sf), d, 1 << 30, "cosine", threshold=0.3).select("query_id", "video_id", "score", F.lit(0).alias("late"))
+    cand = similarity.topk(query_set(spark, sf), d, None, "cosine", threshold=0.3).select("query_id", "video_id", "score", F.lit(0).alias("late"))
     m = similarity.hamming_pairs(h.where("video_id % 10 = 0"), h, 20).select("query_id", "video_id", "score", F.lit(1).alias("late"))
     return rounded(cand.unionByName(m.join(cand.select("query_id", "video_id"), ["query_id", "video_id"], "left_anti")), "score")
 
 
 @register("jn10_prepended_merge", "WITH c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents WHERE doc_id % 3 > 0), h AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rn FROM documents WHERE doc_id % 3 < 2 AND doc_id % 3 = 0), u AS (SELECT source, doc_id, -rn AS k FROM h UNION ALL SELECT source, doc_id, rn FROM c) SELECT source, doc_id, CAST(k AS INTEGER) AS place FROM u")
 def jn10(spark, sf):
-    from pyspark.sql import Window
+    from twinspark.operators.metrics import ranks_within
 
-    # a source stands for a query: two thirds of its documents are candidates, two thirds new hits, some of them candidates
-    d, of = T.read(spark, sf, "documents").select("source", "doc_id", "n_chars"), Window.partitionBy("source")
-    cand = d.where("doc_id % 3 > 0").withColumn("place", F.row_number().over(of.orderBy(F.desc("n_chars"), "doc_id")))
+    # a source stands for a query, and may hold most documents: two thirds of its documents are candidates, two thirds new hits, some of them candidates
+    d = T.read(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    cand = ranks_within(d.where("doc_id % 3 > 0"), "source", [F.desc("n_chars"), F.col("doc_id")])
     hits = d.where("doc_id % 3 < 2").join(cand.select("source", "doc_id"), ["source", "doc_id"], "left_anti")
-    new = hits.withColumn("place", -F.row_number().over(of.orderBy("n_chars", "doc_id")))
-    return cand.unionByName(new).select("source", "doc_id", "place")
+    new = ranks_within(hits, "source", [F.col("n_chars"), F.col("doc_id")]).withColumn("place", -F.col("place"))
+    return cand.unionByName(new).select("source", "doc_id", F.col("place").cast("int").alias("place"))
 
 
 @register("jn12_cross_scores", f"WITH {D} SELECT a.video_id AS query_id, b.video_id, round({DOT}, 6) AS score FROM desc_ a JOIN desc_ b ON a.video_id % 50 = 0")
@@ -122,14 +134,16 @@ def jn14(spark, sf):
     return e.join(n, "n_nationkey").select("event_id", "event_type", "r_name")
 
 
-@register("jn15_dense_rows", "WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings WHERE vec_id < 64), d AS (SELECT vec_id AS query_id, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS score FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, o.vec_id AS video_id, score FROM d JOIN o USING (i)")
+@register("jn15_dense_rows", f"WITH {D} SELECT a.video_id AS query_id, b.video_id, round({DOT}, 6) AS score FROM desc_ a JOIN desc_ b ON a.video_id % 100 = 0")
 def jn15(spark, sf):
-    from pyspark.sql import Window
+    """Rows of scores without ids, in the order of the database, get the ids of the sorted database."""
+    from twinspark.operators.metrics import running_ranks
 
-    e = T.descriptors(spark, sf)
-    ordered = e.where("video_id < 64").select("video_id", (F.row_number().over(Window.orderBy("video_id")) - 1).alias("i"))
-    dense = e.where("video_id % 100 = 0").select(F.col("video_id").alias("query_id"), F.posexplode("v").alias("i", "score"))
-    return dense.join(F.broadcast(ordered), "i").select("query_id", "video_id", "score")
+    d = T.descriptors(spark, sf)
+    cells = F.sort_array(F.collect_list(F.struct("video_id", "score")))
+    dense = similarity.scores(query_set(spark, sf, 100), d).groupBy("query_id").agg(F.transform(cells, lambda c: c["score"]).alias("row"))
+    ordered = running_ranks(d.select("video_id", F.lit(1).alias("one")), [F.col("video_id")], "one").select("video_id", (F.col("rn") - 1).alias("i"))
+    return rounded(dense.select("query_id", F.posexplode("row").alias("i", "score")).join(ordered, "i").select("query_id", "video_id", "score"), "score")
 
 
 @register("prj19_frame_hash_match", f"WITH {H}, f AS (SELECT CAST(floor(video_id / 10) AS BIGINT) AS video_id, video_id % 10 AS frame_idx, h FROM hash_), m AS (SELECT DISTINCT a.video_id AS query_id, b.video_id, a.frame_idx FROM f a JOIN f b ON a.video_id < b.video_id AND bit_count(xor(a.h, b.h)) <= 20) SELECT query_id, video_id, round(count(*) / 10.0::DOUBLE, 6) AS score FROM m GROUP BY ALL HAVING count(*) >= 2")
@@ -238,7 +252,7 @@ def prj16(spark, sf):
 
 @register("prj17_score_threshold", f"WITH {D} SELECT a.video_id AS query_id, b.video_id, round({DOT}, 6) AS score FROM desc_ a JOIN desc_ b ON a.video_id % 10 = 0 AND {DOT} >= 0.25")
 def prj17(spark, sf):
-    return rounded(similarity.topk(query_set(spark, sf), T.descriptors(spark, sf), 1 << 30, threshold=0.25).drop("rank"), "score")
+    return rounded(similarity.topk(query_set(spark, sf), T.descriptors(spark, sf), None, threshold=0.25).drop("rank"), "score")
 
 
 @register("prj18_pre_threshold", f"WITH {D}, p AS (SELECT a.video_id AS query_id, b.video_id, {DOT} AS s FROM desc_ a JOIN desc_ b ON a.video_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, video_id) AS rank FROM p) SELECT query_id, video_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50 AND s >= 0.5 * 0.5")
@@ -332,10 +346,15 @@ def snk01(spark, sf):
 
 @register("str01_arrivals", f"WITH {V} SELECT video_id, max(duration) AS duration FROM video_ GROUP BY video_id")
 def str01(spark, sf):
-    """The batch form of ingest: the newest row of each id."""
-    from twinspark.operators.catalog import latest
-
-    return latest(T.videos(spark, sf).select("video_id", "duration", "ts"), "video_id", [F.desc("ts")]).drop("ts")
+    """What ingest does with two micro-batches, the second one twice: the newest row of each id."""
+    from twinspark.operators.catalog import VideoTable
+    from twinspark.sources.written import place
+
+    rows = T.videos(spark, sf).select("video_id", "duration", F.col("ts").cast("timestamp").alias("ts"))
+    table = VideoTable(spark, place(spark, "str01"), "video_id bigint, duration double, ts timestamp", ())
+    for number in (0, 1, 1):
+        table.newest(rows.where(F.pmod(F.xxhash64("video_id", "ts"), F.lit(2)) == number), "ts", number)
+    return table.current().drop("ts")
 
 
 @register("mut10_listing", f"WITH {V}, m AS (SELECT video_id, name, {T.SQL_BUCKET} AS duration_bucket, {T.SQL_ASPECT} AS aspect_ratio, printf('%x', (SELECT 15)) AS phash FROM video_) SELECT * FROM m ORDER BY video_id LIMIT 100")

@@ -20,12 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back. The application's folder goes when the application ends."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the application's part of the shared folder, which goes when the application ends."""
     app = f"{shared_dir(spark).rstrip('/')}/twinspark-{spark.sparkContext.applicationId}"
-    path = f"{app}/{name}-{uuid.uuid4().hex[:12]}"
     top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(app)
     top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(top)
+    return f"{app}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back."""
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
