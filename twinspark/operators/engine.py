@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspark.functions.scalar import aspect_class, duration_bucket, hash_number, hash_text
@@ -47,6 +47,14 @@ class Config:
         return json.dumps(asdict(self), sort_keys=True)
 
 
+def merged(saved: Column, *names: str) -> list[Column]:
+    """Options of a column of saved configurations (JSON): what is saved, else the default; unknown keys are left out."""
+    kinds = {bool: "boolean", int: "int", float: "double", str: "string"}
+    options = {n: v for n, v in asdict(Config()).items() if n in (names or asdict(Config()))}
+    read = F.from_json(saved, ", ".join(f"{n} {kinds[type(v)]}" for n, v in options.items()))
+    return [F.coalesce(read[n], F.lit(v)).alias(n) for n, v in options.items()]
+
+
 def payload(videos: DataFrame) -> DataFrame:
     """Rows of the table from any columns of it: missing ones null, buckets and hash text derived."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -65,16 +73,17 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, config: Config = Config()):
         self.spark, self.config = spark, config
         self.videos = catalog.VideoTable(spark, f"{path}/videos", SCHEMA)
-        self.frames = catalog.VideoTable(spark, f"{path}/frames", "video_id string, frame_idx bigint, f array<double>", ())
+        self.frames = catalog.VideoTable(spark, f"{path}/frames", "video_id string, frame_idx bigint, region_idx bigint, f array<double>", ())
 
     def add(self, videos: DataFrame, frames: DataFrame | None = None) -> None:
-        """Upsert videos; vectors come from `frames` (with regions: pooled) where `videos` has none."""
+        """Upsert videos; vectors come from `frames` (with regions: pooled) where `videos` has none. All regions of a frame are
+        kept, and re-ranking compares them all; frames without regions have one."""
         if frames is not None and "v" not in videos.columns:
             videos = videos.join(descriptor(frames), "video_id", "left")
         self.videos.upsert(payload(videos))
         if frames is not None:
-            flat = frames.where("region_idx = 0").drop("region_idx") if "region_idx" in frames.columns else frames
-            self.frames.upsert(flat.select(F.col("video_id").cast("string"), F.col("frame_idx").cast("long"), "f"))
+            region = F.col("region_idx") if "region_idx" in frames.columns else F.lit(0)
+            self.frames.upsert(frames.select(F.col("video_id").cast("string"), F.col("frame_idx").cast("long"), region.cast("long").alias("region_idx"), "f"))
 
     def resume(self, files: DataFrame) -> DataFrame:
         """Files (video_id, ...) that the table doesn't have."""
@@ -112,7 +121,7 @@ class Engine:
     def delete(self, ids: DataFrame) -> None:
         """From both tables; KeyError for ids that there aren't."""
         self.videos.delete(ids)
-        self.frames.write(catalog.delete(self.frames.current(), ids))
+        self.frames.delete(ids, must_exist=False)
 
     def delete_all(self) -> int:
         self.frames.delete_all()

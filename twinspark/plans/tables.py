@@ -7,41 +7,54 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from twinspark.operators import catalog
-from twinspark.operators.metrics import running_ranks
+from twinspark.operators import catalog, similarity
+from twinspark.operators.metrics import ranks_within, running_ranks
 from twinspark.plans.registry import register
 from twinspark.sources import tables as T
-from twinspark.sources.written import shared_dir
+from twinspark.sources.written import place, shared_dir
 
 
 def rows(spark, sf, where="TRUE"):
     return T.read(spark, sf, "orders").where(where).select(F.col("o_orderkey").alias("video_id"), F.col("o_totalprice").alias("value"), F.col("o_orderstatus").alias("status"))
 
 
+def stored(df, name):
+    """`df` as a table that changes go to."""
+    table = catalog.VideoTable(df.sparkSession, place(df.sparkSession, name), df.schema, ())
+    table.write(df)
+    return table
+
+
 _R = "r_ AS (SELECT o_orderkey AS video_id, o_totalprice AS value, o_orderstatus AS status FROM orders)"
 
 
 @register("mut01_upsert", f"WITH {_R} SELECT video_id, value, status FROM r_ WHERE video_id % 3 <> 0 UNION ALL SELECT video_id, value + 1, 'N' FROM r_ WHERE video_id % 3 = 0")
 def mut01(spark, sf):
     new = rows(spark, sf, "o_orderkey % 3 = 0").select("video_id", (F.col("value") + 1).alias("value"), F.lit("N").alias("status"))
-    return catalog.upsert(rows(spark, sf), new)
+    table = stored(rows(spark, sf), "mut01")
+    table.upsert(new)
+    return table.current()
 
 
 @register("mut02_append", f"WITH {_R} SELECT * FROM r_ UNION ALL SELECT * FROM r_ WHERE video_id < 100")
 def mut02(spark, sf):
-    return catalog.append(rows(spark, sf), rows(spark, sf, "o_orderkey < 100"))
+    table = stored(rows(spark, sf), "mut02")
+    table.append(rows(spark, sf, "o_orderkey < 100"))
+    return table.current()
 
 
 @register("mut03_delete", f"WITH {_R} SELECT * FROM r_ WHERE video_id % 7 <> 0")
 def mut03(spark, sf):
-    return catalog.delete(rows(spark, sf), rows(spark, sf, "o_orderkey % 7 = 0"))
+    table = stored(rows(spark, sf), "mut03")
+    table.delete(rows(spark, sf, "o_orderkey % 7 = 0"))
+    return table.current()
 
 
 @register("mut04_cascade_delete", "SELECT 'orders' AS tab, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey % 5 <> 0 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 def mut04(spark, sf):
-    tables = {"orders": rows(spark, sf), "lineitem": T.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("video_id"))}
-    left = catalog.cascade_delete(tables, rows(spark, sf, "o_orderkey % 5 = 0"))
-    out = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), "n") for name, t in left.items()]
+    tables = {"orders": stored(rows(spark, sf), "mut04"), "lineitem": stored(T.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("video_id")), "mut04")}
+    catalog.delete_from_all(list(tables.values()), rows(spark, sf, "o_orderkey % 5 = 0"))
+    out = [t.current().agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), "n") for name, t in tables.items()]
     return out[0].unionByName(out[1])
 
 
@@ -125,21 +138,22 @@ def snk05(spark, sf):
     return e.where("vec_id % 3 = 0").union(e.where("vec_id % 5 = 0")).distinct()
 
 
-@register("snk11_config_merge", "SELECT key, CAST(value AS DOUBLE) AS value FROM (VALUES ('cache_most', 100), ('cache_ttl', 86400), ('crop', 224), ('dim', 64), ('fps', 2.5), ('max_distance', 5), ('max_frames', 60), ('resize', 256), ('threshold', 0.9), ('top_k', 50), ('top_n', 10)) AS t(key, value)")
+@register("snk11_config_merge", "SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 0.8 ELSE round(c_acctbal / 10000, 2) END AS threshold, CAST(CASE WHEN c_nationkey % 2 = 0 THEN 50 ELSE c_nationkey END AS INTEGER) AS top_k, 10 AS top_n, FALSE AS hash_only FROM customer")
 def snk11(spark, sf):
-    """The numbers of a saved configuration over the defaults; `colour` is unknown and left out."""
-    from dataclasses import asdict
-
-    from twinspark.operators.engine import Config
+    """Each customer's saved settings over the defaults; the colour is unknown and left out, null settings count as not saved."""
+    from twinspark.operators.engine import merged
 
-    config = asdict(Config.load(Config.load('{"threshold": 0.9, "dim": 64, "fps": 2.5, "colour": 3}').saved()))
-    return spark.createDataFrame([(k, float(v)) for k, v in config.items() if isinstance(v, int | float) and not isinstance(v, bool)], "key string, value double")
+    nation = F.col("c_nationkey")
+    threshold = F.when(nation % 3 != 0, F.round(F.col("c_acctbal") / 10000, 2))
+    saved = F.to_json(F.struct(threshold.alias("threshold"), F.when(nation % 2 != 0, nation).alias("top_k"), F.col("c_name").alias("colour")))
+    return T.read(spark, sf, "customer").select("c_custkey", saved.alias("saved")).select("c_custkey", *merged(F.col("saved"), "threshold", "top_k", "top_n", "hash_only"))
 
 
-@register("agg19_ingest_counts", "SELECT count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS succeeded, count(*) FILTER (WHERE event_type = 'error') AS failed, round(count(*) / epoch(max(ts) - min(ts)), 9) AS rate FROM events")
+@register("agg19_ingest_counts", "WITH e AS (SELECT ts, event_type <> 'error' AS ok, user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) AS old FROM events) SELECT count(*) AS total, count(*) FILTER (WHERE ok AND NOT old) AS succeeded, count(*) FILTER (WHERE NOT ok AND NOT old) AS failed, count(*) FILTER (WHERE old) AS skipped, round(count(*) FILTER (WHERE ok AND NOT old) / epoch(max(ts) - min(ts)), 9) AS rate FROM e")
 def agg19(spark, sf):
-    seconds = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
-    return T.read(spark, sf, "events").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") != "error").alias("succeeded"), F.count_if(F.col("event_type") == "error").alias("failed"), F.round(F.count("*") / (seconds / 1e6), 9).alias("rate"))
+    tried = T.read(spark, sf, "events").select(F.col("user_id").alias("video_id"), (F.col("event_type") != "error").alias("ok"), F.col("ts").cast("timestamp").alias("at"))
+    indexed = T.read(spark, sf, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("video_id"))
+    return catalog.ingest_counts(tried, indexed).withColumn("rate", F.round("rate", 9))
 
 
 @register("agg26_size_and_member", f"WITH {_R} SELECT count(*) AS n, bool_or(video_id = 77) AS has FROM r_")
@@ -183,9 +197,7 @@ def prj15(spark, sf):
 
 @register("mut05_delete_all", "SELECT count(*) AS removed, CAST(0 AS BIGINT) AS n FROM orders")
 def mut05(spark, sf):
-    r = rows(spark, sf)
-    table = catalog.VideoTable(spark, f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}", r.schema, ())
-    table.write(r)
+    table = stored(rows(spark, sf), "mut05")
     removed = table.delete_all()
     return table.current().agg(F.lit(removed).cast("long").alias("removed"), F.count("*").alias("n"))
 
@@ -220,15 +232,19 @@ def plb06(spark, sf):
     return T.read(spark, sf, "events").where("user_id = 7").agg(F.min("event_id").alias("event_id"))
 
 
-@register("snk09_similarity_rows", "SELECT user_id AS query_id, event_type AS target_id, round(max(value), 4) AS score FROM events GROUP BY ALL")
+@register("snk09_similarity_rows", f"WITH {T.SQL_DESCRIPTORS} SELECT a.video_id AS query_id, b.video_id, round(list_dot_product(a.v, b.v), 6) AS score FROM desc_ a JOIN desc_ b ON a.video_id % 50 = 0")
 def snk09(spark, sf):
-    return T.read(spark, sf, "events").groupBy(F.col("user_id").alias("query_id"), F.col("event_type").alias("target_id")).agg(F.round(F.max("value"), 4).alias("score"))
+    """The similarities of each query as a map, written and read again."""
+    d = T.descriptors(spark, sf)
+    scored = similarity.scores(d.where("video_id % 50 = 0").select(F.col("video_id").alias("query_id"), "v"), d)
+    catalog.similarity_maps(scored).write.parquet(path := place(spark, "similarities"))
+    return spark.read.parquet(path).select("query_id", F.explode("similarities").alias("video_id", "score")).withColumn("score", F.round("score", 6))
 
 
 @register("srt01_stable_order", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY round(value) DESC, event_id) AS place FROM events")
 def srt01(spark, sf):
-    w = Window.partitionBy("event_type").orderBy(F.desc(F.round("value")), "event_id")
-    return T.read(spark, sf, "events").select("event_id", F.row_number().over(w).cast("long").alias("place"))
+    e = T.read(spark, sf, "events").select("event_id", "event_type", F.round("value").alias("value"))
+    return ranks_within(e, "event_type", [F.desc("value"), F.col("event_id")]).select("event_id", "place")
 
 
 @register("srt06_limited", "SELECT path FROM (SELECT 'p' || page_id AS path, page_id FROM pages) ORDER BY page_id LIMIT 20")

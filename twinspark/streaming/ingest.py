@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinspark.operators.catalog import VideoTable, latest
+from twinspark.operators.catalog import VideoTable
 
 
 def arrivals(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -13,14 +13,15 @@ def arrivals(spark: SparkSession, path: str, schema: str, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def ingest(stream: DataFrame, table: VideoTable, checkpoint: str, key: str = "video_id", order: str = "added_at"):
+def ingest(stream: DataFrame, table: VideoTable, checkpoint: str, order: str = "added_at"):
     """Upsert each micro-batch into `table`, the newest row of a key winning; runs until what is there is taken in.
 
-    A batch that is run again, or files that come out of order, give the same table.
+    A batch rewrites the buckets of its keys alone, and those once: its number stays beside the rows. Files that come out of
+    order give the same table.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        table.write(latest(table.current().unionByName(df), key, [F.desc(order)]))
+    def batch(df: DataFrame, number: int) -> None:
+        table.newest(df, order, number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -58,7 +59,7 @@ def bounded_state(stream: DataFrame, key: str, most: int):
     return stream.groupBy(key).applyInPandasWithState(step, schema, "n int", "update", GroupStateTimeout.NoTimeout)
 
 
-def newest(df: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
-    """Batch form of `bounded_state`: the `most` newest rows of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+def newest(df: DataFrame, keys: list[str], order: str, most: int, tie: tuple[str, ...] = ()) -> DataFrame:
+    """The `most` newest rows of each key; rows of equal time by the columns of `tie`."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(order), *tie)
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
