@@ -46,7 +46,6 @@ def test_text_functions(spark):
 def test_chamfer_and_masks(spark):
     cells = spark.createDataFrame([(1, 2, 0, 0, 1.0), (1, 2, 0, 1, 0.0), (1, 2, 1, 0, 0.0), (1, 2, 1, 1, 0.5)], "query_id int, video_id int, i int, j int, s double")
     assert chamfer.chamfer(cells).first().score == 0.75
-    assert chamfer.symmetric_chamfer(cells).first().score == 0.75
     assert chamfer.chamfer(cells.where("j <> 0")).first().score == 0.25
 
 
@@ -81,15 +80,33 @@ def test_average_precisions(spark):
     assert math.isclose(metrics.pooled_average_precision(scored, truth).first().uap, (1 + 2 / 3) / 2)
 
 
-def test_banded_pairs_equal_nested_loop(spark):
-    rng = random.Random(1)
-    base = [rng.getrandbits(64) for _ in range(20)]
-    h = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(9))) for b in base for _ in range(8)]
-    df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(h)], "video_id int, h long")
-    got = {(r.query_id, r.video_id): r.distance for r in similarity.hamming_pairs(df, df, 5).collect()}
-    assert got == {(i, j): (a ^ b).bit_count() for i, a in enumerate(h) for j, b in enumerate(h) if (a ^ b).bit_count() <= 5}
-    with pytest.raises(ValueError):
-        similarity.hamming_pairs(df, df, 5, 5)
+@pytest.mark.parametrize("distance,bits,plan", [(0, 64, ("equal", 1)), (5, 64, ("equal", 6)), (5, 64, ("near", 3)), (11, 64, ("near", 6)), (20, 64, ("tiles", 1)), (20, 64, ("near", 11)), (31, 256, ("near", 16)), (31, 256, ("tiles", 1)), (3, 256, ("equal", 4)), (9, 64, None)])
+def test_hamming_pairs_equal_nested_loop(spark, distance, bits, plan):
+    rng = random.Random(distance)
+    base = [rng.getrandbits(bits) for _ in range(12)]
+    # copies up to a few bits farther than what is asked for, and a third of all hashes equal
+    h = [b ^ sum(1 << k for k in rng.sample(range(bits), rng.randrange(distance + 4))) for b in base for _ in range(8)] + [base[0]] * 48
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, [signed(x >> 64 * w & (1 << 64) - 1) for w in range(bits // 64)]) for i, x in enumerate(h)] + [(999, None)]
+    df = spark.createDataFrame(rows, "video_id int, h array<long>")
+    df = df if bits > 64 else df.withColumn("h", F.get("h", F.lit(0)))
+    got = [((r.query_id, r.video_id), (r.distance, r.score)) for r in similarity.hamming_pairs(df, df, distance, bits, plan).collect()]
+    want = {(i, j): (n, 1 - n / bits) for i, a in enumerate(h) for j, b in enumerate(h) if (n := (a ^ b).bit_count()) <= distance}
+    assert dict(got) == want and len(got) == len(want)
+
+
+def test_bands_find_few_candidates():
+    """Candidates of random hashes as a share of all pairs: what the plan says, counted."""
+    assert [similarity.hamming_plan(d, 64, 10**6)[0] for d in (0, 3, 5, 8, 20)] == ["equal", "equal", "near", "near", "tiles"]
+    assert similarity.hamming_plan(5, 64, 100)[0] == "tiles" and similarity.hamming_plan(31, 256, 10**6) == ("near", 16)
+    rng = np.random.default_rng(0)
+    for distance, bits, most in ((5, 64, 0.01), (8, 64, 0.02), (31, 256, 0.01)):
+        kind, bands = similarity.hamming_plan(distance, bits, 10**7)
+        x = rng.integers(0, 2, (400, bits), dtype=np.int8)
+        found = np.zeros((400, 400), bool)
+        for lo, hi in similarity._cuts(bands, bits):
+            found |= (x[:, None, lo:hi] != x[None, :, lo:hi]).sum(axis=2) <= (kind == "near")
+        assert (found.sum() - 400) / (400 * 399) < most
 
 
 def test_topk_ties_and_blocks(spark, monkeypatch):
@@ -148,7 +165,27 @@ def test_linear_algebra(spark):
     mean, w = linalg.pca_fit(df, 3)
     y = (x - np.array(mean)) @ np.array(w).T
     assert np.allclose(y.T @ y, np.eye(3), atol=1e-6)
-    assert np.linalg.matrix_rank(np.array(linalg.itq_fit(df, 3, rounds=3))) == 3
+
+
+@pytest.mark.parametrize("rounds", [0, 3, 50])
+def test_rotation_by_definition(spark, rounds):
+    """In plain numpy: eigenvectors of the covariance, neither centred nor whitened use, rotations from the signs."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6)) @ np.diag([5, 3, 2, 1, 0.5, 0.1]) + 0.7
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    top = vectors[:, np.argsort(-values)[:4]]
+    top = top * np.sign(top[np.abs(top).argmax(axis=0), np.arange(4)])
+    v = x @ top
+    r = np.linalg.svd(np.random.default_rng(7).normal(size=(4, 4)))[0]
+    for _ in range(rounds):
+        signs = np.where(v @ r >= 0, 1.0, -1.0)
+        u, _, vt = np.linalg.svd(signs.T @ v)
+        r = vt @ u.T
+    df = spark.createDataFrame([(row.tolist(),) for row in x] + [(None,)], "v array<double>").repartition(3)
+    got = np.array(linalg.itq_fit(df, 4, rounds=rounds, seed=7)).T
+    assert np.allclose(got, top @ r, atol=1e-6)
+    assert ((x @ got >= 0) == (x @ (top @ r) >= 0)).all()
+    assert linalg.itq_fit(df.where("v is null"), 4, rounds=rounds) == []
 
 
 def test_comparator(spark):
@@ -258,7 +295,7 @@ def test_streams(spark, tmp_path):
     d = ingest.first_seen(stream.withColumn("sha256", F.sha2(F.col("user_id").cast("string"), 256))).writeStream.format("memory").queryName("first").trigger(availableNow=True).start()
     d.awaitTermination()
     assert e.select("user_id").distinct().count() <= spark.sql("select * from first").count() <= e.count()
-    table = catalog.VideoTable(spark, str(tmp_path / "t"), "video_id string, value double, added_at timestamp", ())
+    table = catalog.VideoTable(spark, str(tmp_path / "t"), "video_id string, value double, added_at timestamp", (), buckets=4)
     ingest.ingest(stream.select(F.col("user_id").cast("string").alias("video_id"), "value", F.col("ts").alias("added_at")), table, str(tmp_path / "c")).awaitTermination()
     want = {str(r.user_id): r.value for r in catalog.latest(e, "user_id", [F.desc("ts")]).collect()}
     assert {r.video_id: r.value for r in table.current().collect()} == want

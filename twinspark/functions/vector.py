@@ -22,7 +22,8 @@ def norm(a: Column) -> Column:
 
 def normalized(a: Column, eps: float = EPS) -> Column:
     """Scaled to length 1; the zero vector stays."""
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(eps)))
+    scaled = lambda n: F.transform(a, lambda x: x / F.greatest(n, F.lit(eps)))
+    return F.get(F.transform(F.array(norm(a)), scaled), F.lit(0))  # the length is worked out once, not for each component
 
 
 def cosine(a: Column, b: Column) -> Column:

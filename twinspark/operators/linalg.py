@@ -43,42 +43,49 @@ def _dense(rows: list, d: int) -> np.ndarray:
     return m
 
 
+def top_eigenvectors(sums: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `dims` largest eigenvalues of a matrix (i, j, s), and their vectors as columns. Of the two directions that an
+    eigenvector has, that whose largest component is positive. Collects d x d numbers."""
+    rows = sums.collect()
+    values, vectors = np.linalg.eigh(_dense(rows, 1 + max((r.i for r in rows), default=-1)))
+    top = np.argsort(-values)[:dims]
+    w = vectors[:, top]
+    return values[top], w * np.sign(w[np.abs(w).argmax(axis=0), np.arange(len(top))]) if len(top) else w
+
+
 def pca_fit(df: DataFrame, dims: int, v: str = "v", eps: float = 1e-7) -> tuple[list[float], list[list[float]]]:
     """Mean and whitening matrix (a row for each kept direction); collects d x d numbers."""
     mean = [r["mean"] for r in mean_vector(df, v).orderBy("dim").collect()]
-    values, vectors = np.linalg.eigh(_dense(scatter(df, v).collect(), len(mean)))
-    top = np.argsort(-values)[:dims]
-    w = vectors[:, top] / np.sqrt(np.maximum(values[top], 0) + eps)
-    # of the two directions that an eigenvector has, that whose largest component is positive
-    w *= np.sign(w[np.abs(w).argmax(axis=0), np.arange(len(top))])
-    return mean, w.T.tolist()
+    values, w = top_eigenvectors(scatter(df, v), dims)
+    return mean, (w / np.sqrt(np.maximum(values, 0) + eps)).T.tolist()
 
 
 def itq_fit(df: DataFrame, bits: int, v: str = "v", rounds: int = 50, seed: int = 0) -> list[list[float]]:
-    """Rotated projection to `bits` (a row a bit): top directions of the covariance, then alternating sign and rotation.
+    """Rotated projection to `bits` (a row a bit), for vectors as they are: neither here nor in use are they centred or whitened.
 
-    The rotation's step needs only sums of sign(x)' x, gathered by partition for each round.
+    The projection is onto the top eigenvectors of the covariance; then, round by round, the rotation is taken anew from
+    the singular vectors of sign(x r)' x, where a sign of zero counts as one. A round needs only that sum, gathered by partition.
     """
-    mean, w = pca_fit(df, bits, v)
-    mean, w = np.array(mean), np.array(w)
-    r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
-    for _ in range(rounds):
-        spec = df.sparkSession.sparkContext.broadcast((mean, w, r))
+    df = df.where(F.col(v).isNotNull()).select(v)
+    _, every = top_eigenvectors(scatter(df, v), bits)
+    r = np.linalg.svd(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
+    for _ in range(rounds if every.size else 0):
+        spec = df.sparkSession.sparkContext.broadcast((every, r))
 
         def part(batches: Iterator[pd.DataFrame], spec=spec) -> Iterator[pd.DataFrame]:
-            m, p, q = spec.value
-            total = np.zeros((len(p), len(p)))
+            p, q = spec.value
+            total = np.zeros((bits, bits))
             for b in batches:
                 if len(b):
-                    y = (np.stack(b[v].to_numpy()) - m) @ p.T
-                    total += np.sign(y @ q).T @ y
-            i, j = np.divmod(np.arange(total.size), len(p))
+                    y = np.stack(b[v].to_numpy()) @ p
+                    total += np.where(y @ q >= 0, 1.0, -1.0).T @ y
+            i, j = np.divmod(np.arange(total.size), bits)
             yield pd.DataFrame({"i": i, "j": j, "s": total.ravel()})
 
-        sums = df.select(v).mapInPandas(part, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+        sums = df.mapInPandas(part, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
         u, _, vt = np.linalg.svd(_dense(sums, bits))
-        r = vt.T @ u.T
-    return (r.T @ w).tolist()
+        r = vt @ u.T
+    return (every @ r).T.tolist() if every.size else []
 
 
 def info_nce(cells: DataFrame, temperature: float = 0.07) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from twinspark.sources.written import materialize
 
+#: Rows of a range that is ranked in one task.
+RANGE_ROWS = 1_000_000
+
 
 def relevant(scored: DataFrame, truth: DataFrame) -> DataFrame:
     """`scored` with rel, 1 for pairs that `truth` has."""
@@ -37,9 +40,10 @@ def mean_average_precision(ap: DataFrame) -> DataFrame:
     return ap.agg(F.avg("ap").alias("map"), F.count("*").alias("queries"))
 
 
-def running_ranks(df: DataFrame, order: list, value: str, parts: int = 64) -> DataFrame:
-    """`df` with rn (rank over all rows) and tp (running sum of `value`): a sort by ranges, running counts within each
-    range, and the counts of the ranges before, of which there are `parts`."""
+def running_ranks(df: DataFrame, order: list, value: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """`df` with rn (rank over all rows) and tp (running sum of `value`): a sort by ranges of about `rows` rows, running
+    counts within each range, and the counts of the ranges before."""
+    parts = max(4, -(-df.count() // rows))
     dealt = df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
     w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # written, so that both uses see the same ranges, whatever is run again
@@ -47,9 +51,18 @@ def running_ranks(df: DataFrame, order: list, value: str, parts: int = 64) -> Da
     sums = local.groupBy("part").agg(F.max("rn0").alias("n"), F.max("tp0").alias("t"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("n"), F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("t"))
+    # a row a range: a millionth of the table
     return local.join(F.broadcast(before), "part").withColumn("rn", F.col("rn0") + F.col("n")).withColumn("tp", F.col("tp0") + F.col("t")).drop("part", "rn0", "tp0", "n", "t")
 
 
+def ranks_within(df: DataFrame, key: str, order: list) -> DataFrame:
+    """`df` with place, from 1 in each group of equal `key`, where a few keys may hold most of the rows: ranks over all rows
+    with the key first in the order, less those of the keys before. `order` must leave no ties."""
+    r = running_ranks(df.withColumn("one", F.lit(1)), [F.col(key), *order], "one").drop("tp", "one")
+    first = r.groupBy(F.col(key).alias("of")).agg(F.min("rn").alias("first"))
+    return r.join(first, F.col(key).eqNullSafe(F.col("of"))).withColumn("place", F.col("rn") - F.col("first") + 1).drop("rn", "of", "first")
+
+
 def pooled_average_precision(scored: DataFrame, truth: DataFrame) -> DataFrame:
     """One row, uap: all pairs ranked together."""
     r = running_ranks(relevant(scored, truth), [F.desc("score"), F.col("query_id"), F.col("video_id")], "rel")

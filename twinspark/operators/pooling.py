@@ -1,47 +1,69 @@
-"""Pooling of frame features into descriptors. Vectors are taken apart by component, so every step is a plain aggregate."""
+"""Pooling of frame features into descriptors. Vectors stay whole: a batch gives one row for each of its groups (sums, sums of
+powers or maxima of the components), and a group's rows are put together after the shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinspark.functions.vector import normalized
 
 GEM_POWER, GEM_EPS = 3.0, 1e-6
+KINDS = ("avg", "max", "gem")
 
 
-def gem(x: Column, p: float = GEM_POWER, eps: float = GEM_EPS) -> Column:
-    """Generalised mean; what is under eps counts as eps."""
-    return F.pow(F.avg(F.pow(F.greatest(x, F.lit(eps)), p)), 1 / p)
+def _reduced(df: DataFrame, keys: list[str], kinds: tuple[str, ...], f: str) -> DataFrame:
+    """`keys`, n and a vector for each of `kinds`, of each group: the vectors' sum, maximum, or sum of powers."""
 
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group = b.select(keys).to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            begin = np.flatnonzero(np.diff(group[order], prepend=-1))
+            x = b.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[order]
+            out = [*b.select(keys).take(pa.array(order[begin])).columns, pa.array(np.diff(np.append(begin, len(order))))]
+            for kind in kinds:
+                y = np.maximum.reduceat(x, begin) if kind == "max" else np.add.reduceat(np.maximum(x, GEM_EPS) ** GEM_POWER if kind == "gem" else x, begin)
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), pa.array(y.ravel())))
+            yield pa.RecordBatch.from_arrays(out, [*keys, "n", *kinds])
 
-POOLS: dict[str, Callable[[Column], Column]] = {"avg": F.avg, "max": F.max, "gem": gem}
+    given = df.where(F.col(f).isNotNull()).select(*keys, F.col(f).cast("array<double>").alias("f"))
+    ddl = ", ".join(f"`{k}` {given.schema[k].dataType.simpleString()}" for k in keys)
+    parts = given.mapInArrow(part, f"{ddl}, n long, {', '.join(f'{k} array<double>' for k in kinds)}")
+    gathered = parts.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.collect_list(k).alias(k) for k in kinds])  # a row for each batch that has the group
 
+    def together(kind: str) -> Column:
+        join = (lambda a, b: F.greatest(a, b)) if kind == "max" else (lambda a, b: a + b)
+        return F.aggregate(F.slice(kind, 2, F.size(kind)), F.get(F.col(kind), F.lit(0)), lambda s, v: F.zip_with(s, v, join)).alias(kind)
 
-def by_component(df: DataFrame, keys: list[str], f: str = "f") -> DataFrame:
-    return df.select(*keys, F.posexplode(f).alias("dim", "x"))
+    return gathered.select(*keys, "n", *[together(k) for k in kinds])
 
 
-def pool(df: DataFrame, keys: list[str], kind: str = "avg", f: str = "f") -> DataFrame:
-    """`keys` and the pooled vector f."""
-    parts = by_component(df, keys, f).groupBy(*keys, "dim").agg(POOLS[kind](F.col("x")).alias("x"))
-    return together(parts, keys)
+def _finished(kind: str) -> Column:
+    """The pooled vector of `_reduced`'s. gem: the generalised mean, in which what is under `GEM_EPS` counts as that."""
+    if kind == "max":
+        return F.col(kind)
+    mean = lambda x: x / F.col("n")
+    return F.transform(kind, lambda x: F.pow(mean(x), 1 / GEM_POWER) if kind == "gem" else mean(x))
 
 
-def together(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Vectors from (keys, dim, x)."""
-    return parts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("f"))
+def pool(df: DataFrame, keys: list[str], kind: str = "avg", f: str = "f") -> DataFrame:
+    """`keys` and the pooled vector f. Null vectors take no part; those of a group have one length."""
+    return _reduced(df, keys, (kind,), f).select(*keys, _finished(kind).alias("f"))
 
 
 def spatial_pool(df: DataFrame, keys: list[str], kind: str = "gem") -> DataFrame:
     """Over regions: `kind` where their number is a square, else the mean."""
-    parts = by_component(df, [*keys, "region_idx"])
-    root = F.round(F.sqrt(F.count("x")))
-    x = F.when(root * root == F.count("x"), POOLS[kind](F.col("x"))).otherwise(F.avg("x"))
-    return together(parts.groupBy(*keys, "dim").agg(x.alias("x")), keys)
+    root = F.round(F.sqrt("n"))
+    found = _reduced(df, keys, tuple(dict.fromkeys((kind, "avg"))), "f")
+    return found.select(*keys, F.when(root * root == F.col("n"), _finished(kind)).otherwise(_finished("avg")).alias("f"))
 
 
 def descriptor(frames: DataFrame, kind: str = "gem") -> DataFrame:

@@ -250,7 +250,7 @@ def agg22w(spark, sf):
 @register("agg23_rotated_bits")
 def agg23(spark, sf):
     d = T.descriptors(spark, sf)
-    w = linalg.itq_fit(d, 4, rounds=5)
+    w = linalg.itq_fit(d, 4)
     return d.select("video_id", F.transform(matvec(w, F.col("v")), F.signum).alias("bits"))
 
 

@@ -187,10 +187,10 @@ def snk10(spark, sf):
 
 @register("plb22_shuffled_order", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('1|' || doc_id), doc_id) AS place FROM documents")
 def plb22(spark, sf):
-    from pyspark.sql import Window
+    from twinspark.operators.metrics import ranks_within
 
-    w = Window.partitionBy("lang").orderBy(F.md5(F.concat_ws("|", F.lit("1"), "doc_id")), "doc_id")
-    return T.read(spark, sf, "documents").select("doc_id", F.row_number().over(w).cast("long").alias("place"))
+    d = T.read(spark, sf, "documents").select("doc_id", "lang", F.md5(F.concat_ws("|", F.lit("1"), "doc_id")).alias("draw"))
+    return ranks_within(d, "lang", [F.col("draw"), F.col("doc_id")]).select("doc_id", "place")
 
 
 @register("tmp09_strong_pipeline", f"WITH {FRAMES}, c AS (SELECT video_id, frame_idx - video_id % 2 AS frame_idx, f FROM f_ WHERE frame_idx >= video_id % 2 AND frame_idx < video_id % 2 + 8), s AS (SELECT video_id, frame_idx // 2 AS frame_idx, f FROM c WHERE frame_idx % 2 = 0), m AS (SELECT video_id, max(frame_idx) AS last FROM s GROUP BY video_id) SELECT video_id, last - frame_idx AS frame_idx, f FROM s JOIN m USING (video_id)")
@@ -208,8 +208,8 @@ def str02(spark, sf):
     return e.where(F.col("before").isNull() | (F.col("ts") - F.col("before") > F.expr("interval 12 hours"))).select("event_id", "user_id")
 
 
-@register("str04_newest_of_key", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) WHERE n <= 5")
+@register("str04_newest_of_key", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n <= 5")
 def str04(spark, sf):
     from twinspark.streaming.ingest import newest
 
-    return newest(T.read(spark, sf, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts", 5).select("event_id", "user_id")
+    return newest(T.read(spark, sf, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts", 5, ("event_id",)).select("event_id", "user_id")
