@@ -54,7 +54,7 @@ def test_stages_and_run(spark, tmp_path):
 def test_stages_with_odd_rows(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, text, "en", "s", 0, 1.0), (2, text, None, None, None, 2.0), (None, text, "en", "s", 5, 3.0), (4, None, "en", "s", None, None), (5, "", "en", "s", 0, 0.0), (5, "", "en", "s", 0, 0.0), (6, "w " * 30_000, "en", "s", 1, 1.0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double").withColumnRenamed("score", "a.b")
     for part in (docs, docs.limit(0)):
         now = part
         for name, stage in cp.STAGES[:-1]:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from twinspark.llm.subword import Model, train
 
@@ -74,8 +75,8 @@ def toxicity(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 def _scored(df: DataFrame, names: tuple[str, ...], text_col: str, run, more: str) -> DataFrame:
     inner = df.select(*names, F.col(text_col).alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
-    return inner.mapInArrow(run, f"{ddl}, {more}")
+    # names in structs may hold dots, which DDL can't tell
+    return inner.mapInArrow(run, StructType(inner.schema.fields[:-1] + StructType.fromDDL(more).fields))
 
 
 def fit_language(documents: DataFrame, holds_out: Column, sample: int = LANGUAGE_SAMPLE, least: int = LEAST) -> Model:
