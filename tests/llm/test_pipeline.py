@@ -1,11 +1,12 @@
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 
 import corpus_pipeline as cp
 from twinspark.llm.packing import Encoder, public_tokenizer
-from twinspark.llm.simhash import ROUTE, fingerprint
+from twinspark.llm.simhash import shingle_hashes
 
 SF = "/root/testdata/sf0.01"
 
@@ -24,23 +25,24 @@ def test_stages_and_run(spark, tmp_path):
     gone = labels[~labels.doc_id.isin(seen[0].doc_id)]
     assert 0.85 * len(first) < len(seen[0]) < len(first) and gone.toxic.mean() > 0.8
     assert len(seen[1]) == len(seen[0]) and (seen[1].n_chars == seen[1].text.str.len()).all() and seen[1].n_chars.sum() < seen[0].n_chars.sum()
-    # near duplicates: no two that stay are within the bound, and each that goes reaches one with a lesser id
-    f = {d: np.array(fingerprint(t, 5, 4) + fingerprint(t, ROUTE.shingle, ROUTE.words), dtype=np.uint64) for d, t in zip(seen[1].doc_id, seen[1].text)}
-    kept = sorted(seen[2].doc_id)
-    stack = np.array([f[d] for d in f])
-
-    def near(d):  # brute force
-        x = np.bitwise_count(stack ^ f[d])
-        return set(np.array(list(f))[(x[:, :4].sum(axis=1) <= 48) & (x[:, 4:].min(axis=1) <= ROUTE.max_bits)].tolist())
-
-    left = set(f)
-    while left:
-        group, todo = set(), {min(left)}
-        while todo:
-            group |= todo
-            todo = set().union(*(near(d) for d in todo)) - group
-        assert group & set(kept) == {min(group)}
-        left -= group
+    # near duplicates by brute force: groups of texts whose sets of five-word shingles have a similarity of 0.8 or more
+    sets, holders, common = {d: set(shingle_hashes(t, 5).tolist()) for d, t in zip(seen[1].doc_id, seen[1].text)}, defaultdict(list), defaultdict(int)
+    for d, found in sets.items():
+        for h in found:
+            holders[h].append(d)
+    for ids in holders.values():
+        for pair in combinations(ids, 2):
+            common[pair] += 1
+    group = {d: d for d in sets}
+    for (a, b), n in sorted(common.items()):
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) and group[a] != group[b]:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = {d: new if g == old else g for d, g in group.items()}
+    empty = min((d for d in sets if not sets[d]), default=None)
+    group |= {d: empty for d in sets if not sets[d]}
+    kept, heads = sorted(seen[2].doc_id), set(group.values())
+    assert sum(d not in kept for d in heads) <= 0.01 * len(heads)  # hardly a document goes that is in no group
+    assert len(group) - len(heads) > 40 and len(set(kept) - heads) <= 0.1 * (len(group) - len(heads))
     assert set(seen[3].doc_id) < set(kept)
     encode, spans = Encoder(**public_tokenizer()), defaultdict(int)
     ids = {d: np.append(encode(t), np.uint32(0)).astype("<u4") for d, t in zip(seen[3].doc_id, seen[3].text)}

@@ -166,3 +166,33 @@ def test_one_of_each_removes_rows(spark):
     assert got.columns == df.columns and got.dtypes == df.dtypes
     assert sorted(((r.doc_id, r.keep_0) for r in got.collect()), key=str) == sorted([(3, 1), (7, 3), (5, 5), (11, 6), (13, 8), (None, 10)], key=str)
     assert one_of_each(df.limit(0)).count() == 0
+
+
+def test_exact_similarity_decides(spark):
+    """Pairs in which one piece is replaced, with a similarity just over the bar or well under it."""
+    rng, rows, band = random.Random(21), [], {}
+    for i in range(160):
+        a = [f"w{rng.randrange(9000)}" for _ in range(300)]
+        n = rng.randrange(22, 29) if i % 2 else rng.randrange(38, 60)
+        at = rng.randrange(300 - n)
+        b = a[:at] + [f"z{rng.randrange(10**6)}" for _ in range(n)] + a[at + n :]
+        x, y = ({" ".join(t[k : k + 5]) for k in range(296)} for t in (a, b))
+        band[2 * i + 1] = len(x & y) / len(x | y)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    kept = {r.doc_id for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    high, low = [d for d in band if band[d] >= 0.8], [d for d in band if band[d] < 0.8]
+    assert len(high) > 60 and sum(d not in kept for d in high) >= 0.9 * len(high)
+    assert len(low) > 60 and all(d in kept for d in low) and all(2 * i in kept for i in range(160))
+
+
+def test_a_group_hangs_on_its_original(spark):
+    """Copies are like the original, not like each other: whatever tree of links is told, one of them all stays."""
+    rng, rows = random.Random(8), []
+    base = [f"w{rng.randrange(9000)}" for _ in range(400)]
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(400), 0 if i == 31 else 8):
+            words[at] = f"q{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) <= 3 and 0 in {r.doc_id for r in got}
