@@ -152,6 +152,22 @@ def prj19(spark, sf):
     return rounded(similarity.frame_hash_matches(h, h, 20, 0.2).where("query_id < video_id"), "score")
 
 
+_WORDS = "[xor(h, CAST((1 << n0) - 1 AS UBIGINT)), xor(xor(h, 18446744073709551615::UBIGINT), CAST((1 << n1) - 1 AS UBIGINT)), xor(h, CAST((1 << n2) - 1 AS UBIGINT)), xor(xor(h, 18446744073709551615::UBIGINT), CAST((1 << n3) - 1 AS UBIGINT))]"
+_FLIPS = ", ".join(f"video_id % 40 // 4 + CAST({k} < video_id % 40 % 4 AS INT) AS n{k}" for k in range(4))
+
+
+@register("plb04_frame_hash_share", f"WITH {H}, o AS (SELECT CAST(floor(video_id / 10) AS BIGINT) AS video, video_id % 10 AS frame_idx, h, {_FLIPS} FROM hash_), a AS (SELECT video, frame_idx, [h, xor(h, 18446744073709551615::UBIGINT), h, xor(h, 18446744073709551615::UBIGINT)] AS w FROM o), b AS (SELECT video, frame_idx, {_WORDS} AS w FROM o), m AS (SELECT DISTINCT a.video AS query_id, b.video AS video_id, a.frame_idx FROM a JOIN b ON list_sum(list_transform(range(1, 5), lambda i: bit_count(xor(a.w[i], b.w[i])))) <= 31), t AS (SELECT video AS query_id, count(*) AS n FROM a GROUP BY video) SELECT query_id, video_id, round(count(*) / any_value(n)::DOUBLE, 6) AS score FROM m JOIN t USING (query_id) GROUP BY ALL HAVING count(*) / any_value(n)::DOUBLE >= 0.3")
+def plb04(spark, sf):
+    """Frames with hashes of four words; the other side's are damaged by up to 39 bits, as their id says."""
+    id_, video = F.col("video_id"), F.floor(F.col("video_id") / 10)
+    word = lambda k: F.col("h") if k % 2 == 0 else F.bitwise_not("h")
+    mask = lambda k: F.expr(f"shiftleft(1L, CAST(video_id % 40 div 4 + IF({k} < video_id % 40 % 4, 1, 0) AS INT)) - 1")
+    h = T.hashes(spark, sf)
+    frames = lambda words: h.select(video.alias("video_id"), (id_ % 10).alias("frame_idx"), F.array(*words).alias("h"))
+    damaged = frames([word(k).bitwiseXOR(mask(k)) for k in range(4)])
+    return rounded(similarity.frame_hash_matches(frames([word(k) for k in range(4)]), damaged, 31, 0.3, 256), "score")
+
+
 @register("p2_cascade")
 def p2(spark, sf):
     from twinspark.functions.vector import doubles

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from twinspark.operators import catalog, similarity
+from twinspark.operators.layout import SortedTable
 from twinspark.operators.metrics import ranks_within, running_ranks
 from twinspark.plans.registry import register
 from twinspark.sources import tables as T
@@ -25,6 +26,14 @@ def stored(df, name):
     return table
 
 
+def sorted_rows(spark, sf, name):
+    """The table in ranges of its key."""
+    df = rows(spark, sf)
+    table = SortedTable(spark, place(spark, name))
+    table.write(df, max(1000, df.count() // 8))
+    return table
+
+
 _R = "r_ AS (SELECT o_orderkey AS video_id, o_totalprice AS value, o_orderstatus AS status FROM orders)"
 
 
@@ -60,7 +69,7 @@ def mut04(spark, sf):
 
 @register("mut06_point_get", f"WITH {_R} SELECT * FROM r_ WHERE video_id = 77")
 def mut06(spark, sf):
-    return catalog.get(rows(spark, sf), 77)
+    return sorted_rows(spark, sf, "mut06").get(77)
 
 
 @register("mut08_cache_hits", "WITH k AS (SELECT md5(CAST(user_id AS VARCHAR)) AS sha256, max(ts) AS created_at FROM events GROUP BY 1) SELECT sha256, created_at > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1 DAY AS hit FROM k")
@@ -93,7 +102,7 @@ def srt02(spark, sf):
 
 @register("srt04_page_after", f"WITH {_R} SELECT * FROM r_ WHERE video_id > 500 ORDER BY video_id LIMIT 20")
 def srt04(spark, sf):
-    return catalog.page_after(rows(spark, sf), 500, 20)
+    return sorted_rows(spark, sf, "srt04").page_after(500, 20)
 
 
 @register("srt04_page_at", f"WITH {_R} SELECT * FROM r_ ORDER BY video_id LIMIT 20 OFFSET 40")

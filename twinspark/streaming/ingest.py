@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import time as clock
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from twinspark.operators.catalog import VideoTable
 
@@ -42,21 +47,70 @@ def matched(stream: DataFrame, index: DataFrame, on: str = "h") -> DataFrame:
     return stream.join(index, on, "inner")
 
 
-def bounded_state(stream: DataFrame, key: str, most: int):
-    """Each row with the number of its key's rows so far, of which at most `most` are remembered (first in, first out)."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
+class _Kept(StatefulProcessor):
+    """The newest rows of a key, as a list in the state."""
+
+    def __init__(self, most: int, ttl_ms: int | None, names: tuple[str, str, str]):
+        self.most, self.ttl_ms, self.names = most, ttl_ms, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", "item string, at long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = set(self.kept.get()) if self.kept.exists() else set()
+        new = {(i, int(a)) for f in rows for i, a in zip(f["item"], f["at"])}
+        last = sorted(held | new, key=lambda r: (-r[1], r[0]))[: self.most]
+        self.kept.put(last)
+        k, item, at = self.names
+        yield pd.DataFrame({k: [key[0]] * len(last), item: [i for i, _ in last], at: [a for _, a in last], "place": range(1, len(last) + 1)})
+
+    def close(self) -> None:
+        pass
+
+
+def kept_rows(stream: DataFrame, key: str, item: str, time: str, most: int, ttl_ms: int | None = None) -> DataFrame:
+    """key, item, time (microseconds) and place (1 is the newest) of what the state of a key holds after each of its batches:
+    its `most` newest rows, ties to the smaller item, repeated rows once; older ones are evicted. With `ttl_ms` a row
+    leaves the state so long after it came, by the clock. Needs RocksDB as the state store."""
+    rows = stream.select(F.col(key).alias("key"), F.col(item).cast("string").alias("item"), F.unix_micros(F.col(time).cast("timestamp")).alias("at")).where("item is not null and at is not null")
+    schema = f"{key} {rows.schema['key'].dataType.simpleString()}, {item} string, {time} long, place int"
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return rows.groupBy("key").transformWithStateInPandas(_Kept(most, ttl_ms, (key, item, time)), schema, "Update", mode)
+
+
+class ProgressRows(StreamingQueryListener):
+    """Writes a row for each micro-batch of a query to a table: rows so far, rows a second since the start, and the seconds that
+    are left of `total` rows at that rate (null where the total or the rate isn't known)."""
+
+    SCHEMA = "query string, batch long, rows long, so_far long, seconds double, rate double, seconds_left double"
+
+    def __init__(self, spark: SparkSession, path: str, total: int | None = None):
+        self.spark, self.path, self.total = spark, path, total
+        self._began: dict[str, float] = {}
+        self._rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._began[str(event.runId)], self._rows[str(event.runId)] = clock.monotonic(), 0
+
+    def onQueryProgress(self, event) -> None:
+        p, run = event.progress, str(event.progress.runId)
+        self._rows[run] = so_far = self._rows.get(run, 0) + p.numInputRows
+        seconds = clock.monotonic() - self._began.setdefault(run, clock.monotonic())
+        row = (p.name or str(p.id), p.batchId, p.numInputRows, so_far, seconds, *rate_and_left(so_far, seconds, self.total))
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:
+        pass
 
-    schema = f"{key} string, seen int"
+    def onQueryTerminated(self, event) -> None:
+        self._began.pop(str(event.runId), None)
+        self._rows.pop(str(event.runId), None)
 
-    def step(k, frames, state):
-        n = state.get[0] if state.exists else 0
-        for f in frames:
-            n = min(most, n + len(f))
-        state.update((n,))
-        yield pd.DataFrame({key: [k[0]], "seen": [n]})
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "n int", "update", GroupStateTimeout.NoTimeout)
+def rate_and_left(so_far: int, seconds: float, total: int | None) -> tuple[float | None, float | None]:
+    """Rows a second, and the seconds that the rest of `total` takes at that rate."""
+    rate = so_far / seconds if seconds > 0 else None
+    return rate, max(0, total - so_far) / rate if total is not None and rate else None
 
 
 def newest(df: DataFrame, keys: list[str], order: str, most: int, tie: tuple[str, ...] = ()) -> DataFrame:
