@@ -188,6 +188,26 @@ def test_rotation_by_definition(spark, rounds):
     assert linalg.itq_fit(df.where("v is null"), 4, rounds=rounds) == []
 
 
+def test_vlad_by_definition(spark):
+    """In plain numpy, with a mask, other weights than the centroids, a linear layer and the layer norm."""
+    rng = np.random.default_rng(6)
+    c, w, linear = rng.normal(size=(3, 5)), rng.normal(size=(3, 5)), rng.normal(size=(4, 15))
+    x = {v: rng.normal(size=(n, 5)) for v, n in (("a", 7), ("b", 1), (None, 3))}
+    rows = [(v, f.tolist(), i != 2) for v, m in x.items() for i, f in enumerate(m)] + [("gone", [1.0] * 5, False), ("a", None, True)]
+    df = spark.createDataFrame(rows, "video_id string, f array<double>, seen boolean").repartition(4)
+    got = {r.video_id: r.f for r in linalg.vlad(df, c, "seen", linear, weights=w).collect()}
+    assert set(got) == set(x)
+    for v, m in x.items():
+        m = np.delete(m, 2, axis=0) if len(m) > 2 else m
+        total = np.zeros((3, 5))
+        for f in m:
+            a = np.exp(w @ f) / np.exp(w @ f).sum()
+            total += a[:, None] * (f - c)
+        total /= np.linalg.norm(total, axis=1, keepdims=True)
+        out = linear @ (total.ravel() / np.linalg.norm(total))
+        assert np.allclose(got[v], (out - out.mean()) / np.sqrt(out.var() + 1e-5))
+
+
 def test_comparator(spark):
     rng = np.random.default_rng(0)
     shapes = [(4, 1, 3, 3), (4, 4, 3, 3), (4, 4, 3, 3), (1, 4, 1, 1)]

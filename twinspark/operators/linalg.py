@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -111,22 +112,68 @@ def regularization_loss(cells: DataFrame, least: float = -1.0, most: float = 1.0
     return cells.agg(F.sum(over).alias("loss"))
 
 
-def vlad(frames: DataFrame, centroids: DataFrame) -> DataFrame:
-    """video_id and dim-wise residual sums (k, dim, x): soft assignment by dot product, each cluster's residual of length 1, then all.
+def batch_cells(items: DataFrame) -> DataFrame:
+    """i, j, s, y of all pairs within each batch of items (batch, video_id, v, label): the product of their vectors, one matrix product
+    a batch, and whether their labels are equal (0 where one is null). Batches are bounded, as in training."""
+    kind = items.schema["video_id"].dataType.simpleString()
+    item = F.struct("video_id", F.col("v").cast("array<double>").alias("v"), F.dense_rank().over(Window.partitionBy("batch").orderBy("label")).alias("class"), F.col("label").isNull().alias("none"))
+    batches = items.withColumn("item", item).groupBy("batch").agg(F.collect_list("item").alias("items"))
 
-    `centroids` (k, c) is a small table, counted before it is broadcast.
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for one in b.column(0):
+                x, ids = one.values, one.values.field("video_id")
+                m = x.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+                of, none = x.field("class").to_numpy(), x.field("none").to_numpy(zero_copy_only=False)
+                i, j = np.divmod(np.arange(len(x) ** 2), len(x))
+                same = (of[i] == of[j]) & ~none[i] & ~none[j]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array((m @ m.T).ravel()), pa.array(same.astype(np.int32))], ["i", "j", "s", "y"])
+
+    return batches.select("items").mapInArrow(run, f"i {kind}, j {kind}, s double, y int")
+
+
+def vlad(frames: DataFrame, centroids: np.ndarray, mask: str | None = None, reduction: np.ndarray | None = None, layer_norm: bool = True, weights: np.ndarray | None = None, eps: float = 1e-5) -> DataFrame:
+    """video_id and f of frames (video_id, f; any number of regions): each vector is shared among the centroids (a row each) by the
+    softmax of its products with `weights` (the centroids themselves if None); a cluster is the sum of its shares'
+    residuals, of length 1; all clusters together have length 1; then `reduction` (a row for each output) and a layer norm
+    without parameters.
+
+    Rows where column `mask` is 0, false or null take no part; a video of such rows alone has none. Matrices are a model's,
+    so they go to every task. A batch gives one row for each of its videos.
     """
-    from twinspark.functions.vector import dot
-    from twinspark.operators.similarity import bounded
-
-    c = F.broadcast(bounded(centroids, 1024))
-    pairs = frames.join(c, F.lit(True)).withColumn("a", F.exp(dot(F.col("f"), F.col("c"))))
-    total = frames.join(c, F.lit(True)).groupBy("video_id", "frame_idx").agg(F.sum(F.exp(dot(F.col("f"), F.col("c")))).alias("z"))
-    w = pairs.join(total, ["video_id", "frame_idx"]).withColumn("w", F.col("a") / F.col("z"))
-    r = w.select("video_id", "k", F.posexplode(F.zip_with("f", "c", lambda x, y: x - y)).alias("dim", "d"), "w").groupBy("video_id", "k", "dim").agg(F.sum(F.col("d") * F.col("w")).alias("x"))
-    from pyspark.sql import Window
-
-    intra = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("video_id", "k")))
-    r = r.withColumn("x", F.col("x") / F.greatest(intra, F.lit(1e-12)))
-    full = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("video_id")))
-    return r.withColumn("x", F.col("x") / F.greatest(full, F.lit(1e-12)))
+    c = np.asarray(centroids, dtype=np.float64)
+    spec = frames.sparkSession.sparkContext.broadcast((c, c if weights is None else np.asarray(weights, dtype=np.float64), reduction))
+    kept = frames.where(F.col("f").isNotNull())
+    kept = kept.where(F.col(mask).cast("int") != 0) if mask else kept
+    kind = frames.schema["video_id"].dataType.simpleString()
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, w, _ = spec.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            e = x @ w.T
+            share = np.exp(e - e.max(axis=1, keepdims=True))
+            share /= share.sum(axis=1, keepdims=True)
+            video = b.column(0).to_pandas()
+            order = np.argsort(group := video.groupby(video, sort=False, dropna=False).ngroup().to_numpy(), kind="stable")
+            begin = np.flatnonzero(np.diff(group[order], prepend=-1))
+            out = [(share[rows].T @ x[rows] - share[rows].sum(axis=0)[:, None] * centres).ravel() for rows in np.split(order, begin[1:])]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * centres.size, pa.int32()), pa.array(np.concatenate(out)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(order[begin])), lists], ["video_id", "r"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, _, reduce = spec.value
+        for b in batches:
+            out = []
+            for parts in b.column(1):
+                r = parts.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, *centres.shape).sum(axis=0)
+                r /= np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12)
+                f = r.ravel() / max(np.linalg.norm(r), 1e-12)
+                f = f if reduce is None else np.asarray(reduce) @ f
+                out.append((f - f.mean()) / np.sqrt(f.var() + eps) if layer_norm else f)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.tolist() for f in out], pa.list_(pa.float64()))], ["video_id", "f"])
+
+    parts = kept.select("video_id", F.col("f").cast("array<double>").alias("f")).mapInArrow(part, f"video_id {kind}, r array<double>")
+    return parts.groupBy("video_id").agg(F.collect_list("r").alias("r")).mapInArrow(finish, f"video_id {kind}, f array<double>")

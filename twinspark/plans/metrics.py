@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from twinspark.functions.vector import dot, doubles, matvec
 from twinspark.operators import chamfer, linalg, metrics, pooling, similarity
-from twinspark.plans.registry import register
+from twinspark.plans.registry import ORACLES, register
 from twinspark.plans.search import query_set, rounded
 from twinspark.sources import tables as T
 
@@ -256,16 +256,27 @@ def agg23(spark, sf):
 
 @register("agg24_vlad", f"WITH {T.SQL_FRAMES1}, c AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE vec_id < 4), p AS (SELECT video_id, frame_idx, k, f, c, exp(list_dot_product(f, c)) AS a FROM frame_, c), w AS (SELECT *, a / sum(a) OVER (PARTITION BY video_id, frame_idx) AS w FROM p), r AS (SELECT video_id, k, d - 1 AS dim, sum((f[d] - c[d]) * w) AS x FROM w, unnest(range(1, 65)) AS t(d) GROUP BY video_id, k, d), n AS (SELECT video_id, k, dim, x / sqrt(sum(x * x) OVER (PARTITION BY video_id, k)) AS x FROM r) SELECT video_id, k, CAST(dim AS INTEGER) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY video_id)), 6) AS x FROM n")
 def agg24(spark, sf):
-    c = T.descriptors(spark, sf).where("video_id < 4").select(F.col("video_id").alias("k"), F.col("v").alias("c"))
-    return rounded(linalg.vlad(T.frames(spark, sf, 1).drop("region_idx"), c), "x")
+    return _vlad(spark, sf, False)
+
+
+def _vlad(spark, sf, layer_norm):
+    import numpy as np
+
+    c = np.array([r.v for r in T.descriptors(spark, sf).where("video_id < 4").orderBy("video_id").select("v").collect()])  # a model of four centroids
+    found = linalg.vlad(T.frames(spark, sf, 1), c, layer_norm=layer_norm).select("video_id", F.posexplode("f").alias("i", "x"))
+    dims = c.shape[1]
+    return rounded(found.select("video_id", F.floor(F.col("i") / dims).alias("k"), (F.col("i") % dims).cast("int").alias("dim"), "x"), "x")
+
+
+@register("agg24_vlad_layer_norm", ORACLES["agg24_vlad"].replace("SELECT video_id, k, CAST(dim AS INTEGER) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY video_id)), 6) AS x FROM n", ", l AS (SELECT video_id, k, dim, x / sqrt(sum(x * x) OVER (PARTITION BY video_id)) AS x FROM n) SELECT video_id, k, CAST(dim AS INTEGER) AS dim, round((x - avg(x) OVER (PARTITION BY video_id)) / sqrt(var_pop(x) OVER (PARTITION BY video_id) + 1e-5), 6) AS x FROM l"))
+def agg24n(spark, sf):
+    return _vlad(spark, sf, True)
 
 
 def _loss_cells(spark, sf):
     """Similarities within batches of 100 videos, for all videos."""
-    d = T.descriptors(spark, sf).withColumn("batch", F.floor(F.col("video_id") / 100))
-    a = d.select("batch", F.col("video_id").alias("i"), F.col("v").alias("a"), F.col("label").alias("la"))
-    b = d.select("batch", F.col("video_id").alias("j"), F.col("v").alias("b"), F.col("label").alias("lb"))
-    return a.join(b, "batch").select("i", "j", dot(F.col("a"), F.col("b")).alias("s"), (F.col("la") == F.col("lb")).cast("int").alias("y"))
+    d = T.descriptors(spark, sf)
+    return linalg.batch_cells(d.select(F.floor(F.col("video_id") / 100).alias("batch"), "video_id", "v", "label"))
 
 
 _L = f"WITH {D}, l_ AS (SELECT a.video_id AS i, b.video_id AS j, list_dot_product(a.v, b.v) AS s, CAST(a.label = b.label AS INT) AS y FROM desc_ a JOIN desc_ b ON a.video_id // 100 = b.video_id // 100)"
