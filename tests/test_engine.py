@@ -312,10 +312,20 @@ def test_streams(spark, tmp_path):
     q = ingest.progress(stream).writeStream.format("memory").queryName("progress").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from progress").first()[0] == e.count()
-    d = ingest.first_seen(stream.withColumn("sha256", F.sha2(F.col("user_id").cast("string"), 256))).writeStream.format("memory").queryName("first").trigger(availableNow=True).start()
-    d.awaitTermination()
-    assert e.select("user_id").distinct().count() <= spark.sql("select * from first").count() <= e.count()
     table = catalog.VideoTable(spark, str(tmp_path / "t"), "video_id string, value double, added_at timestamp", (), buckets=4)
     ingest.ingest(stream.select(F.col("user_id").cast("string").alias("video_id"), "value", F.col("ts").alias("added_at")), table, str(tmp_path / "c")).awaitTermination()
     want = {str(r.user_id): r.value for r in catalog.latest(e, "user_id", [F.desc("ts")]).collect()}
     assert {r.video_id: r.value for r in table.current().collect()} == want
+
+
+def test_first_seen_within_a_day(spark, tmp_path):
+    """A key's state goes once the watermark, a day behind the latest row, passes a day after the row that was let through."""
+    batches = [[("a", 0), ("b", 1)], [("a", 10), ("c", 30)], [("a", 40), ("d", 60)], [("a", 70), ("d", 71)]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "sha256 string, hour long").select("sha256", F.timestamp_seconds((F.col("hour") + 1000) * 3600).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ingest.arrivals(spark, str(tmp_path / "in"), "sha256 string, ts timestamp")
+        q = ingest.first_seen(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = sorted((r.sha256, r.ts.timestamp() // 3600 - 1000) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 0), ("a", 70), ("b", 1), ("c", 30), ("d", 60)]
