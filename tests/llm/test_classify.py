@@ -26,7 +26,8 @@ def test_toxicity_held_out(spark):
     assert (rows.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id]).all()
     assert rows.score.between(0, 1).all() and (rows.predicted == (rows.score >= 0.5)).all()
     m = rows[rows.held_out].merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
-    assert (m.predicted == m.toxic).mean() > 0.9
+    # few rows are labelled here; a constant answer is right in 0.87 of them and finds none of the toxic ones
+    assert m.predicted[m.toxic == 1].mean() >= 0.5 and m.predicted[m.toxic == 0].mean() <= 0.03
 
 
 def test_language_held_out(spark):
