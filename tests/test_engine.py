@@ -208,7 +208,7 @@ def test_vlad_by_definition(spark):
         assert np.allclose(got[v], (out - out.mean()) / np.sqrt(out.var() + 1e-5))
 
 
-def test_comparator(spark):
+def test_comparator():
     rng = np.random.default_rng(0)
     shapes = [(4, 1, 3, 3), (4, 4, 3, 3), (4, 4, 3, 3), (1, 4, 1, 1)]
     weights = [(rng.normal(size=s) / 3, np.zeros(s[0])) for s in shapes]
@@ -216,8 +216,8 @@ def test_comparator(spark):
     assert models.compare_matrix(m, weights).shape == (2, 2) and models.compare_matrix(m[:3], weights) is None
     by_hand = sum(np.pad(m, 1)[k : k + 9, n : n + 8] * weights[0][0][0, 0, k, n] for k in range(3) for n in range(3))
     assert np.allclose(models._convolved(m[None], *weights[0])[0], by_hand)
-    cells = spark.createDataFrame([(1, v, i, j, float(m[i, j])) for v, n in ((2, 9), (3, 3)) for i in range(n) for j in range(8)], "query_id int, video_id int, i int, j int, s double")
-    assert [(r.query_id, r.video_id) for r in models.compared(cells, weights).collect()] == [(1, 2)]
+    refined = models.refined(weights)
+    assert refined(m[:3]) is None and refined(m) == pytest.approx((np.clip(models.compare_matrix(m, weights), -1, 1) / 2 + 0.5).max(axis=1).mean())
 
 
 def test_embedders(spark):

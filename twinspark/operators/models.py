@@ -105,17 +105,3 @@ def refined(weights: list[tuple[np.ndarray, np.ndarray]]) -> Callable[[np.ndarra
         return None if out is None else float((np.clip(out, -1, 1) / 2 + 0.5).max(axis=1).mean())
 
     return score
-
-
-def compared(cells: DataFrame, weights: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """query_id, video_id, score of frame matrices (query_id, video_id, i, j, s): refined, clamped, shifted to [0, 1], chamfered. Pairs with too few frames drop out."""
-    spec = cells.sparkSession.sparkContext.broadcast(weights)
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        s = part.pivot(index="i", columns="j", values="s").fillna(0.0).to_numpy()
-        found = refined(spec.value)(s)
-        score = [] if found is None else [found]
-        return pd.DataFrame({"query_id": part.query_id[: len(score)], "video_id": part.video_id[: len(score)], "score": score})
-
-    q, v = (cells.schema[c].dataType.simpleString() for c in ("query_id", "video_id"))
-    return cells.groupBy("query_id", "video_id").applyInPandas(one, f"query_id {q}, video_id {v}, score double")
