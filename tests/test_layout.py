@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinspark.operators import linalg, temporal
 from twinspark.operators.layout import SortedTable
 from twinspark.sources import pictures
 from twinspark.streaming import ingest
@@ -125,3 +126,31 @@ def test_progress_rows(spark, tmp_path):
     for r in rows:
         assert r.rate == pytest.approx(r.so_far / r.seconds) and r.seconds_left == pytest.approx((120 - r.so_far) / r.rate)
     assert ingest.rate_and_left(0, 0.0, 5) == (None, None) and ingest.rate_and_left(10, 2.0, 5) == (5.0, 0.0)
+
+
+def test_matrices_saved_and_used(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 6))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)] + [(99, None)], "`a.b` int, v array<double>").repartition(3)
+    mean, w = linalg.pca_fit(df.where("v is not null"), 3)
+    linalg.save_matrices(spark, str(tmp_path), {"mean": [mean], "pca": w})
+    model = linalg.load_matrices(spark, str(tmp_path))
+    got = {r["a.b"]: r.projected for r in linalg.projected(df, model["pca"], model["mean"]).collect()}
+    want = (x - np.array(mean)) @ np.array(w).T
+    assert got[99] is None and np.allclose([got[i] for i in range(40)], want)
+    y = want
+    assert np.allclose(y.T @ y, np.eye(3), atol=1e-6)
+
+
+def test_steps_from_a_configuration(spark):
+    frames = spark.createDataFrame([(v, i, v * 100 + i) for v in range(30) for i in range(8)], "video_id int, frame_idx int, f int")
+    order = lambda df, v: [r.f for r in df.where(F.col("video_id") == v).orderBy("frame_idx").collect()]
+    made = temporal.from_config([{"kind": "crop", "start": 2, "size": 6}, {"kind": "fast_forward", "k": 2}, {"kind": "reverse"}])
+    assert order(made(frames), 3) == [306, 304, 302]
+    choice = temporal.from_config([{"kind": "choice", "seed": 1, "of": [{"weight": 2, "steps": [{"kind": "reverse"}]}, {"steps": []}]}])(frames)
+    firsts = {v: order(choice, v)[0] - v * 100 for v in range(30)}
+    assert set(firsts.values()) == {0, 7} and choice.count() == frames.count()
+    with pytest.raises(ValueError, match="unknown step"):
+        temporal.from_config([{"kind": "blur"}])
+    with pytest.raises(TypeError):
+        temporal.from_config([{"kind": "fast_forward", "speed": 2}])

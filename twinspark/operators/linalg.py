@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def mean_vector(df: DataFrame, v: str = "v") -> DataFrame:
@@ -177,3 +178,39 @@ def vlad(frames: DataFrame, centroids: np.ndarray, mask: str | None = None, redu
 
     parts = kept.select("video_id", F.col("f").cast("array<double>").alias("f")).mapInArrow(part, f"video_id {kind}, r array<double>")
     return parts.groupBy("video_id").agg(F.collect_list("r").alias("r")).mapInArrow(finish, f"video_id {kind}, f array<double>")
+
+
+def save_matrices(spark: SparkSession, path: str, matrices: dict[str, list[list[float]]]) -> None:
+    """Named matrices (a mean is one of a single row) as a table of their rows."""
+    rows = [(name, i, [float(x) for x in row]) for name, m in matrices.items() for i, row in enumerate(m)]
+    spark.createDataFrame(rows, "name string, row int, x array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_matrices(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    """What `save_matrices` wrote; whole, as a model's matrices are small."""
+    found: dict[str, list] = {}
+    for r in spark.read.parquet(path).orderBy("name", "row").collect():
+        found.setdefault(r["name"], []).append(r["x"])
+    return {name: np.array(m) for name, m in found.items()}
+
+
+def projected(df: DataFrame, matrix: np.ndarray, mean: np.ndarray | None = None, v: str = "v", out: str = "projected") -> DataFrame:
+    """All columns and `out`: the matrix (a row a direction) times each vector, less `mean` first; null for null. The matrix is
+    broadcast, and a batch is one product."""
+    spec = df.sparkSession.sparkContext.broadcast((np.asarray(matrix, dtype=np.float64), None if mean is None else np.asarray(mean, dtype=np.float64).ravel()))
+    rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), df[f"`{v}`"].cast("array<double>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, zero = spec.value
+        for b in batches:
+            given = b.column(1)
+            there = np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False))
+            found: list = [None] * b.num_rows
+            if len(there):
+                x = given.flatten().to_numpy(zero_copy_only=False).reshape(len(there), -1)
+                for i, y in zip(there, ((x if zero is None else x - zero) @ m.T).tolist()):
+                    found[i] = y
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float64()))], ["row", "y"])
+
+    schema = StructType([rows.schema["row"], StructField("y", ArrayType(DoubleType()))])
+    return rows.mapInArrow(run, schema).select("row.*", F.col("y").alias(out))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from inspect import signature
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,3 +106,42 @@ def label_matrix(items: DataFrame) -> DataFrame:
     """i, j of items (i, label) that share a label, i and j alike included."""
     a = items.select(F.col("i"), "label").distinct()
     return a.join(a.withColumnRenamed("i", "j"), "label").select("i", "j").distinct()
+
+
+#: What a configuration may name, with the parameters of each after the frames.
+STEPS: dict[str, Callable[..., DataFrame]] = {
+    "pad": padded, "subsample": subsampled, "crop": lambda frames, start, size: cropped(frames, F.lit(start), size), "fast_forward": fast_forward, "slow_motion": slow_motion,
+    "reverse": reversed_frames, "pause": paused, "shuffle_windows": windows_shuffled,
+}
+
+
+def from_config(steps: list[dict]) -> Callable[[DataFrame], DataFrame]:
+    """A transform of frames (video_id, frame_idx, f) from a list of steps like {"kind": "fast_forward", "k": 2}, taken in order.
+
+    {"kind": "choice", "of": [{"weight": 2, "steps": [...]}, ...], "seed": 0} takes for each video one of several lists, in
+    proportion to their weights (1 if not given), by a hash of its id. Unknown kinds are a ValueError, unknown parameters a TypeError, both
+    when the configuration is read.
+    """
+    made = [_step(dict(s)) for s in steps]
+    return lambda frames: reduce(lambda df, step: step(df), made, frames)
+
+
+def _step(step: dict) -> Callable[[DataFrame], DataFrame]:
+    kind = step.pop("kind", None)
+    if kind == "choice":
+        return _choice(**step)
+    if kind not in STEPS:
+        raise ValueError(f"unknown step {kind!r}; there are {sorted([*STEPS, 'choice'])}")
+    signature(STEPS[kind]).bind(None, **step)
+    return lambda frames: STEPS[kind](frames, **step)
+
+
+def _choice(of: list[dict], seed: int = 0) -> Callable[[DataFrame], DataFrame]:
+    lists = [from_config(o["steps"]) for o in of]
+    weights = {str(i): float(o.get("weight", 1)) for i, o in enumerate(of)}
+
+    def run(frames: DataFrame) -> DataFrame:
+        picked = pick(hashed_uniform("video_id", seed=seed), weights)
+        return reduce(DataFrame.unionByName, [f(frames.where(picked == str(i))) for i, f in enumerate(lists)])
+
+    return run
