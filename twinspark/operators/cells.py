@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.operators.similarity import BROADCAST_VALUES, blocks, on_grid, ranked, unit_rows
+from twinspark.operators.similarity import BROADCAST_VALUES, KEPT, blocks, on_grid, parts, ranked, unit_rows
 
 #: Sampled rows a cell that centres are fitted on, numbers in the whole sample, and rounds of the fit.
 SAMPLE, SAMPLE_VALUES, ROUNDS = 64, 32_000_000, 10
@@ -115,7 +115,8 @@ class VectorIndex:
         centres = np.array([r["centre"] for r in cells])
         radius = np.array([r["radius"] for r in cells])
         filled = np.array([r["n"] > 0 for r in cells], bool)
-        for block in blocks(queries.where(F.col("v").isNotNull()).select("query_id", "v"), "query_id", centres.shape[1] if len(centres) else 1):
+        # a block's vectors are bounded, and so is its matrix of queries and cells
+        for block in blocks(queries.where(F.col("v").isNotNull()).select("query_id", "v"), "query_id", max(centres.shape) if len(centres) else 1):
             if not len(block) or not filled.any():
                 continue
             q, ids = unit_rows(block.v, about["metric"]), block.query_id.to_numpy()
@@ -132,34 +133,37 @@ class VectorIndex:
                 more = (on_grid(most) + 1 >= on_grid(floor[ids].to_numpy())[:, None]) & filled & ~wanted
                 hits = self.spark.createDataFrame(first[["query_id", "video_id", "score"]], hits.schema) if len(first) else hits.limit(0)
                 if more.any():
-                    hits = hits.unionByName(self._probed(queries.schema["query_id"].dataType.simpleString(), about, ids, q, more, k))
+                    hits = hits.unionByName(self._probed(queries.schema["query_id"].dataType.simpleString(), about, ids, q, more, k, on_grid(floor[ids].to_numpy())))
             found = hits if found is None else found.unionByName(hits)
         if found is None:
             found = self.spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, video_id {about['id']}, score double")
         return ranked(found, k)
 
-    def _probed(self, query_kind: str, about: dict, ids: np.ndarray, q: np.ndarray, wanted: np.ndarray, k: int) -> DataFrame:
-        """Each query's k best of each task's share of its cells."""
-        spec = self.spark.sparkContext.broadcast((ids, q, wanted))
+    def _probed(self, query_kind: str, about: dict, ids: np.ndarray, q: np.ndarray, wanted: np.ndarray, k: int, floor: np.ndarray | None = None) -> DataFrame:
+        """Each query's k best of each task's share of its cells, none under its `floor` (a place on the grid)."""
+        spec = self.spark.sparkContext.broadcast((ids, q, wanted, np.full(len(ids), -np.inf) if floor is None else floor))
         cells = [int(c) for c in np.flatnonzero(wanted.any(axis=0))]
         rows = self._read(about["id"]).where(F.col("cell").isin(cells)).select("video_id", "v", "cell")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-            own, m, want = spec.value
+            own, m, want, least = spec.value
             best: list[pd.DataFrame] = []
             for b in batches:
                 if not b.num_rows:
                     continue
                 x, cell, other = _rows(b.column(1), about["metric"]), b.column(2).to_numpy(), b.column(0).to_pandas().to_numpy()
                 for c in np.unique(cell):
-                    here, asks = np.flatnonzero(cell == c), np.flatnonzero(want[:, c])
-                    s = m[asks] @ x[here].T
-                    g = on_grid(s)
-                    cut = np.partition(g, g.shape[1] - k, axis=1)[:, g.shape[1] - k, None] if g.shape[1] > k else -np.inf
-                    i, j = np.nonzero(g >= cut)
-                    best.append(pd.DataFrame({"query_id": own[asks[i]], "video_id": other[here[j]], "score": s[i, j]}))
-                if sum(map(len, best)) > 500_000:
-                    best = [_trimmed(best, k)]
+                    here, every = np.flatnonzero(cell == c), np.flatnonzero(want[:, c])
+                    for asks in (every[part] for _, part in parts(len(every), len(here))):
+                        s = m[asks] @ x[here].T
+                        g = on_grid(s)
+                        cut = least[asks][:, None]
+                        if g.shape[1] > k:
+                            cut = np.maximum(cut, np.partition(g, g.shape[1] - k, axis=1)[:, g.shape[1] - k, None])
+                        i, j = np.nonzero(g >= cut)
+                        best.append(pd.DataFrame({"query_id": own[asks[i]], "video_id": other[here[j]], "score": s[i, j]}))
+                        if sum(map(len, best)) > 2 * KEPT:
+                            best = [_trimmed(best, k)]
             if best:
                 yield pa.RecordBatch.from_pandas(_trimmed(best, k), preserve_index=False)
 
