@@ -196,3 +196,64 @@ def test_a_group_hangs_on_its_original(spark):
         rows.append((i, " ".join(words)))
     got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert len(got) <= 3 and 0 in {r.doc_id for r in got}
+
+
+def brute_kept(rows, bar=0.8):
+    """Ids that stay of (id, text): the least of each component of pairs at the bar, by comparing all pairs."""
+    sets = [set(" ".join(t[k : k + 5]) for k in range(max(1, len(t) - 4))) if (t := (text or "").lower().split()) else set() for _, text in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or n and n / (len(sets[i]) + len(sets[j]) - n) >= bar - 1e-12:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return set(least.values())
+
+
+def test_no_pair_at_the_bar_is_left_out(spark):
+    """A piece is replaced, of a size at which similarities lie around the bar."""
+    rng, rows = random.Random(33), []
+    for i in range(150):
+        n = rng.choice([5, 12, 60, 300])
+        a = [f"w{rng.randrange(9000)}" for _ in range(n)]
+        cut = max(1, round(n * rng.uniform(0.02, 0.14)))
+        at = rng.randrange(n - cut + 1)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[:at] + [f"z{rng.randrange(10**6)}" for _ in range(cut)] + a[at + cut :]))]
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "ONE two"), (904, "one")]
+    kept = {r.doc_id for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == brute_kept(rows) and 170 < len(kept) < 290
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_large_buckets_lose_no_pair(spark, monkeypatch, few):
+    """One passage in every text, in buckets that are cut and whose pairs aren't all met at first: copies of it are linked in
+    chains, stars and not at all."""
+    from twinspark.llm import near
+
+    monkeypatch.setattr(near, "SMALL", 3)
+    monkeypatch.setattr(near, "HELD", 10)
+    monkeypatch.setattr(near, "FEW", few)
+    monkeypatch.setattr(near, "HUB_ROUNDS", 2)
+    rng = random.Random(12)
+    base, rows = [f"w{i}" for i in range(90)], []
+    for i in range(120):
+        words = list(base)
+        cut = rng.choice([0, 3, 6, 9, 12, 14])
+        at = rng.randrange(90 - cut)
+        words[at : at + cut] = [f"x{rng.randrange(10**6)}" for _ in range(cut)]
+        rows.append((i, " ".join(words + (["tail"] * 40 if i % 9 == 4 else []))))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        kept = {r.doc_id for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert kept == brute_kept(rows) and 1 < len(kept) < 120

@@ -278,60 +278,12 @@ def _edges(nodes: DataFrame, names: list[str], routed: list[str], max_bits: int,
     return keyed.repartition("key").sortWithinPartitions("key", "nid").mapInArrow(meet, "a long, b long")
 
 
-def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """nid and s, the distinct hashes of its shingles, of texts (nid, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
-                ends = np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["nid", "s"])
-
-    return texts.mapInArrow(run, "nid long, s array<long>")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, bar: float) -> DataFrame:
-    """Those of pairs (a, b) whose sets have a similarity of `bar` or more: their common shingles over all of theirs."""
-    x, y = sets.select(F.col("nid").alias("a"), F.col("s").alias("x")), sets.select(F.col("nid").alias("b"), F.col("s").alias("y"))
-    both = pairs.distinct().join(x, "a").join(y, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= bar * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
-def _verified(links: DataFrame, sets: DataFrame, bar: float) -> DataFrame:
-    """Links of exact similarity that connect what `links` connect, as far as they are found: the links themselves, and for
-    groups of three and more, of which a tree of links may have lost some, `HUBS` times the node with most exact links
-    so far against all that it isn't connected with."""
-    group = materialize(connected(links).withColumnRenamed("root", "group"), "groups")
-    large = group.groupBy("group").count().where("count > 2").select("group")
-    good, used = materialize(_similar(links, sets, bar), "similar"), None
-    for _ in range(HUBS):
-        own = group.join(large, "group").join(connected(good), "node", "left").select("group", "node", F.coalesce("root", "node").alias("own"))
-        own = materialize(own, "own")
-        parted = own.groupBy("group").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first <> last").select("group")
-        degree = good.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-        free = own.join(parted, "group").join(degree, "node", "left")
-        free = free.join(used, "node", "left_anti") if used is not None else free
-        hub = free.groupBy("group").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.col("node")).alias("less"), "own")).alias("hub"))
-        hub = materialize(hub.select("group", (-F.col("hub.less")).alias("hub"), F.col("hub.own").alias("hub_own")), "hubs")
-        asked = own.join(hub, "group").where("own <> hub_own").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-        good = materialize(good.unionByName(_similar(asked, sets, bar)), "similar")
-        hubs = hub.select(F.col("hub").alias("node"))
-        used = hubs if used is None else used.unionByName(hubs)
-    return good
-
-
-#: Nodes of a group of near duplicates that are held against all others of the group.
-HUBS = 2
 #: Pairs at the bar differ in 5 bits of a word of this route on average (8 or less in 9 of 10 words) where words are
 #: edited here and there, and in 9 or 10 where a piece is replaced: one word of three is then near enough in 9 of 10 pairs.
 ROUTE = Route(shingle=2, words=3, max_bits=9)
 
 
-def near_duplicates(df: DataFrame, shingle: int = 5, max_bits: int = 48, n_words: int = 4, id_col: str = "doc_id", text_col: str = "text", route: Route | None = None, keep: tuple[str, ...] = (), bar: float | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = 5, max_bits: int = 48, n_words: int = 4, id_col: str = "doc_id", text_col: str = "text", route: Route | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, f0.., component (its number) and component_id, the least id that links reach, for every row, and columns
     `keep` as keep_0, ...
 
@@ -339,9 +291,6 @@ def near_duplicates(df: DataFrame, shingle: int = 5, max_bits: int = 48, n_words
     route the fingerprint's own words route, each with its share of the bits, which loses no link. The defaults stand for
     a similarity of 0.8 or more of sets of five-word shingles, at which 39 of 256 bits differ on average (30 at 0.87).
 
-    With `bar`, pigeonring only proposes: links count whose texts have that exact similarity (see `_verified`). Columns `keep`
-    must then tell rows apart.
-
     Null and empty texts share the fingerprint zero; whole texts are read, however long; rows that share an id are rows of
     their own; a component whose ids are all null has a null id; other columns may have any names; an empty table gives no rows.
     """
@@ -352,14 +301,6 @@ def near_duplicates(df: DataFrame, shingle: int = 5, max_bits: int = 48, n_words
     # the number is steady once the table is written
     nodes = materialize(docs.groupBy(*every).agg(F.min("doc_id").alias("least")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
     edges = _edges(nodes, names, routed, max_bits, route.max_bits if route else max_bits // n_words)
-    if bar is not None:
-        edges = materialize(edges, "links")
-        ends = edges.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-        kept = [f"keep_{i}" for i in range(len(keep))]
-        # a text of each fingerprint that has a link
-        one = docs.join(nodes.join(ends, "nid").select("nid", *every), every).groupBy("nid").agg(F.min(F.struct(*kept)).alias("p")).select("nid", "p.*")
-        texts = df.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col(text_col).alias("text")).join(one, kept).select("nid", "text")
-        edges = _verified(edges, materialize(_sets(texts, shingle), "shingles"), bar)
     found = materialize(connected(edges), "components")
     roots = nodes.join(found, nodes.nid == found.node).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = found.join(roots, "root").select(F.col("node").alias("nid"), "root", "component_id")
@@ -368,16 +309,22 @@ def near_duplicates(df: DataFrame, shingle: int = 5, max_bits: int = 48, n_words
     return docs.join(materialize(placed, "placed"), every).select("doc_id", *names, "component", "component_id", *[f"keep_{i}" for i in range(len(keep))])
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", route: Route | None = ROUTE, bar: float | None = 0.8, **options) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bar: float = 0.8) -> DataFrame:
     """`df` with one row of each component of near duplicates: the least id, of rows that share it any one.
 
-    A row is removed as a row, not by its id: by its place in the files that `df` is read from (a table that isn't read
-    from files is written first). Rows without id stay. Texts link if their exact similarity is `bar` or more; the rest is
-    as in `near_duplicates`, routed by pairs of words.
+    Texts link if the exact similarity of their sets of shingles is `bar` or more, and every such pair counts (`near`), as do
+    texts without words among each other. A row is removed as a row, not by its id: by its place in the files that `df` is
+    read from (a table that isn't read from files is written first). Rows without id stay.
     """
+    from twinspark.llm import near
+
     names, rows = df.columns, placed(df)
-    found = near_duplicates(rows, id_col=f"c{names.index(id_col)}", text_col=f"c{names.index(text_col)}", keep=("file", "at"), route=route, bar=bar, **options)
-    found = materialize(found.where("doc_id is not null").select("component", F.struct("doc_id", F.col("keep_0").alias("file"), F.col("keep_1").alias("at")).alias("place")), "members")
-    kept = materialize(found.groupBy("component").agg(F.min("place").alias("kept")), "kept")
-    gone = materialize(found.join(kept, "component").where("place <> kept").select("place.file", "place.at"), "gone")
-    return rows.join(gone, ["file", "at"], "left_anti").drop("file", "at").toDF(*names)
+    sets = materialize(near.shingle_sets(rows, f"c{names.index(id_col)}", f"c{names.index(text_col)}", shingle, ("file", "at")), "sets")
+    label = materialize(near.similar_components(sets, bar), "components")
+    own = sets.where("doc_id is not null").select("g", F.struct("doc_id", "file", "at").alias("place"))
+    least = own.groupBy("g").agg(F.min("place").alias("least")).join(label.withColumnRenamed("node", "g"), "g", "left").select("g", F.coalesce("root", "g").alias("component"), "least")
+    least = materialize(least, "least")
+    kept = least.join(least.groupBy("component").agg(F.min("least").alias("kept")), "component").select("g", "kept")
+    # written, so that a text of very many copies is a skewed join of two exchanges, which Spark splits
+    gone = own.join(materialize(kept, "kept"), "g").where("place <> kept").select("place.file", "place.at")
+    return rows.join(materialize(gone, "gone"), ["file", "at"], "left_anti").drop("file", "at").toDF(*names)
