@@ -85,3 +85,16 @@ def test_a_tile_gives_k_rows_an_item(spark, monkeypatch):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(i, int(j)) for i, row in enumerate(unit @ unit.T) for j in np.argsort(-row)[:3] if i != j}
     assert {(r.query_id, r.video_id) for r in got.collect()} == want and tiles[0] > 1 and sent[0] <= 3 * 3000 * tiles[0]
+
+
+def test_rounds_of_grouping_broadcast_nothing(spark, monkeypatch):
+    """A broadcast passes the driver, and a round would make several."""
+    from twinspark.operators import grouping
+
+    plans, inner = [], grouping.materialize
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(grouping, "materialize", lambda df, name: inner((plans.append(plan(df)), df)[1], name))
+    edges = spark.createDataFrame([(i, (i * 7 + k) % 60, k) for i in range(60) for k in range(1, 4)], "query_id long, video_id long, rank int")
+    groups = grouping.greedy_groups(edges, finish=0)
+    assert groups.count() and grouping.components(edges).count() == 60
+    assert len(plans) > 4 and not any("Broadcast" in p for p in [*plans, plan(groups)])

@@ -17,7 +17,7 @@ def _linked_to_least(pairs: DataFrame) -> DataFrame:
     """`pairs` (u, v) with m, the least of u and its v's; the least is gathered before the join, so a node with many
     links is summed up where its rows are."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(least.hint("merge"), "u")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -61,6 +61,8 @@ def greedy_groups(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     longest chain of ids that wait for each other: few where ids stand in no order, many for a path along the ids. When at
     most `finish` links are undecided, the driver decides them in order; `finish` doesn't grow with the table.
 
+    Joins are merges by hint: a broadcast would bring a table of each round to the driver, and rounds add up.
+
     Links of an id to itself, null ends and repeated links count for nothing. Members of many lists and long lists are summed
     up before they meet, and Spark splits the joins' large partitions.
     """
@@ -71,16 +73,16 @@ def greedy_groups(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     seen = still.select("m", F.col("q").alias("seen")).limit(0)
     starters = []
     while (left := still.count()) > finish:
-        known = still.groupBy("m").agg(F.min("q").alias("may")).join(seen, "m", "left")
+        known = still.groupBy("m").agg(F.min("q").alias("may")).join(seen.hint("merge"), "m", "left")
         known = known.select("m", F.least("may", "seen").alias("may"), "seen")  # least() passes over nulls
-        member = still.join(known, "m")
+        member = still.join(known.hint("merge"), "m")
         itself, gone = F.col("m") == F.col("q"), F.coalesce(F.col("seen") < F.col("q"), F.lit(False))
         free = F.col("may") >= F.col("q")
         told = member.groupBy("q").agg(
             F.bool_or(itself & gone).alias("held"), F.bool_or(itself & free).alias("free"), F.bool_or(~itself & free).alias("other"), F.bool_and(itself | gone).alias("none"),
         )
         told = told.select("q", F.when(F.col("held") | F.col("none"), False).when(F.col("free") & F.col("other"), True).alias("starts"))
-        both = materialize(still.join(told, "q"), "open")
+        both = materialize(still.join(told.hint("merge"), "q"), "open")
         starters.append(both.where("starts").select("q").distinct())
         seen = materialize(seen.unionByName(both.where("starts").select("m", F.col("q").alias("seen"))).groupBy("m").agg(F.min("seen").alias("seen")), "seen")
         still = both.where("starts IS NULL").select("q", "m")
@@ -88,12 +90,12 @@ def greedy_groups(edges: DataFrame, finish: int = FINISH) -> DataFrame:
             starters = [materialize(_all(starters), "starters")]  # the plan doesn't grow with the rounds
     if left:
         rest: dict = {}
-        for r in still.join(seen, "m", "left").collect():  # `finish` rows at most
+        for r in still.join(seen.hint("merge"), "m", "left").collect():  # `finish` rows at most
             rest.setdefault(r["q"], []).append((r["m"], r["seen"]))
         starters.append(edges.sparkSession.createDataFrame([(q,) for q in _decided(rest)], links.select("q").schema))
     if not starters:
         starters.append(links.select("q").limit(0))
-    begun = links.join(_all(starters), "q", "left_semi")
+    begun = links.join(_all(starters).hint("merge"), "q", "left_semi")
     partners = begun.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("rank", "m")))  # a list each, of top-k partners
     first = begun.select("q").distinct().select(F.col("q"), F.col("q").alias("m"), F.lit(0).alias("place"))
     return first.unionByName(partners.select("q", "m", "place")).select(F.col("q").alias("group_id"), F.col("m").alias("video_id"), "place")
