@@ -98,3 +98,16 @@ def test_rounds_of_grouping_broadcast_nothing(spark, monkeypatch):
     groups = grouping.greedy_groups(edges, finish=0)
     assert groups.count() and grouping.components(edges).count() == 60
     assert len(plans) > 4 and not any("Broadcast" in p for p in [*plans, plan(groups)])
+
+
+def test_similarity_maps_are_not_shuffled(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from twinspark.operators import catalog
+    from twinspark.plans.registry import QUERIES
+
+    monkeypatch.setattr(catalog, "similarity_maps", lambda *a: pytest.fail("a row a pair is grouped"))
+    got = QUERIES["snk09_similarity_rows"](spark, "/root/testdata/sf0.01")
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("v")).toPandas().set_index("i").v
+    found = got.toPandas()
+    assert len(found) == len(found[["query_id", "video_id"]].drop_duplicates()) == len(e) * sum(i % 50 == 0 for i in e.index)
+    assert all(abs(np.dot(e[q], e[v]) - s) < 1e-6 for q, v, s in found.sample(300, random_state=1).itertuples(index=False))
