@@ -257,3 +257,46 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch, few):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert kept == brute_kept(rows) and 1 < len(kept) < 120
+
+
+def test_parities_rule_out_no_similar_pair():
+    from twinspark.llm.near import least_difference, parities
+
+    rng = np.random.default_rng(3)
+    for n, extra, gone in [(0, 0, 0), (0, 1, 0), (1, 0, 0), (5, 1, 1), (40, 3, 2), (400, 40, 5), (5000, 900, 300), (300, 9000, 0), (3000, 3000, 3000)]:
+        h = np.unique(rng.integers(0, 2**64, n + extra, np.uint64, endpoint=False))
+        x, y = h[: len(h) - extra], h[min(gone, n) :]
+        true, least = len(np.setxor1d(x, y)), least_difference(parities(x), parities(y))
+        assert least <= true == extra + min(gone, n) and least % 2 == true % 2
+        assert least == least_difference(parities(y), parities(x)) and (least >= 0.6 * true or true > 0.3 * n)
+    a, b = (rng.integers(0, 2**64, 400, np.uint64, endpoint=False) for _ in range(2))
+    assert least_difference(parities(a), parities(b)) > 0.2 / 1.8 * 800  # sets without a common part are told apart
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_a_full_sieve_changes_nothing(spark, monkeypatch, bits):
+    from twinspark.llm import common
+
+    monkeypatch.setattr(common, "SIEVE", bits)
+    rows, wanted = spark.range(0, 3000).selectExpr("id % 7 AS file", "id AS at"), spark.range(0, 3000, 3).selectExpr("id % 7 AS file", "id AS at")
+    found = common.sifted(rows, wanted, ["file", "at"])
+    assert found.count() == 3000 and found.where("sifted").join(wanted, ["file", "at"]).count() == 1000
+    assert (found.where("sifted").count() > 2900) == (bits == 64)
+    assert common.sifted(rows, wanted.limit(0), ["file", "at"]).where("sifted").count() == 0
+
+
+def test_sets_of_shingles_are_not_written(spark, tmp_path, monkeypatch):
+    """Texts with a passage in common, so that all are proposed to each other: what is written is far less than their shingles."""
+    from twinspark.llm import near
+    from twinspark.sources import written
+
+    monkeypatch.setattr(near, "FREQUENT", 10**9)
+    monkeypatch.setattr(written, "place", lambda spark, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(400)] + passage + [f"w{rng.randrange(10**6)}" for _ in range(400)])) for i in range(120)]
+    rows.append((500, rows[7][1] + " tail"))
+    kept = {r.doc_id for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(120))
+    sizes = {p.name: sum(f.stat().st_size for f in p.rglob("*.parquet")) for p in tmp_path.iterdir() if not p.name.startswith("rows")}
+    assert 0 < sum(sizes.values()) < 4 * 860 * len(rows), sizes  # 8 bytes a shingle, and once more for proposed sets, before

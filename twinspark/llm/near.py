@@ -7,6 +7,10 @@ those alone. Any order is right; the one taken puts shingles that many texts of
 A bucket of up to `SMALL` sets proposes its pairs. A larger one proposes those with two of its members, then, as long as it holds
 sets of several components, those with its best linked one, and at last all pairs that aren't connected: copies are not
 expanded into pairs, and what is never met is connected already.
+
+Sets aren't written whole. Of each there is its prefix and a string of parities, a bit for every residue of the hashes: two sets
+differ in at least as many shingles as their parities do in bits, which rules out what is not similar. The shingles of the few
+sets left are taken from their texts once more, and of those a pair's similarity is exact.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinspark.llm.common import sifted
 from twinspark.llm.simhash import SEED, shingle_hashes
 from twinspark.operators.grouping import connected
 from twinspark.sources.written import materialize
@@ -32,30 +37,68 @@ SMALL, HELD = 64, 200_000
 HUB_ROUNDS, FEW = 4, 2_000_000
 
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, keep: tuple[str, ...]) -> DataFrame:
-    """doc_id, g (a hash of the set, which stands for it), s (the sorted hashes of its shingles), and columns `keep` of each row."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            yield b.slice(at, 256)
+
+
+def _lists(found: list[np.ndarray], values: pa.DataType) -> pa.ListArray:
+    ends = np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), values))
+
+
+def shingles(df: DataFrame, shingle: int) -> DataFrame:
+    """g and s (the sorted hashes of its shingles) of each row of `df` (g, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _batches(batches):
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(found, pa.int64())], ["g", "s"])
+
+    return df.select("g", "text").mapInArrow(run, "g long, s array<long>")
+
+
+def parities(s: np.ndarray) -> bytes:
+    """For each residue of the hashes by a power of two, two to four times as many as there are, whether an odd number has it."""
+    n = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s.view(np.uint64) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Shingles that are in one of two sets alone, at least: the bits in which their parities differ, the longer folded."""
+    n = min(len(x), len(y))
+    a, b = (np.bitwise_xor.reduce(np.frombuffer(p, np.uint8).reshape(-1, n), axis=0) for p in (x, y))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, bar: float, keep: tuple[str, ...]) -> DataFrame:
+    """doc_id, g (a hash of the set of shingles, which stands for it), n (its size), bits (its parities), prefix (what it is filed under), and
+    columns `keep` of each row."""
     inner = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
     kept = inner.schema.fields[2:]
+    frequent = df.sparkSession.sparkContext.broadcast(_frequent(inner, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(1)]
-                g = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], np.uint64).view(np.int64)
-                ends = np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)
-                s = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(g), s, *part.columns[2:]], ["doc_id", "g", "s", *[f.name for f in kept]])
-
-    ddl = ["doc_id long", "g long", "s array<long>", *[f"{f.name} {f.dataType.simpleString()}" for f in kept]]
+        for part in _batches(batches):
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(1)]
+            g = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], np.uint64).view(np.int64)
+            sets = [f.view(np.int64) for f in found]
+            key, own = prefixes(sets, bar, frequent.value)
+            prefix = _lists(np.split(key, np.searchsorted(own, np.arange(1, len(sets)))), pa.int64())
+            cols = [part.column(0), pa.array(g), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(parities, sets), pa.binary()), prefix]
+            yield pa.RecordBatch.from_arrays([*cols, *part.columns[2:]], ["doc_id", "g", "n", "bits", "prefix", *[f.name for f in kept]])
+
+    ddl = ["doc_id long", "g long", "n long", "bits binary", "prefix array<long>", *[f"{f.name} {f.dataType.simpleString()}" for f in kept]]
     return inner.mapInArrow(run, ", ".join(ddl))
 
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a bounded sample, sorted, and how many sampled sets have each."""
-    share = min(1.0, SAMPLE / max(1, sets.count()))
-    drawn = sets.where(F.pmod(F.xxhash64("g"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["g"])
-    counts = drawn.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a bounded sample, sorted, and how many sampled texts have each."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    drawn = docs.select(F.xxhash64("text").alias("g"), "text").where(F.pmod(F.col("g"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["g"])
+    counts = shingles(drawn, shingle).select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
     rows = counts.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).toPandas().sort_values("s")
     return rows.s.to_numpy(np.int64), rows.n.to_numpy(np.int64)
 
@@ -81,18 +124,6 @@ def _near_in_size(a: np.ndarray, b: np.ndarray, bar: float) -> np.ndarray:
 
 def _proposed(sets: DataFrame, bar: float) -> DataFrame:
     """pair (a, b) of sets that may be similar; and where it is not a pair, the bucket (a) and member (b) of a large bucket. n: the member's size."""
-    frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
-
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ends = np.append(0, np.cumsum(part.column(1).value_lengths().to_numpy(zero_copy_only=False)))
-                flat = part.column(1).flatten().to_numpy()
-                key, own = prefixes([flat[a:b] for a, b in zip(ends, ends[1:])], bar, frequent.value)
-                size = np.diff(ends).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(own)), pa.array(size[own])], ["key", "g", "n"])
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, star = np.zeros((0, 3), np.int64), None  # star: two members of the bucket that has been cut
 
@@ -146,25 +177,43 @@ def _proposed(sets: DataFrame, bar: float) -> DataFrame:
                 held = held[:0]
         yield from solve(held)
 
-    keyed = sets.select("g", "s").mapInArrow(file, "key long, g long, n long")
+    keyed = sets.select(F.explode("prefix").alias("key"), "g", "n")
     return keyed.repartition("key").sortWithinPartitions("key", "g").mapInArrow(meet, "pair boolean, a long, b long, n long")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, bar: float) -> DataFrame:
+def _possible(pairs: DataFrame, sets: DataFrame, bar: float) -> DataFrame:
+    """Those of pairs (a, b) that the parities of their sets don't rule out, once each."""
+    own = sets.select("g", "n", "bits").dropDuplicates(["g"])
+    x, y = (own.select(F.col("g").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            least = np.array([least_difference(p.as_py(), q.as_py()) for p, q in zip(batch.column(4), batch.column(5))], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(least <= (1 - bar) / (1 + bar) * n + 1e-6))
+
+    both = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, bar: float) -> DataFrame:
     """Those of pairs (a, b) whose sets have a similarity of `bar` or more: their common shingles over all of theirs."""
-    x, y = sets.select(F.col("g").alias("a"), F.col("s").alias("x")), sets.select(F.col("g").alias("b"), F.col("s").alias("y"))
-    both = pairs.distinct().join(x, "a").join(y, "b")
+    left = materialize(_possible(pairs, sets, bar), "possible")
+    ends = left.select(F.explode(F.array("a", "b")).alias("g")).distinct()
+    spots = sets.select("g", F.struct("file", "at").alias("spot")).join(ends, "g", "left_semi").groupBy("g").agg(F.min("spot").alias("spot"))
+    spots = materialize(spots.select("g", "spot.file", "spot.at"), "spots")
+    own = materialize(shingles(sifted(texts, spots, ["file", "at"]).where("sifted").join(spots, ["file", "at"]), shingle), "shingles")
+    x, y = own.select(F.col("g").alias("a"), F.col("s").alias("x")), own.select(F.col("g").alias("b"), F.col("s").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= bar * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+    return left.join(x, "a").join(y, "b").where(common >= bar * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
-def similar_components(sets: DataFrame, bar: float) -> DataFrame:
-    """node and root of every set that is linked, of written `sets` (g, s): what pairs of a similarity of `bar` or more connect."""
+def similar_components(sets: DataFrame, texts: DataFrame, shingle: int, bar: float) -> DataFrame:
+    """node and root of every set that is linked: what pairs of a similarity of `bar` or more connect. Written `sets` (g, n, bits, prefix,
+    file, at) are those of `texts` (file, at, text)."""
     found = materialize(_proposed(sets, bar), "proposed")
     pairs, members = found.where("pair").select("a", "b"), found.where("NOT pair").select(F.col("a").alias("key"), F.col("b").alias("g"), "n")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("g")).unionByName(members.select("g")).distinct()
-    own = materialize(sets.select("g", "s").join(ends, "g", "left_semi").dropDuplicates(["g"]), "shingles")
-    good = materialize(_similar(pairs, own, bar), "similar")
+    good = materialize(_similar(pairs, sets, texts, shingle, bar), "similar")
     label = connected(good)
     if not members.take(1):
         return label
@@ -185,7 +234,7 @@ def similar_components(sets: DataFrame, bar: float) -> DataFrame:
             other = members.join(degree, "g", "left").groupBy("key").agg(best.alias("hub")).select("key", "hub.g", "hub.n", "hub.own")
         near = F.least("n", "m") >= bar * F.greatest("n", "m") - 1e-9
         met = members.join(other.select("key", F.col("g").alias("h"), F.col("n").alias("m"), F.col("own").alias("its")), "key").where((F.col("own") != F.col("its")) & near)
-        new = _similar(met.select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")), own, bar)
+        new = _similar(met.select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")), sets, texts, shingle, bar)
         good = materialize(good.unionByName(new), "similar")
         label = connected(good)
         if last:

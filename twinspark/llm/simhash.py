@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.common import placed
+from twinspark.llm.common import placed, sifted
 from twinspark.operators.grouping import connected
 from twinspark.sources.written import materialize
 
@@ -319,12 +319,17 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     from twinspark.llm import near
 
     names, rows = df.columns, placed(df)
-    sets = materialize(near.shingle_sets(rows, f"c{names.index(id_col)}", f"c{names.index(text_col)}", shingle, ("file", "at")), "sets")
-    label = materialize(near.similar_components(sets, bar), "components")
+    texts = rows.select("file", "at", F.col(f"c{names.index(text_col)}").alias("text"))
+    sets = materialize(near.shingle_sets(rows, f"c{names.index(id_col)}", f"c{names.index(text_col)}", shingle, bar, ("file", "at")), "sets")
+    label = materialize(near.similar_components(sets, texts, shingle, bar), "components")
     own = sets.where("doc_id is not null").select("g", F.struct("doc_id", "file", "at").alias("place"))
     least = own.groupBy("g").agg(F.min("place").alias("least")).join(label.withColumnRenamed("node", "g"), "g", "left").select("g", F.coalesce("root", "g").alias("component"), "least")
     least = materialize(least, "least")
     kept = least.join(least.groupBy("component").agg(F.min("least").alias("kept")), "component").select("g", "kept")
     # written, so that a text of very many copies is a skewed join of two exchanges, which Spark splits
     gone = own.join(materialize(kept, "kept"), "g").where("place <> kept").select("place.file", "place.at")
-    return rows.join(materialize(gone, "gone"), ["file", "at"], "left_anti").drop("file", "at").toDF(*names)
+    gone = materialize(gone, "gone")
+    all_ = sifted(rows, gone, ["file", "at"])
+    # only rows that may go are moved
+    kept = all_.where("NOT sifted").unionByName(all_.where("sifted").join(gone, ["file", "at"], "left_anti"))
+    return kept.drop("file", "at", "sifted").toDF(*names)
