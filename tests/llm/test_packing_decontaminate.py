@@ -102,3 +102,11 @@ def test_clean_removes_rows_not_ids(spark):
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "another", 5), (None, None, 6), (2, "", 7), (2, "", 7)], key=str)
     assert clean(docs.limit(0), bench).count() == 0
+
+
+def test_index_files_have_few_blocks(spark, monkeypatch):
+    """A file's blocks are in memory together when it is written or read; a task with many documents writes many files."""
+    monkeypatch.setattr(module, "INDEX_TOKENS", 20)
+    stored = index(spark.createDataFrame([(i, "a b c d " * 5) for i in range(50)], "doc_id long, text string").coalesce(1), "doc_id")
+    of_file = stored.groupBy("_metadata.file_path").count().collect()
+    assert sum(r["count"] for r in of_file) == 50 and max(r["count"] for r in of_file) <= module.FILE_BLOCKS

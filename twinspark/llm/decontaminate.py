@@ -33,6 +33,8 @@ WINDOW = 10
 BLOCK_WORDS = 2_000_000
 #: Tokens of a block of documents in the index; a longer document is a block of its own.
 INDEX_TOKENS = 1_000_000
+#: Blocks in a file of the index, about 5 MB each.
+FILE_BLOCKS = 4
 #: Places compared at once in a search.
 CANDIDATES = 1_000_000
 
@@ -144,7 +146,8 @@ def index(df: DataFrame, key: str, text_col: str = "text", keep: tuple[str, ...]
 
     block, docs (key as string, n_words and columns `keep` as keep_0, ... of each), ends (of documents, in tokens), terms,
     starts (of the postings of each term, and their end), positions (32-bit, by term, ascending). Null or empty texts are
-    documents without words; repeated rows are documents each; an empty table has no blocks.
+    documents without words; repeated rows are documents each; an empty table has no blocks. A file has `FILE_BLOCKS` blocks at most,
+    so that what a task holds doesn't grow with its share of the documents.
     """
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     kept = "".join(f", keep_{i}: {df.select(c).schema[0].dataType.simpleString()}" for i, c in enumerate(keep))
@@ -173,7 +176,7 @@ def index(df: DataFrame, key: str, text_col: str = "text", keep: tuple[str, ...]
                 )
 
     made = rows.mapInArrow(run, f"block long, docs array<struct<key: string, n_words: bigint{kept}>>, ends array<bigint>, terms array<binary>, starts array<bigint>, positions binary")
-    return materialize(made, "postings")
+    return materialize(made, "postings", FILE_BLOCKS)
 
 
 def _search(stored: DataFrame, phrases: Phrases, slop: int | None) -> DataFrame:
