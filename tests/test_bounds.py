@@ -1,5 +1,7 @@
 """What a task holds at once doesn't grow with the queries; results are those of a plain replay."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -137,3 +139,19 @@ def test_thresholds_are_those_of_sql(spark, metric):
     pairs = {p for p in want if p[0] != p[1]}
     assert {(r.query_id, r.video_id) for r in similarity.similar_pairs(df, 0.25, metric).collect()} == pairs
     assert {(r.query_id, r.video_id) for r in similarity.similar_pairs(df, 0.25, metric, k=50).collect()} == pairs
+
+
+def test_similarity_maps_are_written_as_shown(spark, monkeypatch):
+    """Written maps take about half of the 8 bytes a pair that products would; scores come back as SQL's."""
+    import glob
+
+    from twinspark.plans import tables as plans
+    from twinspark.plans.registry import QUERIES
+
+    paths, inner = [], plans.place
+    monkeypatch.setattr(plans, "place", lambda s, name: (paths.append(inner(s, name)), paths[-1])[1])
+    got = QUERIES["snk09_similarity_rows"](spark, "/root/testdata/sf0.1").toPandas()
+    assert dict(got.dtypes)["score"] == float and (got.score.round(6) == got.score).all() and len(got) == 40 * 2000
+    (path,) = [p for p in paths if "similarities" in p]
+    written = sum(os.path.getsize(f) for f in glob.glob(f"{path.removeprefix('file:')}/*.parquet"))
+    assert written < 6 * len(got)
